@@ -28,7 +28,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def canon(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)) or v is pd.NaT:
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
         return None
     if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
         v = v.tolist()
