@@ -339,11 +339,11 @@ BASE = f"""bs AS (SELECT a.*, {_HR} AS hr,
 
 @query(
     "baseline_so_far",
-    with_attempts("SELECT row_id, round(hr, 6) AS login_hour, n_ok AS successes_so_far, round(avg_hr, 6) AS avg_hour, round(sd_hr, 6) AS sd_hour, first_ok AS first_login_t FROM bs WHERE success", 1, BASE),
+    with_attempts("SELECT row_id, round(hr, 6) AS login_hour, n_ok AS successes_so_far, round(avg_hr, 9) AS avg_hour, round(sd_hr, 9) AS sd_hour, first_ok AS first_login_t FROM bs WHERE success", 1, BASE),
 )
 def baseline_so_far(spark, sf):
     out = tiers.baseline(read_attempts(spark, sf).where("uid IS NOT NULL")).where("success")
-    return out.select("row_id", F.round("login_hour", 6).alias("login_hour"), "successes_so_far", F.round("avg_hour", 6).alias("avg_hour"), F.round("sd_hour", 6).alias("sd_hour"), "first_login_t")
+    return out.select("row_id", F.round("login_hour", 6).alias("login_hour"), "successes_so_far", F.round("avg_hour", 9).alias("avg_hour"), F.round("sd_hour", 9).alias("sd_hour"), "first_login_t")
 
 
 _LEARN = f"(n_ok < 10 OR (t - first_ok) // {DAY} < 7)"
@@ -374,11 +374,11 @@ def tier2_score(spark, sf):
     with_attempts(
         f"""SELECT x.row_id, round(sin(2 * pi() * hr / 24), 6) + 0.0::DOUBLE AS hour_sin, round(cos(2 * pi() * hr / 24), 6) + 0.0::DOUBLE AS hour_cos,
         CAST((dayofweek(make_timestamp(t)) + 6) % 7 AS DOUBLE) AS day_of_week,
-        round(CASE WHEN avg_hr IS NULL THEN 0 ELSE least(abs(hr - avg_hr), 24 - abs(hr - avg_hr)) END, 6) + 0.0::DOUBLE AS hour_deviation_from_avg,
+        round(CASE WHEN avg_hr IS NULL THEN 0 ELSE least(abs(hr - avg_hr), 24 - abs(hr - avg_hr)) END, 9) + 0.0::DOUBLE AS hour_deviation_from_avg,
         CASE WHEN x.country IS NULL OR loc_seen > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS is_new_location,
         CASE WHEN x.ua IS NULL OR dev_seen > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS is_new_device,
-        round(COALESCE((t - last_ok) / 60000000.0::DOUBLE, 1440.0::DOUBLE), 6) AS minutes_since_last_login, CAST(last24 AS DOUBLE) AS logins_last_24h,
-        round(COALESCE({HAV}, 0), 6) AS distance_km_from_home
+        COALESCE((t - last_ok) / 60000000.0::DOUBLE, 1440.0::DOUBLE) AS minutes_since_last_login, CAST(last24 AS DOUBLE) AS logins_last_24h,
+        round(CASE WHEN g.lat IS NULL OR p.lat IS NULL THEN 0 ELSE {HAV} END, 6) AS distance_km_from_home
         FROM (SELECT bs.*, {_OKSUM.format('country')} AS loc_seen, {_OKSUM.format('ua')} AS dev_seen,
            MAX(CASE WHEN success THEN t END) OVER (PARTITION BY uid ORDER BY t, row_id {_PRIOR}) AS last_ok,
            COUNT(*) FILTER (WHERE success) OVER (PARTITION BY uid ORDER BY t RANGE BETWEEN {DAY} PRECEDING AND 1 PRECEDING) AS last24,
@@ -387,8 +387,8 @@ def tier2_score(spark, sf):
 )
 def features_tier3(spark, sf):
     out = tiers.tier3_features(read_attempts(spark, sf))
-    logs = ["hour_sin", "hour_cos", "hour_deviation_from_avg", "minutes_since_last_login", "distance_km_from_home"]
-    return out.select("row_id", *tiers.TIER3_FEATURES).withColumns({c: F.round(c, 6) + F.lit(0.0) for c in logs})
+    digits = {"hour_sin": 6, "hour_cos": 6, "hour_deviation_from_avg": 9, "distance_km_from_home": 6}
+    return out.select("row_id", *tiers.TIER3_FEATURES).withColumns({c: F.round(c, k) + F.lit(0.0) for c, k in digits.items()})
 
 
 @query("tier3_explain")
