@@ -69,7 +69,8 @@ _ORDER = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate
     "brute_force", "credential_stuffing", "password_spray_slow", "distributed_bruteforce", "username_enumeration", "success_after_failures",
     "bot_user_agent", "scripted_client", "ua_rotation", "regular_rhythm", "impossible_travel", "multi_context_simultaneous", "country_hop",
     "dormant_account_login", "rare_network_login", "tor_exit", "datacenter_ip", "vpn_ip", "blocklist_hit"])) + " END"
-HYBRID = f"""agg AS (SELECT row_id, 1 - product(CASE WHEN {_REP} THEN 1.0::DOUBLE ELSE 1 - {_W} END) AS rule_p, 1 - product(CASE WHEN {_REP} THEN 1 - {_W} ELSE 1.0::DOUBLE END) AS rep_p,
+_FOLD = "list_reduce(list_prepend(1.0::DOUBLE, COALESCE(list(1 - {w} ORDER BY {o}) FILTER (WHERE {c}), []::DOUBLE[])), lambda a, b: a * b)"
+HYBRID = f"""agg AS (SELECT row_id, 1 - {_FOLD.format(w=_W, o=_ORDER, c=f"NOT ({_REP})")} AS rule_p, 1 - {_FOLD.format(w=_W, o=_ORDER, c=_REP)} AS rep_p,
    bool_or(rule_id = 'blocklist_hit') AS over FROM hits GROUP BY 1),
 top AS (SELECT row_id, rule_id AS top_rule, {_W} AS confidence, {_CAT} AS family FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY {_W} DESC, {_ORDER}) AS rn FROM hits) WHERE rn = 1),
 hyb AS (SELECT m.row_id, m.t, m.uid, m.username, m.ip, m.asn, m.device_type, m.p AS ml_p, COALESCE(a.rule_p, 0) AS rule_p, COALESCE(a.rep_p, 0) AS rep_p, COALESCE(a.over, FALSE) AS over,
@@ -77,7 +78,7 @@ hyb AS (SELECT m.row_id, m.t, m.uid, m.username, m.ip, m.asn, m.device_type, m.p
    FROM (SELECT *, {CAL_SQL} AS p FROM (SELECT *, {MODEL_SQL} AS s FROM attempts)) m LEFT JOIN agg a USING (row_id)),
 scored AS (SELECT h.*, sc AS score, CASE WHEN over THEN 'lock' WHEN sc >= 70 THEN 'lock' WHEN sc >= 58 THEN 'step_up' WHEN sc >= 32 THEN 'alert' ELSE 'allow' END AS action,
    COALESCE(CASE WHEN over THEN 'blocklist_hit' END, t.top_rule) AS top_rule, COALESCE(t.confidence, ml_p) AS confidence, COALESCE(t.family, 'unusual login (model)') AS family
-   FROM (SELECT *, CAST(round_even(round(p * 100, 9), 0) AS INT) AS sc FROM hyb) h LEFT JOIN top t USING (row_id))"""
+   FROM (SELECT *, CAST(round_even(p * 100, 0) AS INT) AS sc FROM hyb) h LEFT JOIN top t USING (row_id))"""
 HYBRID_CTES = (*ALL_HITS_CTES, HYBRID)
 
 
@@ -95,7 +96,8 @@ def alert_rows(spark, sf):
     """Attempts that raise an alert, with family, confidence and priority."""
     scored = scored_attempts(spark, sf).where("action <> 'allow'")
     importance = F.coalesce(F.lit(1.0) + F.col("uid") % 3, F.lit(1.0))
-    return scored.withColumn("priority", al.priority(F.lit(0), F.col("confidence"), importance))
+    keep = ["row_id", "t", "uid", "username", "ip", "score", "action", "family", "confidence", "contributions"]
+    return scored.select(*keep, al.priority(F.lit(0), F.col("confidence"), importance).alias("priority"))
 
 
 ALERT_CTE = """alert_rows AS (SELECT *, round(confidence * COALESCE(1 + uid % 3, 1), 4) AS priority, COALESCE('u:' || CAST(uid AS VARCHAR), 'ip:' || ip) AS dedup_key FROM scored WHERE action <> 'allow')"""

@@ -12,6 +12,7 @@ from ..operators.dedup import anchors
 from ..operators.joins import lookup
 from ..operators.running import Running, running_over
 from ..operators.slicing import DEFAULT_SLICE_ROWS, SLICE, Sliced, slice_hot_keys
+from ..session import ensure_checkpoint_dir
 from .hybrid import reasons
 
 DEDUP_WINDOW_US = 15 * MINUTE
@@ -92,7 +93,7 @@ def message(occurrences: Column) -> Column:
     head = F.concat(
         F.lit("Risk "), F.col("score").cast("string"), F.lit("/100, suggested action '"), F.col("action"), F.lit("': "), reasons(3), F.lit(".")
     )
-    fact = F.when(F.size("novelty") > 0, F.concat(novelty_text(F.element_at("novelty", 1)), F.lit(".")))
+    fact = F.when(F.size("novelty") > 0, F.concat(novelty_text(F.try_element_at(F.col("novelty"), F.lit(1))), F.lit(".")))
     fam = F.when(
         F.col("family").isNotNull(),
         F.concat(F.lit("Suggested family: "), F.col("family"), F.coalesce(F.concat(F.lit(" ("), percent_text(F.col("confidence")), F.lit(")")), F.lit("")), F.lit(".")),
@@ -106,14 +107,23 @@ def group_key() -> Column:
     return F.coalesce(F.concat(F.lit("u:"), F.col("uid").cast("string")), F.concat(F.lit("ip:"), F.col("ip")))
 
 
+def _anchored(alerts: DataFrame, chunk_us: int | None = None) -> DataFrame:
+    """Alerts with their group's first time.
+
+    Alerts are few next to the attempts they come from and are read several times here,
+    so they are written once to the shared checkpoint folder instead of rescoring the log.
+    """
+    ensure_checkpoint_dir(alerts.sparkSession)
+    keyed = alerts.where("family IS NOT NULL").withColumn("dedup_key", group_key()).checkpoint()
+    return keyed.join(anchors(keyed, ["dedup_key", "family"], DEDUP_WINDOW_US, chunk_us=chunk_us), "row_id")
+
+
 def dedup(alerts: DataFrame, *, chunk_us: int | None = None) -> DataFrame:
     """Merge alerts of one key and family until 15 minutes after the group's first event.
 
     ``alerts``: ``row_id, t, uid, ip, family, score, action, priority``.
     """
-    keyed = alerts.where("family IS NOT NULL").withColumn("dedup_key", group_key())
-    anchored = anchors(keyed, ["dedup_key", "family"], DEDUP_WINDOW_US, chunk_us=chunk_us)
-    joined = keyed.join(anchored, "row_id")
+    joined = _anchored(alerts, chunk_us)
     worst = F.max(F.struct(action_rank(F.col("action")).alias("r"), F.col("action").alias("a")))
     merged = joined.groupBy("dedup_key", "family", "anchor_t").agg(
         F.min(F.struct("t", "row_id")).alias("_f"),
@@ -131,8 +141,7 @@ def dedup(alerts: DataFrame, *, chunk_us: int | None = None) -> DataFrame:
 
 def escalations(alerts: DataFrame, *, slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
     """Alerts that open a group or raise its action: the ones that trigger a response."""
-    keyed = alerts.where("family IS NOT NULL").withColumn("dedup_key", group_key())
-    anchored = keyed.join(anchors(keyed, ["dedup_key", "family"], DEDUP_WINDOW_US), "row_id")
+    anchored = _anchored(alerts)
     keys = ["dedup_key", "family", "anchor_t"]
     sliced = slice_hot_keys(anchored, keys, "t", slice_rows=slice_rows, spread_by="row_id")
     out = running_over(sliced, keys, ["t", "row_id"], [Running("_worst", "max", action_rank(F.col("action")), "prior_rows")])

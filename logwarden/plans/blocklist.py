@@ -37,24 +37,25 @@ def match(attempts: DataFrame, entries: DataFrame) -> DataFrame:
 
     Only matched attempts are returned: ``row_id, kind, value, reason, expires_at``.
     """
-    facts = attempts.select("row_id", "t", "ip", "asn", "username").withColumns(
-        {"_ipn": ip_to_long(F.col("ip")), "_name": F.lower("username"), "_asn": F.col("asn").cast("string")}
-    )
-    facts = facts.withColumn("_at", F.expr(f"_ipn div {1 << BLOCK_BITS}"))
+    facts = attempts.select("row_id", "t", "ip", "asn", "username")
     e = entries.select("kind", "value", "reason", "expires_at")
     live = F.col("expires_at").isNull() | (F.col("t") < F.col("expires_at"))
+    cols = ["row_id", "rank", "kind", "value", "reason", "expires_at"]
 
-    def equal(kind: str, column: str) -> DataFrame:
-        return lookup(facts, e.where(F.col("kind") == kind), [(column, "value")], extra=live, how="inner").select(
-            "row_id", F.lit(KINDS.index(kind)).alias("rank"), "kind", "value", "reason", "expires_at"
-        )
+    # one equi join for the three exact kinds: each attempt offers one candidate per kind
+    offers = F.array(
+        F.struct(F.lit(0).alias("rank"), F.lit("ip").alias("k"), F.col("ip").alias("v")),
+        F.struct(F.lit(2).alias("rank"), F.lit("asn").alias("k"), F.col("asn").cast("string").alias("v")),
+        F.struct(F.lit(3).alias("rank"), F.lit("username").alias("k"), F.lower("username").alias("v")),
+    )
+    offered = facts.select("row_id", "t", F.explode(offers).alias("o")).select("row_id", "t", "o.*").where("v IS NOT NULL")
+    exact = lookup(offered, e.where("kind <> 'cidr'"), [("k", "kind"), ("v", "value")], extra=live, how="inner").select(*cols)
 
     lo, hi = cidr_bounds(F.col("value"))
     nets = per_block(e.where("kind = 'cidr'").withColumns({"lo": lo, "hi": hi}).where("lo IS NOT NULL"))
-    by_net = lookup(facts, nets, [("_at", "block")], extra=live & F.col("_ipn").between(F.col("lo"), F.col("hi")), how="inner").select(
-        "row_id", F.lit(1).alias("rank"), "kind", "value", "reason", "expires_at"
-    )
-    found = equal("ip", "ip").unionByName(by_net).unionByName(equal("asn", "_asn")).unionByName(equal("username", "_name"))
+    placed = facts.select("row_id", "t", ip_to_long(F.col("ip")).alias("_ipn")).withColumn("_at", F.expr(f"_ipn div {1 << BLOCK_BITS}"))
+    by_net = lookup(placed, nets, [("_at", "block")], extra=live & F.col("_ipn").between(F.col("lo"), F.col("hi")), how="inner")
+    found = exact.unionByName(by_net.withColumn("rank", F.lit(1)).select(*cols))
     best = found.groupBy("row_id").agg(F.min(F.struct("rank", "value", "kind", "reason", "expires_at")).alias("m"))
     return best.select("row_id", "m.kind", "m.value", "m.reason", "m.expires_at")
 

@@ -77,7 +77,7 @@ def combine(scored: DataFrame, weights: Weights, bands: Bands = Bands(), *, ml:
         {
             "rule_probability": noisy_or(part("rule")),
             "reputation_probability": noisy_or(part("reputation")),
-            "overridden_by": F.element_at(F.filter(ids, lambda r: r.isin(*weights.overriding)), 1)
+            "overridden_by": F.try_element_at(F.filter(ids, lambda r: r.isin(*weights.overriding)), F.lit(1))
             if weights.overriding
             else F.lit(None).cast("string"),
             "contributions": by_weight,
