@@ -191,7 +191,7 @@ def adaptive_bands(spark, sf):
     "adaptive_actions",
     with_attempts(
         f"""SELECT row_id, CASE WHEN over THEN 'lock' WHEN score >= 70 + d THEN 'lock' WHEN score >= 58 + d THEN 'step_up' WHEN score >= 32 + d THEN 'alert' ELSE 'allow' END AS action
-        FROM (SELECT s.*, COALESCE({_SHIFT}, 0) AS d FROM scored s LEFT JOIN fd USING (uid))""", PACE, *HYBRID_CTES, VERDICTS, TALLY, DELTA),
+        FROM (SELECT s.*, CASE WHEN delta IS NULL THEN 0 ELSE {_SHIFT} END AS d FROM scored s LEFT JOIN fd USING (uid))""", PACE, *HYBRID_CTES, VERDICTS, TALLY, DELTA),
 )
 def adaptive_actions(spark, sf):
     personal = hy.user_bands(hy.feedback_tally(verdict_rows(spark, sf)))

@@ -21,11 +21,19 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def ip_to_long(ip: Column) -> Column:
-    """IPv4 address as a number; NULL for anything else (no regular expression on this path)."""
-    n = [F.split_part(ip, F.lit("."), F.lit(i)).try_cast("int") for i in (1, 2, 3, 4)]
-    canonical = F.concat_ws(".", *n) == ip
-    in_range = (F.greatest(*n) <= 255) & (F.least(*n) >= 0)
-    return F.when(canonical & in_range, ((n[0].cast("bigint") * 256 + n[1]) * 256 + n[2]) * 256 + n[3])
+    """IPv4 address as a number; NULL for anything else.
+
+    The argument is bound once through a one-element ``transform``: pushed-down filters
+    would otherwise repeat it for every octet.
+    """
+
+    def number(text: Column) -> Column:
+        n = [F.split_part(text, F.lit("."), F.lit(i)).try_cast("int") for i in (1, 2, 3, 4)]
+        canonical = F.concat_ws(".", *n) == text
+        in_range = (F.greatest(*n) <= 255) & (F.least(*n) >= 0)
+        return F.when(canonical & in_range, ((n[0].cast("bigint") * 256 + n[1]) * 256 + n[2]) * 256 + n[3])
+
+    return F.element_at(F.transform(F.array(ip), number), 1)
 
 
 def long_to_ip(n: Column) -> Column:

@@ -40,14 +40,14 @@ class Sliced:
     cut: bool
 
 
-def bucket_of(value: Column, borders: list[int]) -> Column:
+def bucket_of(value: Column, borders: list) -> Column:
     """How many of the ascending ``borders`` are <= value, by binary search.
 
     ``borders`` is a literal array; a fold over halving strides needs log2(n) steps.
     """
     if not borders:
         return F.lit(0)
-    arr = F.array(*[F.lit(int(b)) for b in borders])
+    arr = F.array(*[F.lit(b) for b in borders])
     n = len(borders)
     strides = [1 << k for k in range(n.bit_length() - 1, -1, -1)]
 
@@ -68,7 +68,7 @@ def slice_hot_keys(
     total_rows: int | None = None,
     spread_by: str | None = None,
 ) -> Sliced:
-    """Add ``_slice`` and ``_hot``.  ``at`` is the ordering column (a long)."""
+    """Add ``_slice`` and ``_hot``.  ``at`` is the ordering column (a number)."""
     any_null = F.lit(False)
     for key in keys:
         any_null = any_null | F.col(key).isNull()
@@ -93,7 +93,8 @@ def slice_hot_keys(
         .agg(F.percentile_approx(at, [i / n for i in range(1, n)], max(10_000, 10 * n)))
         .first()[0]
     )
-    borders = sorted({int(c) for c in cuts})
+    number = float if dict(df.dtypes)[at] in ("double", "float") else int
+    borders = sorted({number(c) for c in cuts})
     hot_flag = F.coalesce(F.col("_is_hot"), F.lit(False))
     out = marked.withColumns(
         {
