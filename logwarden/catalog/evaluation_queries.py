@@ -1 +1,390 @@
-"""Queries."""
+"""Curves, thresholds, overlap, ladders, drift, error slices."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import splits as sp
+from ..plans import evaluate as ev
+from ..plans import explain as ex
+from ..plans import ladders as ld
+from ..plans import quality as ql
+from ..plans.features import FEATURES, Options, compute_features
+from ..sources.attempts import read_attempts
+from .event_queries import CUT, DAY, PART, POP, T0, USTATS, weighted
+from .feature_queries import ALL_CTES, FEATURES_CTE, rounded
+from .fixture import with_attempts
+from .registry import query
+from .rule_queries import PACE, STATE
+
+# A stand-in score with ties, one task per time split and one over everything.
+SCORE_SQL = "((row_id % 37) * 0.5::DOUBLE + CASE WHEN is_attack_ip THEN 5.5::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN success THEN 0.0::DOUBLE ELSE 1.5::DOUBLE END)"
+SCORES = f"""scores AS (SELECT row_id, 'all' AS task, is_attack_ip AS y, {SCORE_SQL} AS score, CASE WHEN is_attack_ip THEN 1 / 0.15::DOUBLE ELSE 1.0::DOUBLE END AS w, ip AS cluster, t, uid FROM attempts
+  UNION ALL SELECT row_id, CASE WHEN t < {CUT.train_end} THEN 'train' WHEN t < {CUT.val_end} THEN 'val' WHEN t < {CUT.test_end} THEN 'test' ELSE 'late' END, is_attack_ip, {SCORE_SQL}, CASE WHEN is_attack_ip THEN 1 / 0.15::DOUBLE ELSE 1.0::DOUBLE END, ip, t, uid FROM attempts)"""
+CURVE = """gr AS (SELECT task, score, SUM(CASE WHEN y THEN w ELSE 0 END) AS pos, SUM(CASE WHEN y THEN 0 ELSE w END) AS neg, COUNT(*) FILTER (WHERE y) AS np, COUNT(*) FILTER (WHERE NOT y) AS nn FROM scores GROUP BY 1, 2),
+cv AS (SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER (PARTITION BY task) AS allp, SUM(neg) OVER (PARTITION BY task) AS alln FROM gr WINDOW w AS (PARTITION BY task ORDER BY score DESC))"""
+
+
+def score_rows(spark, sf) -> DataFrame:
+    a = read_attempts(spark, sf)
+    score = (F.col("row_id") % 37) * 0.5 + F.when(F.col("is_attack_ip"), 5.5).otherwise(0.0) + F.when(F.col("success"), 0.0).otherwise(1.5)
+    tasks = F.explode(F.array(F.lit("all"), sp.time_split(F.col("t"), CUT)))
+    return a.select(
+        "row_id", tasks.alias("task"), F.col("is_attack_ip").alias("y"), score.alias("score"),
+        F.when(F.col("is_attack_ip"), 1 / 0.15).otherwise(1.0).alias("w"), F.col("ip").alias("cluster"), "t", "uid")
+
+
+def _metric(column: str, name: str):
+    def run(spark, sf):
+        return ev.metrics(score_rows(spark, sf)).select("task", F.round(column, 6).alias(name))
+
+    return run
+
+
+query("roc_auc", with_attempts("SELECT task, round(SUM(pos * (alln - fp + 0.5::DOUBLE * neg)) / MAX(allp * alln), 6) AS roc_auc FROM cv GROUP BY 1", 1, SCORES, CURVE))(_metric("roc_auc", "roc_auc"))
+query("avg_precision", with_attempts("SELECT task, round(SUM(CASE WHEN pos > 0 THEN pos / allp * tp / (tp + fp) ELSE 0 END), 6) AS pr_auc FROM cv GROUP BY 1", 1, SCORES, CURVE))(_metric("pr_auc", "pr_auc"))
+_STAR = "star AS (SELECT task, MAX(CASE WHEN nn > 0 AND fp > 0.01::DOUBLE * alln THEN score END) AS s FROM cv GROUP BY 1)"
+query("recall_at_fpr", with_attempts("SELECT task, round(SUM(CASE WHEN score > s THEN pos ELSE 0 END) / MAX(allp), 6) AS recall FROM cv JOIN star USING (task) GROUP BY 1", 1, SCORES, CURVE, _STAR))(_metric("recall_0", "recall"))
+query(
+    "reauth_at_tpr",
+    with_attempts("SELECT task, round(SUM(CASE WHEN score >= s THEN neg ELSE 0 END) / MAX(alln), 6) AS reauth FROM cv JOIN (SELECT task, MAX(CASE WHEN np > 0 AND tp / allp >= 0.9::DOUBLE - 1e-12::DOUBLE THEN score END) AS s FROM cv GROUP BY 1) USING (task) GROUP BY 1", 1, SCORES, CURVE),
+)(_metric("reauth_0", "reauth"))
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, sf):
+    """Intervals of AUC and recall on the whole log, resampling attack addresses."""
+    pos = ev.positive_values(score_rows(spark, sf).where("task = 'all'"))
+    return ev.bootstrap_ratio(pos, {"roc_auc": F.col("auc_part"), "recall": F.col("caught_0")}, F.col("w"))
+
+
+@query("paired_bootstrap")
+def paired_bootstrap(spark, sf):
+    """Gain of a sharper score over the stand-in score on the same attack addresses."""
+    a = score_rows(spark, sf).where("task = 'all'")
+    b = a.withColumn("score", F.col("score") + F.when(F.col("y"), 2.0).otherwise(0.0))
+    return ev.paired_bootstrap(a, b)
+
+
+@query(
+    "threshold_transfer",
+    with_attempts(
+        """SELECT b.task, MAX(a.s) AS threshold, round(SUM(CASE WHEN NOT b.y AND b.score > a.s THEN b.w ELSE 0 END) / SUM(CASE WHEN NOT b.y THEN b.w END), 6) AS fpr, round(SUM(CASE WHEN b.y AND b.score > a.s THEN b.w ELSE 0 END) / SUM(CASE WHEN b.y THEN b.w END), 6) AS recall
+        FROM scores b, (SELECT s FROM star WHERE task = 'val') a WHERE b.task IN ('test', 'late') GROUP BY 1""", 1, SCORES, CURVE, _STAR),
+)
+def threshold_transfer(spark, sf):
+    """The validation threshold applied to test and late."""
+    rows = score_rows(spark, sf)
+    chosen = ev.thresholds(rows.where("task = 'val'"), 0.01)
+    targets = chosen.select(F.explode(F.array(F.lit("test"), F.lit("late"))).alias("task"), "threshold")
+    out = ev.realized(rows.where("task IN ('test', 'late')"), targets)
+    return out.select("task", "threshold", F.round("fpr", 6).alias("fpr"), F.round("recall", 6).alias("recall"))
+
+
+@query(
+    "operating_points",
+    with_attempts(
+        """SELECT task, round(CASE WHEN r * 0.001::DOUBLE + f * 0.999::DOUBLE > 0 THEN r * 0.001::DOUBLE / (r * 0.001::DOUBLE + f * 0.999::DOUBLE) ELSE 0 END, 6) AS precision_1e3 FROM
+        (SELECT task, SUM(CASE WHEN score > s THEN pos ELSE 0 END) / MAX(allp) AS r, SUM(CASE WHEN score > s THEN neg ELSE 0 END) / MAX(alln) AS f FROM cv JOIN star USING (task) GROUP BY 1)""", 1, SCORES, CURVE, _STAR),
+)
+def operating_points(spark, sf):
+    rows = score_rows(spark, sf)
+    real = ev.realized(rows, ev.thresholds(rows, 0.01))
+    return real.select("task", F.round(ev.precision_at(F.col("recall"), F.col("fpr"), 1e-3), 6).alias("precision_1e3"))
+
+
+@query(
+    "alert_volume",
+    with_attempts(
+        f"""SELECT s.task, round(1000.0::DOUBLE * SUM(CASE WHEN score >= h THEN w ELSE 0 END) / SUM(w), 6) AS per_1000, round(SUM(CASE WHEN score >= h THEN w ELSE 0 END) / greatest((MAX(t) - MIN(t)) / {DAY}.0::DOUBLE, 1.0::DOUBLE), 6) AS per_day
+        FROM scores s JOIN (SELECT task, MAX(CASE WHEN np > 0 AND tp / allp >= 0.9::DOUBLE - 1e-12::DOUBLE THEN score END) AS h FROM cv GROUP BY 1) USING (task) GROUP BY 1""", 1, SCORES, CURVE),
+)
+def alert_volume(spark, sf):
+    from ..operators.joins import lookup
+
+    rows = score_rows(spark, sf)
+    cut = ev.curve(rows).groupBy(F.col("task").alias("_t")).agg(ev.threshold_for_recall(0.9).alias("h"))
+    j = lookup(rows, cut, [("task", "_t")], how="inner")
+    flagged = F.sum(F.when(F.col("score") >= F.col("h"), F.col("w")).otherwise(0.0))
+    days = F.greatest((F.max("t") - F.min("t")) / F.lit(float(DAY)), F.lit(1.0))
+    return j.groupBy("task").agg(F.round(F.lit(1000.0) * flagged / F.sum("w"), 6).alias("per_1000"), F.round(flagged / days, 6).alias("per_day"))
+
+
+@query(
+    "by_history",
+    with_attempts(
+        """SELECT bucket, COUNT(*) FILTER (WHERE y) AS n_pos, COUNT(*) FILTER (WHERE NOT y) AS n_neg, round(SUM(CASE WHEN y AND score > s THEN w ELSE 0 END) / SUM(CASE WHEN y THEN w END), 6) AS recall, round(SUM(CASE WHEN NOT y AND score > s THEN w ELSE 0 END) / SUM(CASE WHEN NOT y THEN w END), 6) AS false_alert_rate
+        FROM (SELECT sc.*, CASE WHEN n < 1 THEN 'none' WHEN n < 5 THEN 'thin' ELSE 'thick' END AS bucket, st.s FROM scores sc JOIN star st USING (task)
+          JOIN (SELECT row_id, COALESCE(SUM(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM attempts WHERE uid IS NOT NULL) h USING (row_id) WHERE task = 'all') GROUP BY 1""", 1, SCORES, CURVE, _STAR),
+)
+def by_history(spark, sf):
+    """Recall and false alerts by depth of history at one global threshold."""
+    from ..operators.sweep import Count, sweep
+
+    a = read_attempts(spark, sf).select("row_id", "t", "uid", "success")
+    n = sweep(a, "uid", [Count("n", None, F.col("success"))], boundary="open").where("uid IS NOT NULL").select("row_id", "n")
+    rows = score_rows(spark, sf).where("task = 'all'")
+    cut = ev.thresholds(rows, 0.01).select(F.col("task").alias("_t"), F.col("threshold").alias("s"))
+    j = rows.join(n, "row_id").join(F.broadcast(cut), F.col("task") == F.col("_t")).withColumn("bucket", sp.history_bucket(F.col("n")))
+    y, w, flag = F.col("y"), F.col("w"), F.col("score") > F.col("s")
+    return j.groupBy("bucket").agg(
+        F.count_if(y).alias("n_pos"), F.count_if(~y).alias("n_neg"),
+        F.round(F.sum(F.when(y & flag, w).when(y, 0.0)) / F.sum(F.when(y, w)), 6).alias("recall"),
+        F.round(F.sum(F.when(~y & flag, w).when(~y, 0.0)) / F.sum(F.when(~y, w)), 6).alias("false_alert_rate"))
+
+
+@query("confusion", with_attempts("SELECT task, round(tp / NULLIF(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / NULLIF(tp + fn, 0)::DOUBLE, 6) AS recall, round(2 * tp / NULLIF(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1 FROM (SELECT task, COUNT(*) FILTER (WHERE y AND score > 15) AS tp, COUNT(*) FILTER (WHERE NOT y AND score > 15) AS fp, COUNT(*) FILTER (WHERE y AND score <= 15) AS fn FROM scores GROUP BY 1)", 1, SCORES))
+def confusion(spark, sf):
+    y, flag = F.col("y"), F.col("score") > 15
+    c = score_rows(spark, sf).groupBy("task").agg(F.count_if(y & flag).alias("tp"), F.count_if(~y & flag).alias("fp"), F.count_if(y & ~flag).alias("fn"))
+    ratio = lambda a, b: F.round(F.try_divide(a.cast("double"), b.cast("double")), 6)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return c.select("task", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(tp * 2, tp * 2 + fp + fn).alias("f1"))
+
+
+@query(
+    "tail_hybrid",
+    with_attempts(
+        """SELECT row_id, round(0.0::DOUBLE - log10(least(ta, tb)), 6) + 0.0::DOUBLE AS hybrid, CASE WHEN ta <= tb THEN 'a' ELSE 'b' END AS triggered_by FROM (
+        SELECT p.row_id, greatest((SELECT COALESCE(SUM(w), 0) FROM negs n WHERE n.a >= p.a) / tot, 1e-7::DOUBLE) AS ta, CASE WHEN p.success THEN greatest((SELECT COALESCE(SUM(w), 0) FROM negs n WHERE n.b >= p.b) / tot, 1e-7::DOUBLE) ELSE 1.0::DOUBLE END AS tb
+        FROM comps p, (SELECT SUM(w) AS tot FROM negs))""", 1,
+        f"""comps AS (SELECT row_id, success, is_attack_ip, {SCORE_SQL} AS a, CAST((row_id * 7) % 41 AS DOUBLE) AS b, 1.0::DOUBLE AS w FROM attempts)""",
+        "negs AS (SELECT a, b, SUM(w) AS w FROM comps WHERE NOT is_attack_ip GROUP BY 1, 2)"),
+)
+def tail_hybrid(spark, sf):
+    """Rarest of two component scores against the normal logins; b only speaks on successes."""
+    a = read_attempts(spark, sf)
+    s = (F.col("row_id") % 37) * 0.5 + F.when(F.col("is_attack_ip"), 5.5).otherwise(0.0) + F.when(F.col("success"), 0.0).otherwise(1.5)
+    comps = a.select("row_id", "success", "is_attack_ip", s.alias("a"), ((F.col("row_id") * 7) % 41).cast("double").alias("b"), F.lit(1.0).alias("w"))
+    out = ev.min_tail(ev.tails(comps.where("NOT is_attack_ip"), comps, ["a", "b"], gates={"b": F.col("success")}), ["a", "b"])
+    return out.select("row_id", (F.round("hybrid", 6) + F.lit(0.0)).alias("hybrid"), "triggered_by")
+
+
+_P = "least(1.0::DOUBLE, ((row_id % 37) + CASE WHEN is_attack_ip THEN 20 ELSE 0 END) / 60.0::DOUBLE)"
+
+
+def prob_rows(spark, sf):
+    p = F.least(F.lit(1.0), ((F.col("row_id") % 37) + F.when(F.col("is_attack_ip"), 20).otherwise(0)) / F.lit(60.0))
+    return read_attempts(spark, sf).select("row_id", p.alias("p"), F.col("is_attack_ip").alias("y"), F.when(F.col("is_attack_ip"), 1 / 0.15).otherwise(1.0).alias("w"))
+
+
+PROBS = f"probs AS (SELECT row_id, {_P} AS p, is_attack_ip AS y, CASE WHEN is_attack_ip THEN 1 / 0.15::DOUBLE ELSE 1.0::DOUBLE END AS w FROM attempts)"
+
+
+@query(
+    "reliability",
+    with_attempts(
+        """SELECT CAST(i AS INT) AS bin, round(SUM(p * w) / SUM(w), 6) AS predicted, round(SUM(CASE WHEN y THEN w ELSE 0 END) / SUM(w), 6) AS observed, round(SUM(w) / (SELECT SUM(w) FROM probs), 6) AS weight_share
+        FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY p, row_id) - 1 AS r, COUNT(*) OVER () AS n FROM probs) JOIN range(10) x(i) ON r >= (n * i) // 10 AND r < (n * (i + 1)) // 10 GROUP BY 1""", 1, PROBS),
+)
+def reliability(spark, sf):
+    out = ev.reliability(prob_rows(spark, sf))
+    return out.select("bin", *[F.round(c, 6).alias(c) for c in ("predicted", "observed", "weight_share")])
+
+
+@query("brier", with_attempts("SELECT round(SUM(w * (p - CASE WHEN y THEN 1 ELSE 0 END) * (p - CASE WHEN y THEN 1 ELSE 0 END)) / SUM(w), 6) AS brier FROM probs", 1, PROBS))
+def brier(spark, sf):
+    return ev.brier(prob_rows(spark, sf)).select(F.round("brier", 6).alias("brier"))
+
+
+@query("report_matrix", with_attempts("SELECT 'stand_in' AS model, MAX(CASE WHEN task = 'val' THEN v END) AS val, MAX(CASE WHEN task = 'test' THEN v END) AS test, MAX(CASE WHEN task = 'late' THEN v END) AS late FROM (SELECT task, round(SUM(pos * (alln - fp + 0.5::DOUBLE * neg)) / MAX(allp * alln), 6) AS v FROM cv GROUP BY 1)", 1, SCORES, CURVE))
+def report_matrix(spark, sf):
+    m = ev.metrics(score_rows(spark, sf)).withColumn("model", F.lit("stand_in"))
+    return m.groupBy("model").pivot("task", ["val", "test", "late"]).agg(F.round(F.first("roc_auc"), 6))
+
+
+@query(
+    "calibrate_bands",
+    with_attempts(
+        """SELECT CAST(a AS INT) AS alert_at, CAST(greatest(a + 1, b) AS INT) AS step_up_at, CAST(greatest(greatest(a + 1, b) + 1, c) AS INT) AS lock_at FROM
+        (SELECT ceil(MAX(CASE WHEN nn > 0 AND fp > 0.1::DOUBLE * alln THEN score END)) AS a, ceil(MAX(CASE WHEN nn > 0 AND fp > 0.01::DOUBLE * alln THEN score END)) AS b, ceil(MAX(CASE WHEN nn > 0 AND fp > 0.001::DOUBLE * alln THEN score END)) AS c FROM cv WHERE task = 'val')""", 1, SCORES, CURVE),
+)
+def calibrate_bands(spark, sf):
+    """Three action thresholds from three false-positive targets on validation."""
+    c = ev.curve(score_rows(spark, sf).where("task = 'val'"))
+    row = c.agg(*[ev.exceeding(f).alias(f"c{i}") for i, f in enumerate((0.1, 0.01, 0.001))])
+    a = F.ceil("c0")
+    b = F.greatest(a + 1, F.ceil("c1"))
+    return row.select(a.cast("int").alias("alert_at"), b.cast("int").alias("step_up_at"), F.greatest(b + 1, F.ceil("c2")).cast("int").alias("lock_at"))
+
+
+# -------------------------------------------------------------- rule ladders
+
+LEVELS = """lv AS (SELECT row_id, ip, CASE WHEN success THEN 0 WHEN fu5 >= 50 THEN 10 WHEN fu5 >= 30 THEN 9 WHEN fu5 >= 20 THEN 8 WHEN fu5 >= 15 THEN 7 WHEN fu5 >= 10 THEN 6 WHEN fu5 >= 8 THEN 5 WHEN fu5 >= 6 THEN 4 WHEN fu5 >= 5 THEN 3 WHEN fu5 >= 4 THEN 2 WHEN fu5 >= 3 THEN 1 ELSE 0 END AS bf,
+  CASE WHEN country IS NULL OR cc24 < 2 THEN 0 ELSE least(cc24 - 1, 5) END AS ch FROM st)"""
+_TWO = [x for x in ld.LADDERS if x.name in ("brute_force", "country_hop")]
+
+
+@query("rule_levels", with_attempts("SELECT row_id, CAST(bf AS INT) AS level_brute_force, CAST(ch AS INT) AS level_country_hop FROM lv", PACE, STATE, LEVELS))
+def rule_levels(spark, sf):
+    return ld.rule_levels(read_attempts(spark, sf, PACE)).select("row_id", "level_brute_force", "level_country_hop")
+
+
+LFACTS = f"""lf AS (SELECT row_id, success, is_attack_ip, CASE WHEN t < {T0 + 1_200_000_000} THEN 'train' WHEN t < {T0 + 2_400_000_000} THEN 'val' ELSE 'test' END AS part, CASE WHEN is_attack_ip THEN 1 / 0.15::DOUBLE ELSE 1.0::DOUBLE END AS w FROM attempts)"""
+LMETRICS = """lx AS (SELECT 'brute_force' AS ladder, r.i AS rung, part, success, is_attack_ip, w, bf >= r.i AS fired FROM lv JOIN lf USING (row_id), range(1, 11) r(i)
+  UNION ALL SELECT 'country_hop', r.i, part, success, is_attack_ip, w, ch >= r.i FROM lv JOIN lf USING (row_id), range(1, 6) r(i)),
+lm AS (SELECT ladder, CAST(rung AS INT) AS rung, part, round(SUM(CASE WHEN fired AND NOT is_attack_ip THEN w ELSE 0 END) / SUM(CASE WHEN NOT is_attack_ip AND success THEN w ELSE 0 END) * 10000, 6) AS fa10k, round(SUM(CASE WHEN fired AND is_attack_ip THEN w ELSE 0 END) / SUM(CASE WHEN is_attack_ip THEN w ELSE 0 END), 6) AS recall FROM lx GROUP BY 1, 2, 3)"""
+
+
+def ladder_table(spark, sf):
+    a = read_attempts(spark, sf, PACE)
+    part = F.when(F.col("t") < T0 + 1_200_000_000, "train").when(F.col("t") < T0 + 2_400_000_000, "val").otherwise("test")
+    facts = a.select("row_id", part.alias("part"), "success", "is_attack_ip", F.when(F.col("is_attack_ip"), 1 / 0.15).otherwise(1.0).alias("w"))
+    return ld.ladder_metrics(ld.rule_levels(a, _TWO), facts, _TWO)
+
+
+@query("ladder_metrics", with_attempts("SELECT * FROM lm", PACE, STATE, LEVELS, LFACTS, LMETRICS))
+def ladder_metrics(spark, sf):
+    return ladder_table(spark, sf)
+
+
+@query("ladder_select", with_attempts("SELECT ladder, MIN(rung) AS rung FROM (SELECT ladder, rung, MAX(fa10k) AS worst FROM lm WHERE part IN ('train', 'val') GROUP BY 1, 2) WHERE worst <= 2000 GROUP BY 1", PACE, STATE, LEVELS, LFACTS, LMETRICS))
+def ladder_select(spark, sf):
+    return ld.select_rungs(ladder_table(spark, sf), 2000.0, ["train", "val"])
+
+
+def overlap_rows(spark, sf):
+    a = read_attempts(spark, sf, PACE)
+    lv = ld.rule_levels(a, _TWO).select("row_id", (F.col("level_brute_force") >= 3).alias("rule"))
+    score = (F.col("row_id") % 37) * 0.5 + F.when(F.col("is_attack_ip"), 5.5).otherwise(0.0) + F.when(F.col("success"), 0.0).otherwise(1.5)
+    facts = a.select("row_id", "ip", F.lit("all").alias("task"), F.col("is_attack_ip").alias("y"), score.alias("score"), F.when(F.col("is_attack_ip"), 1 / 0.15).otherwise(1.0).alias("w"))
+    return facts.join(lv, "row_id", "left").withColumn("rule", F.coalesce("rule", F.lit(False)))
+
+
+OVERLAP = f"ov AS (SELECT a.row_id, is_attack_ip AS y, {SCORE_SQL} AS score, CASE WHEN is_attack_ip THEN 1 / 0.15::DOUBLE ELSE 1.0::DOUBLE END AS w, COALESCE(bf >= 3, FALSE) AS rule FROM attempts a LEFT JOIN lv USING (row_id))"
+
+
+@query(
+    "rule_overlap",
+    with_attempts(
+        """SELECT y, round(SUM(CASE WHEN score > 15 AND rule THEN w ELSE 0 END) / SUM(w), 6) AS both, round(SUM(CASE WHEN score > 15 AND NOT rule THEN w ELSE 0 END) / SUM(w), 6) AS model_only,
+        round(SUM(CASE WHEN score <= 15 AND rule THEN w ELSE 0 END) / SUM(w), 6) AS rule_only, round(SUM(CASE WHEN score <= 15 AND NOT rule THEN w ELSE 0 END) / SUM(w), 6) AS neither FROM ov GROUP BY 1""", PACE, STATE, LEVELS, OVERLAP),
+)
+def rule_overlap(spark, sf):
+    m, r, w = F.col("score") > 15, F.col("rule"), F.col("w")
+    share = lambda c: F.round(F.sum(F.when(c, w).otherwise(0.0)) / F.sum(w), 6)
+    return overlap_rows(spark, sf).groupBy("y").agg(share(m & r).alias("both"), share(m & ~r).alias("model_only"), share(~m & r).alias("rule_only"), share(~m & ~r).alias("neither"))
+
+
+@query("rule_weights", with_attempts("SELECT 'brute_force' AS rule_id, COUNT(*) FILTER (WHERE rule) AS fired, round(COALESCE(SUM(CASE WHEN rule AND y THEN w END) / SUM(CASE WHEN rule THEN w END), 0.05::DOUBLE), 6) AS weight FROM ov", PACE, STATE, LEVELS, OVERLAP))
+def rule_weights(spark, sf):
+    """Weighted precision of a rule; the default weight when it never fires."""
+    r, y, w = F.col("rule"), F.col("y"), F.col("w")
+    precision = F.sum(F.when(r & y, w)) / F.sum(F.when(r, w))
+    return overlap_rows(spark, sf).agg(F.count_if(r).alias("fired"), F.round(F.coalesce(precision, F.lit(0.05)), 6).alias("weight")).select(F.lit("brute_force").alias("rule_id"), "fired", "weight")
+
+
+# --------------------------------------------------- features in the evaluation
+
+FROWS = f"fr AS (SELECT f.*, p.part, p.pop_weight, p.success, p.is_attack_ip, p.is_ato, p.uid, p.t FROM feats f JOIN pop p USING (row_id))"
+EVAL_CTES = (*ALL_CTES, FEATURES_CTE, PART, USTATS, POP, FROWS)
+
+
+def feature_rows(spark, sf):
+    """Features with partition, weights and labels of known accounts."""
+    a = read_attempts(spark, sf)
+    facts = weighted(spark, sf).select("row_id", F.col("partition").alias("part"), "pop_weight", "success", "is_attack_ip", "is_ato", "uid", "t")
+    return compute_features(a).join(facts, "row_id")
+
+
+LEGIT = "success AND NOT is_attack_ip AND NOT is_ato"
+
+
+@query(
+    "eval_tasks",
+    with_attempts(
+        f"""SELECT 'attack_ip/' || part AS task, COUNT(*) FILTER (WHERE is_attack_ip) AS n_pos, COUNT(*) FILTER (WHERE NOT is_attack_ip) AS n_neg, round(SUM(pop_weight), 6) AS weight FROM pop WHERE part IN ('val', 'test', 'late') GROUP BY 1
+        UNION ALL SELECT 'ato/future', COUNT(*) FILTER (WHERE is_ato), COUNT(*) FILTER (WHERE NOT is_ato), round(SUM(pop_weight), 6) FROM pop WHERE (part = 'test' AND {LEGIT}) OR (is_ato AND t >= {CUT.val_end} AND t < {CUT.test_end})
+        UNION ALL SELECT 'ato/all', COUNT(*) FILTER (WHERE is_ato), COUNT(*) FILTER (WHERE NOT is_ato), round(SUM(pop_weight), 6) FROM pop WHERE (part IN ('train', 'val', 'test') AND {LEGIT}) OR is_ato""", 1, PART, USTATS, POP),
+)
+def eval_tasks(spark, sf):
+    """Labelled task sets: one pass, each row tagged with every task it belongs to."""
+    df = weighted(spark, sf)
+    t = F.col("t")
+    legit = F.expr(LEGIT)
+    future = F.col("is_ato") & (t >= CUT.val_end) & (t < CUT.test_end)
+    part = F.col("partition")
+    tags = F.array_compact(F.array(
+        F.when(part.isin("val", "test", "late"), F.struct(F.concat(F.lit("attack_ip/"), part).alias("task"), F.col("is_attack_ip").alias("y"))),
+        F.when(((part == "test") & legit) | future, F.struct(F.lit("ato/future").alias("task"), F.col("is_ato").alias("y"))),
+        F.when((part.isin("train", "val", "test") & legit) | F.col("is_ato"), F.struct(F.lit("ato/all").alias("task"), F.col("is_ato").alias("y"))),
+    ))
+    rows = df.select("pop_weight", F.explode(tags).alias("x")).select("pop_weight", "x.task", "x.y")
+    return rows.groupBy("task").agg(F.count_if("y").alias("n_pos"), F.count_if(~F.col("y")).alias("n_neg"), F.round(F.sum("pop_weight"), 6).alias("weight"))
+
+
+_FS = "CASE WHEN u_n_success < 1 THEN 'new_account' WHEN new_country = 1 OR new_asn = 1 THEN 'new_country_or_network' WHEN ip_distinct_users_24h >= 5 OR COALESCE(ip_fail_ratio_24h, 0) >= 0.5 THEN 'unusual_ip_activity' WHEN new_ua = 1 AND (new_browser = 1 OR new_os = 1 OR new_device = 1) THEN 'new_device_or_browser' WHEN new_ip = 1 AND COALESCE(u_secs_since_last_success, 1e300) > 2592000 THEN 'new_ip_after_long_gap' ELSE 'other' END"
+
+
+@query(
+    "fa_archetype",
+    with_attempts(
+        f"""SELECT kind, COUNT(*) AS n, round(SUM(pop_weight) / (SELECT SUM(pop_weight) FROM fr WHERE part = 'test' AND {LEGIT}), 6) AS login_share, round(SUM(CASE WHEN rare_ip > 3 THEN pop_weight ELSE 0 END) / SUM(pop_weight), 6) AS flagged_rate FROM (SELECT *, {_FS} AS kind FROM fr WHERE part = 'test' AND {LEGIT}) GROUP BY 1""", 1, *EVAL_CTES),
+)
+def fa_archetype(spark, sf):
+    """Kinds of legitimate logins and how often a rarity threshold flags them."""
+    df = feature_rows(spark, sf).where(f"part = 'test' AND {LEGIT}")
+    cols = {c: F.col(c) for c in FEATURES}
+    w = F.col("pop_weight")
+    g = df.groupBy(sp.archetype(cols).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("_w"), F.sum(F.when(F.round("rare_ip", 6) > 3, w).otherwise(0.0)).alias("_f"))
+    tot = g.agg(F.sum("_w").alias("_all"))
+    return g.join(F.broadcast(tot)).select("kind", "n", F.round(F.col("_w") / F.col("_all"), 6).alias("login_share"), F.round(F.col("_f") / F.col("_w"), 6).alias("flagged_rate"))
+
+
+_GAP = "CASE WHEN g < 60 THEN 'under 1 min' WHEN g < 600 THEN '1-10 min' WHEN g < 3600 THEN '10-60 min' WHEN g < 86400 THEN '1-24 h' WHEN g < 604800 THEN '1-7 d' WHEN g < 2592000 THEN '7-30 d' ELSE 'over 30 d' END"
+
+
+@query(
+    "new_ip_by_gap",
+    with_attempts(f"SELECT {_GAP} AS gap, COUNT(*) AS n, round(SUM(CASE WHEN new_ip = 1 THEN pop_weight ELSE 0 END) / SUM(pop_weight), 6) AS new_ip_share FROM (SELECT *, u_secs_since_last_success AS g FROM fr WHERE part = 'test' AND {LEGIT} AND u_n_success >= 1) GROUP BY 1", 1, *EVAL_CTES),
+)
+def new_ip_by_gap(spark, sf):
+    df = feature_rows(spark, sf).where(f"part = 'test' AND {LEGIT} AND u_n_success >= 1")
+    w = F.col("pop_weight")
+    return df.groupBy(sp.gap_bucket(F.col("u_secs_since_last_success")).alias("gap")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.when(F.col("new_ip") == 1, w).otherwise(0.0)) / F.sum(w), 6).alias("new_ip_share"))
+
+
+_DRIFT = ["u_attempts_24h", "ip_attempts_24h", "rare_country", "asn_fail_ratio_24h", "cur_success"]
+
+
+@query("typical_values", with_attempts(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(COALESCE(quantile_cont({c}, 0.5), 0), 6) AS typical FROM fr WHERE {LEGIT}" for c in _DRIFT), 1, *EVAL_CTES))
+def typical_values(spark, sf):
+    df = rounded(feature_rows(spark, sf).where(LEGIT))
+    return ex.typical_values(df, _DRIFT).select("feature", F.round("typical", 6).alias("typical"))
+
+
+_EDGES = "list_sort(list_distinct(quantile_cont({c}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])))"
+PSI_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, CASE WHEN ne < 3 THEN CASE WHEN rmin = cmin AND rmax = cmax THEN 0.0::DOUBLE END ELSE round(p, 6) + 0.0::DOUBLE END AS psi, n_reference, n_current FROM (
+    SELECT SUM((cs - rs) * ln(cs / rs)) AS p, MAX(rt) AS n_reference, MAX(ct) AS n_current, MAX(ne) AS ne, MAX(rmin) AS rmin, MAX(rmax) AS rmax, MAX(cmin) AS cmin, MAX(cmax) AS cmax FROM (
+      SELECT greatest(r / rt, 1e-4::DOUBLE) AS rs, greatest(c / ct, 1e-4::DOUBLE) AS cs, rt, ct, ne, rmin, rmax, cmin, cmax FROM (
+        SELECT b, COUNT(*) FILTER (WHERE ref)::DOUBLE AS r, COUNT(*) FILTER (WHERE NOT ref)::DOUBLE AS c, MAX(rt) AS rt, MAX(ct) AS ct, MAX(ne) AS ne, MAX(rmin) AS rmin, MAX(rmax) AS rmax, MAX(cmin) AS cmin, MAX(cmax) AS cmax FROM (
+          SELECT part = 'train' AS ref, len(list_filter(e[2:len(e) - 1], lambda x: x <= {c})) AS b, len(e) AS ne, COUNT(*) FILTER (WHERE part = 'train') OVER () AS rt, COUNT(*) FILTER (WHERE part <> 'train') OVER () AS ct,
+            MIN({c}) FILTER (WHERE part = 'train') OVER () AS rmin, MAX({c}) FILTER (WHERE part = 'train') OVER () AS rmax, MIN({c}) FILTER (WHERE part <> 'train') OVER () AS cmin, MAX({c}) FILTER (WHERE part <> 'train') OVER () AS cmax
+          FROM fr, (SELECT {_EDGES.format(c=c)} AS e FROM fr WHERE part = 'train' AND {c} IS NOT NULL) WHERE part IN ('train', 'test') AND {c} IS NOT NULL) GROUP BY b)))"""
+    for c in _DRIFT
+)
+
+
+@query("psi_drift", with_attempts(PSI_SQL, 1, *EVAL_CTES))
+def psi_drift(spark, sf):
+    """Drift of test against train for several features."""
+    df = rounded(feature_rows(spark, sf)).select("part", *_DRIFT)
+    out = ev.psi(df.where("part = 'train'"), df.where("part = 'test'"), _DRIFT)
+    return out.select("feature", (F.round("psi", 6) + F.lit(0.0)).alias("psi"), "n_reference", "n_current")
+
+
+_FLAGS = ["new_country", "new_asn", "new_ip", "new_ua", "new_device"]
+_GE = ["u_fail_streak", "ip_distinct_users_24h", "ip_prior_attempts_all"]
+
+
+@query("youden_rules")
+def youden_rules(spark, sf):
+    """Best threshold per candidate by TPR - FPR on train."""
+    from ..plans.models import youden
+
+    df = feature_rows(spark, sf).where("part = 'train'")
+    return youden(df.withColumnRenamed("is_attack_ip", "y").withColumnRenamed("pop_weight", "w"), flags=_FLAGS, ge=_GE)

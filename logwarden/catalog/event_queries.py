@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import splits as sp
 from ..functions import text, timefn
 from ..functions.geo import haversine_km
-from ..functions.scoring import severity
+from ..operators.quantile import exact_quantiles
 from ..plans import quality as ql
 from ..plans.simulate import counterfactual_features, donors_for, select_anchors
 from ..sources import csvlog
@@ -237,9 +237,13 @@ def usual_values(spark, sf):
 
 @query("quantiles", with_attempts("SELECT quantile_disc(t, 0.25) AS t_25, quantile_disc(t, 0.5) AS t_50, quantile_disc(t, 0.75) AS t_75, round(quantile_cont(CAST(t - 1704067200000000 AS DOUBLE), 0.95), 3) AS lin_95 FROM attempts"))
 def quantiles(spark, sf):
-    return read_attempts(spark, sf).agg(
-        *[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY t)").cast("bigint").alias(f"t_{int(q * 100)}") for q in (0.25, 0.5, 0.75)],
-        F.round(F.percentile((F.col("t") - T0).cast("double"), 0.95), 3).alias("lin_95"))
+    """Discrete and interpolated quantiles by rank."""
+    df = read_attempts(spark, sf).select(F.lit("all").alias("g"), F.col("t"), (F.col("t") - T0).alias("x"))
+    disc = exact_quantiles(df, "g", "x", [0.25, 0.5, 0.75], discrete=True)
+    lin = exact_quantiles(df, "g", "x", [0.95]).select(F.col("g").alias("h"), F.col("q").alias("l"))
+    both = disc.join(F.broadcast(lin), F.col("g") == F.col("h"))
+    at = lambda i: (F.col("q")[i].cast("bigint") + T0)
+    return both.select(at(0).alias("t_25"), at(1).alias("t_50"), at(2).alias("t_75"), F.round(F.col("l")[0], 3).alias("lin_95"))
 
 
 @query("asn_reuse", with_attempts("SELECT COUNT(*) AS total, COUNT(asn) AS with_asn, CAST(COALESCE(SUM(CASE WHEN k >= 2 AND asn IS NOT NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS sharing, COUNT(DISTINCT CASE WHEN k >= 2 THEN asn END) AS asns_reused FROM (SELECT asn, COUNT(*) OVER (PARTITION BY asn) AS k FROM attempts WHERE is_ato)"))

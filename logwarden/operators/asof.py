@@ -31,9 +31,9 @@ def first_match(
     Frames need ``row_id, t, uid`` and the ``same`` columns; ``period_end`` (over the
     anchor's columns) drops donors at or after that time.
     """
-    keys = same or ["_all"]
-    a = anchors.withColumn("_all", F.lit(1)).select(*keys, "row_id", "t", "uid", F.lit(1).alias("is_anchor"), (period_end if period_end is not None else F.lit(None).cast("bigint")).alias("_end"))
-    e = events.withColumn("_all", F.lit(1)).select(*keys, "row_id", "t", "uid", F.lit(0).alias("is_anchor"), F.lit(None).cast("bigint").alias("_end"))
+    keys = same or ["_any"]
+    a = anchors.withColumn("_any", F.lit(1)).select(*keys, "row_id", "t", "uid", F.lit(1).alias("is_anchor"), (period_end if period_end is not None else F.lit(None).cast("bigint")).alias("_end"))
+    e = events.withColumn("_any", F.lit(1)).select(*keys, "row_id", "t", "uid", F.lit(0).alias("is_anchor"), F.lit(None).cast("bigint").alias("_end"))
     stream = a.unionByName(e)
     # descending time as an ascending order column; at one instant anchors come first,
     # so that they see later events only

@@ -10,8 +10,9 @@ from .running import Running, running
 from .slicing import DEFAULT_SLICE_ROWS
 
 
-def exact_quantiles(df: DataFrame, key: str, value: str, qs: list[float], *, slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
-    """``key, q ARRAY<DOUBLE>``: linearly interpolated quantiles of the non-null values.
+def exact_quantiles(df: DataFrame, key: str, value: str, qs: list[float], *, discrete: bool = False, slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
+    """``key, q ARRAY<DOUBLE>``: quantiles of the non-null values, linearly interpolated or,
+    if ``discrete``, the smallest value whose share reaches q.
 
     Equal values are counted first, so ranks run over distinct values only.
     """
@@ -28,6 +29,9 @@ def exact_quantiles(df: DataFrame, key: str, value: str, qs: list[float], *, sli
     last = F.col("_total") - 1
     parts = []
     for q in qs:
+        if discrete:
+            parts.append(at(F.greatest(F.ceil(F.col("_total") * F.lit(q)) - 1, F.lit(0))))
+            continue
         lo, hi = F.floor(last * q), F.ceil(last * q)
         weight = F.max(last * q - F.floor(last * q))
         parts.append(at(lo) + (at(hi) - at(lo)) * weight)
