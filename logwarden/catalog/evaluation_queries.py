@@ -12,6 +12,7 @@ from ..plans import evaluate as ev
 from ..plans import explain as ex
 from ..plans import ladders as ld
 from ..plans import quality as ql
+from ..plans.models import materialize, youden
 from ..plans.features import FEATURES, Options, compute_features
 from ..sources.attempts import read_attempts
 from .event_queries import CUT, DAY, PART, POP, T0, USTATS, weighted
@@ -283,11 +284,16 @@ FROWS = f"fr AS (SELECT f.*, p.part, p.pop_weight, p.success, p.is_attack_ip, p.
 EVAL_CTES = (*ALL_CTES, FEATURES_CTE, PART, USTATS, POP, FROWS)
 
 
-def feature_rows(spark, sf):
-    """Features with partition, weights and labels of known accounts."""
+def feature_rows(spark, sf, *, stored: bool = False):
+    """Features with partition, weights and labels of known accounts.
+
+    ``stored`` writes them once to the checkpoint folder, for queries that read them
+    several times.
+    """
     a = read_attempts(spark, sf)
     facts = weighted(spark, sf).select("row_id", F.col("partition").alias("part"), "pop_weight", "success", "is_attack_ip", "is_ato", "uid", "t")
-    return compute_features(a).join(facts, "row_id")
+    out = compute_features(a).join(facts, "row_id")
+    return materialize(out) if stored else out
 
 
 LEGIT = "success AND NOT is_attack_ip AND NOT is_ato"
@@ -352,7 +358,7 @@ _DRIFT = ["u_attempts_24h", "ip_attempts_24h", "rare_country", "asn_fail_ratio_2
 
 @query("typical_values", with_attempts(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(COALESCE(quantile_cont({c}, 0.5), 0), 6) AS typical FROM fr WHERE {LEGIT}" for c in _DRIFT), 1, *EVAL_CTES))
 def typical_values(spark, sf):
-    df = rounded(feature_rows(spark, sf).where(LEGIT))
+    df = rounded(feature_rows(spark, sf, stored=True).where(LEGIT))
     return ex.typical_values(df, _DRIFT).select("feature", F.round("typical", 6).alias("typical"))
 
 
@@ -372,7 +378,7 @@ PSI_SQL = " UNION ALL ".join(
 @query("psi_drift", with_attempts(PSI_SQL, 1, *EVAL_CTES))
 def psi_drift(spark, sf):
     """Drift of test against train for several features."""
-    df = rounded(feature_rows(spark, sf)).select("part", *_DRIFT)
+    df = rounded(feature_rows(spark, sf, stored=True)).select("part", *_DRIFT)
     out = ev.psi(df.where("part = 'train'"), df.where("part = 'test'"), _DRIFT)
     return out.select("feature", (F.round("psi", 6) + F.lit(0.0)).alias("psi"), "n_reference", "n_current")
 
@@ -384,7 +390,5 @@ _GE = ["u_fail_streak", "ip_distinct_users_24h", "ip_prior_attempts_all"]
 @query("youden_rules")
 def youden_rules(spark, sf):
     """Best threshold per candidate by TPR - FPR on train."""
-    from ..plans.models import youden
-
-    df = feature_rows(spark, sf).where("part = 'train'")
+    df = feature_rows(spark, sf, stored=True).where("part = 'train'")
     return youden(df.withColumnRenamed("is_attack_ip", "y").withColumnRenamed("pop_weight", "w"), flags=_FLAGS, ge=_GE)

@@ -18,12 +18,12 @@ _SUM = " + ".join("llr_" + a for a in FREEMAN_ATTRS)
 _SUM_NO_IP = " + ".join("llr_" + a for a in NO_IP)
 
 
-@query("freeman_score", with_attempts(f"SELECT row_id, round({_SUM}, 5) + 0.0::DOUBLE AS freeman_all, round({_SUM_NO_IP}, 5) + 0.0::DOUBLE AS freeman_no_ip FROM feats", 1, *ALL_CTES, FEATURES_CTE))
+@query("freeman_score", with_attempts(f"SELECT row_id, round({_SUM}, 6) + 0.0::DOUBLE AS freeman_all, round({_SUM_NO_IP}, 6) + 0.0::DOUBLE AS freeman_no_ip FROM feats", 1, *ALL_CTES, FEATURES_CTE))
 def freeman_score(spark, sf):
     from ..plans.features import feature_group
 
     f = rounded(feature_group(read_attempts(spark, sf), "freeman"))
-    return f.select("row_id", (F.round(md.freeman(), 5) + F.lit(0.0)).alias("freeman_all"), (F.round(md.freeman(NO_IP), 5) + F.lit(0.0)).alias("freeman_no_ip"))
+    return f.select("row_id", (F.round(md.freeman(), 6) + F.lit(0.0)).alias("freeman_all"), (F.round(md.freeman(NO_IP), 6) + F.lit(0.0)).alias("freeman_no_ip"))
 
 
 @query(
