@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slicing import DEFAULT_SLICE_ROWS, HOT, SLICE, Sliced, slice_hot_keys
+from .slicing import DEFAULT_SLICE_ROWS, HOT, SLICE, Sliced, settle, slice_hot_keys
 
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -66,7 +66,7 @@ def running_over(sliced: Sliced, keys: list[str], order: list[str], aggs: list[R
         *[_FOLD[a.op](F.col(a.name)).over(earlier).alias(f"_c_{a.name}") for a in aggs],
     )
     on = reduce(lambda x, y: x & y, [F.col(p).eqNullSafe(F.col(f"_k_{p}")) for p in part])
-    return (
+    return settle(
         out.join(carry, on, "left")
         .withColumns({a.name: _combine(a.op, F.col(f"_c_{a.name}"), F.col(a.name)) for a in aggs})
         .drop(*[f"_k_{p}" for p in part], *[f"_c_{a.name}" for a in aggs])

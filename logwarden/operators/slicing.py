@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 SLICE = "_slice"
 HOT = "_hot"
 
@@ -40,6 +42,16 @@ class Sliced:
     cut: bool
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a frame that several later steps read to the shared checkpoint folder.
+
+    Every sliced step reads its input twice (rows and per-slice totals); without a cut
+    a chain of steps would recompute its beginnings exponentially often.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def bucket_of(value: Column, borders: list) -> Column:
     """How many of the ascending ``borders`` are <= value, by binary search.
 
@@ -78,6 +90,7 @@ def slice_hot_keys(
     if rows <= slice_rows:
         return Sliced(df.withColumns({SLICE: F.when(any_null, spread).otherwise(F.lit(0)), HOT: F.lit(False)}), False)
 
+    df = settle(df)
     counts = df.where(~any_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slice_rows)
     n_hot, hot_rows = counts.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if not n_hot:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import Running, running_over
-from .slicing import DEFAULT_SLICE_ROWS, HOT, SLICE, Sliced, slice_hot_keys
+from .slicing import DEFAULT_SLICE_ROWS, HOT, SLICE, Sliced, settle, slice_hot_keys
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def _neighbours(sliced: Sliced, key: list[str], value: str, on: str, t: str, row
     cond = F.lit(True)
     for p in part:
         cond = cond & F.col(p).eqNullSafe(F.col(f"_k_{p}"))
-    return (
+    return settle(
         out.join(edges, cond, "left")
         .withColumns({prev: F.coalesce(F.col(prev), F.col("_before")), nxt: F.coalesce(F.col(nxt), F.col("_after"))})
         .drop(*[f"_k_{p}" for p in part], "_before", "_after")
