@@ -57,8 +57,8 @@ def sliding_values(
 
     latest = rows.where("hot AND v IS NOT NULL").groupBy("k", "s", "v").agg(F.max("t").alias("t"))
     newest = Window.partitionBy("k", "s").orderBy(F.desc("t"), "v")
-    summary = latest.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= limit).select("k", "s", "v", "t")
-    slices = rows.where("hot").select("k", "s").distinct()
+    summary = latest.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= limit).select(F.col("k").alias("k"), F.col("s").alias("s"), "v", "t")
+    slices = rows.where("hot").select(F.col("k").alias("k"), F.col("s").alias("s")).distinct()
 
     def hand_on(key_, summaries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
         recent: OrderedDict[str, int] = OrderedDict()
