@@ -243,9 +243,6 @@ def rule_hits(spark, sf):
     return R.hits(evaluated(spark, sf)).select("row_id", "rule_id", "severity", "mode", "scope")
 
 
-_SKIP = {
-    "success_after_failures": "uid IS NULL", "ua_rotation": "ua IS NULL", "country_hop": "country IS NULL",
-}
 SKIP_SQL = " UNION ALL ".join(
     f"SELECT row_id, '{rid}' AS rule_id, '{R.NEED_TEXT[need]}' AS reason FROM attempts WHERE {cond}"
     for rid, need, cond in (

@@ -60,12 +60,15 @@ def parse_networks(lists: DataFrame, cidr: str = "cidr") -> DataFrame:
     return lists.withColumns({"lo": lo, "hi": hi}).where(F.col("lo").isNotNull())
 
 
-def in_ranges(facts: DataFrame, ranges: DataFrame, flag: str, *, ip: str = "ip") -> DataFrame:
-    """Add boolean ``flag``: the address lies in one of the merged ``ranges`` (block, lo, hi)."""
+def in_ranges(facts: DataFrame, ranges: DataFrame, flag: str, *, ip: str = "ip", number: str | None = None) -> DataFrame:
+    """Add boolean ``flag``: the address lies in one of the merged ``ranges`` (block, lo, hi).
+
+    ``number`` names a column that already holds the numeric address.
+    """
     dim = ranges.select(
         F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("block").alias("_block")
     )
-    keyed = facts.withColumn("_ipn", ip_to_long(F.col(ip))).withColumn("_at", F.expr(f"_ipn div {1 << BLOCK_BITS}"))
+    keyed = facts.withColumn("_ipn", F.col(number) if number else ip_to_long(F.col(ip))).withColumn("_at", F.expr(f"_ipn div {1 << BLOCK_BITS}"))
     out = lookup(keyed, dim, [("_at", "_block")], extra=F.col("_ipn").between(F.col("_lo"), F.col("_hi")))
     return out.withColumn(flag, F.col("_lo").isNotNull()).drop("_ipn", "_at", "_lo", "_hi", "_block")
 

@@ -74,9 +74,7 @@ def violations(df: DataFrame, picked: DataFrame, stats: DataFrame) -> DataFrame:
     expected = picked.join(stats, "uid").agg(F.sum("n_events").alias("v"))
     bounds = kept.groupBy("partition").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     before, after = bounds.alias("x"), bounds.alias("y")
-    rank = {"train": 0, "val": 1, "test": 2, "late": 3}
     order = lambda c: F.when(c == "train", 0).when(c == "val", 1).when(c == "test", 2).otherwise(3)
-    assert len(rank) == 4
     wrong = before.join(F.broadcast(after), order(F.col("x.partition")) < order(F.col("y.partition"))).where("x.hi >= y.lo")
     checks = [
         ("shared_attack_ips", shared.agg(F.count(F.lit(1)).alias("v"))),

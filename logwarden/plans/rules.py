@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import ip_to_long
 from ..functions.timefn import DAY, SECOND
 from ..operators.joins import in_ranges, merge_intervals, parse_networks
 from ..operators.running import Running, previous_row, running, running_over
@@ -246,7 +247,9 @@ def add_state(df: DataFrame, ask: Ask, intel: Intel, *, slice_rows: int = DEFAUL
     """Compute every requested state column."""
     rows = df.count() if total_rows is None else total_rows
     kw = {"slice_rows": slice_rows, "total_rows": rows}
-    out = df
+    lists = sorted(w.split(":")[1] for w in ask.wants if w.startswith("list:"))
+    # the numeric address is computed once, before the rows are first moved
+    out = df.withColumn("ip_number", ip_to_long(F.col("ip"))) if lists else df
     for key, measures in ask.measures.items():
         out = sweep(out, key, list(measures.values()), boundary="trailing", **kw)
     for n in sorted(ask.rhythm):
@@ -255,11 +258,10 @@ def add_state(df: DataFrame, ask: Ask, intel: Intel, *, slice_rows: int = DEFAUL
         out = account_history(out, **kw)
     if "global_stats" in ask.wants:
         out = global_stats(out, **kw)
-    for name in sorted(w for w in ask.wants if w.startswith("list:")):
-        which = name.split(":")[1]
+    for which in lists:
         if which in intel.loaded:
             ranges = merge_intervals(parse_networks(intel.lists.where(F.col("list") == which)), "list")
-            out = in_ranges(out, ranges, f"in_{which}")
+            out = in_ranges(out, ranges, f"in_{which}", number="ip_number")
         else:
             out = out.withColumn(f"in_{which}", F.lit(None).cast("boolean"))
     if "blocklist" in ask.wants:
