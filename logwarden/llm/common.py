@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -35,9 +35,16 @@ def row_key(key: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th")]
 
 
-def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The ``rows`` rows of smallest hash of ``key``: a bounded sample that is the same on every run."""
-    return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), key).limit(rows)
+def stratified_sample(df: DataFrame, stratum: str, key: str, counts: dict, rows: int) -> DataFrame:
+    """At most ``rows`` rows of each stratum, those of smallest key hash; the same on every run.
+
+    ``counts`` holds the rows of each stratum; only about 1.5 times the wanted rows are ranked.
+    """
+    size = df.sparkSession.createDataFrame(list(counts.items()), df.select(stratum, F.lit(0).cast("long").alias("_n")).schema)
+    drawn = F.xxhash64(F.lit("sample"), F.col(key))
+    near = df.withColumn("_draw", drawn).join(F.broadcast(size), stratum).where(F.pmod("_draw", F.lit(1 << 30)) < F.lit(float((1 << 30) * (1.5 * rows + 64))) / F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.pmod("_draw", F.lit(1 << 30)), "_draw", key))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= rows).select(*df.columns)
 
 
 def ascii_lower(text: Column) -> Column:
