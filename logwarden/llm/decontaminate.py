@@ -111,20 +111,20 @@ class Index:
 def hits(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:
     """``_id, _th, key, n_words, n_hit, n_items, items, contaminated`` per row of ``docs``.
 
-    ``items`` holds the ids (as text, sorted, null ids left out) of items with an occurring window.  A row is contaminated
-    if at least one in ``share`` of its words is hit.  Null and empty texts have no words.  Items without words, and an
+    ``items`` holds the ids (as text, sorted, null ids left out) of items with an occurring window; ``n_items`` counts
+    items without an id as one.  A row is contaminated if at least one in ``share`` of its words is hit.  Null and empty texts have no words.  Items without words, and an
     empty benchmark, hit nothing.  Items of one id count once.  Repeated rows give repeated results.
     """
     index = Index(docs, items, key=key, text=text, item_key=item_key, item_text=item_text, window=window)
     found = index.matches().groupBy("_id", "_th").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("stop") - 1))))).cast("long").alias("n_hit"),
-        F.array_sort(F.collect_set("item")).alias("items"),
+        F.array_sort(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("long")).alias("_nameless"),
     )
     base = docs.select(*row_key(key, text), F.col(key), F.size(words(F.col(text))).cast("long").alias("n_words"))
     out = base.join(found, ["_id", "_th"], "left").withColumns(
         {"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}
     )
-    return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    return out.withColumn("n_items", F.size("items") + F.coalesce("_nameless", F.lit(0).cast("long"))).drop("_nameless").withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
