@@ -117,7 +117,7 @@ def _start(x: DataFrame, trees: list[int], dim: int, k: int) -> DataFrame:
         if len(ids) > 1:
             yield _edges(*_nearest(ids, rows, k))
 
-    return _sorted_leaves(x, trees, dim).select("cid", "x").mapInArrow(run, "a long, b long, cos double")
+    return _sorted_leaves(x, trees, dim).select("cid", "x").mapInArrow(run, "a long, b long, cos double").where("a <> b")
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:
