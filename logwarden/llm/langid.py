@@ -126,10 +126,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     the first name in order.  Columns of ``docs`` named like the results are replaced.
     """
     docs = docs.withColumn("_text", F.when(F.col(text).rlike(r"\p{L}"), F.col(text))).drop(text, "lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed table size x languages
+    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.bias))  # fixed table size x languages
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         x = np.zeros((BATCH, CELLS), bool)
         for b in it:
             texts = b.column("_text").to_pylist()

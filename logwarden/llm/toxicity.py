@@ -112,21 +112,28 @@ def isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tupl
 
 
 def _selected(rows: DataFrame, terms: int) -> list[str]:
-    """The terms tied to a label: the largest chi-square values above ``CHI2``, of terms in at least 5 sampled texts."""
+    """The terms tied to a label: the largest chi-square values above ``CHI2``, of terms in at least 5 sampled texts.
+
+    A term counts once for each pair of words around its first place in a text, so that copies of one text, whose words
+    all share a label, count as one.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            labels, words = [], []
+            labels, words, around = [], [], []
             for y, t in zip(b.column("_label").to_pylist(), b.column("_text").to_pylist(), strict=True):
-                own = set(terms_of(t))
+                line = ["", *terms_of(t), ""]
+                own = {w: f"{line[i - 1]} {line[i + 1]}" for i, w in reversed([*enumerate(line)][1:-1])}
                 labels += [y] * len(own)
                 words += own
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], names=["term", "label"])
+                around += own.values()
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32()), pa.array(around, pa.string())], names=["term", "label", "around"])
 
     n = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     a, c = F.col("a"), F.col("b")
-    table = rows.mapInArrow(run, "term string, label int").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where("a + b >= 5")
+    once = rows.mapInArrow(run, "term string, label int, around string").distinct()
+    table = once.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where("a + b >= 5")
     off = a * (n0 - c) - c * (n1 - a)
     chi2 = off * off * F.lit(float(n0 + n1)) / (F.lit(float(max(n1, 1)) * max(n0, 1)) * (a + c) * (n0 + n1 - a - c + 0.5))
     ranked = table.withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(terms)
@@ -197,10 +204,12 @@ def score(docs: DataFrame, index: Index, text: str = "text", evidence: int = 3)
     and ``matched`` (terms); like-named columns are replaced.  Null and empty texts hold no term and get the score of such texts.
     """
     docs = docs.withColumn("_text", F.col(text)).drop(text, "score", "predicted", "neighbours", "matched")
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most 2 x sample examples by terms numbers
+    parts = (index.terms, index.idf, index.ids, index.labels, index.weights, index.vectors, index.base)
+    shared = docs.sparkSession.sparkContext.broadcast((parts, index.knots))  # at most 2 x sample examples by terms numbers
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = Index(*shared.value[0])
+        own.knots = shared.value[1]
         names = list(own.terms)
         done: dict = {}
         for b in it:
