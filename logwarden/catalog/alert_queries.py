@@ -64,7 +64,7 @@ def action_bands(spark, sf):
 
 _W = "CASE rule_id " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in WEIGHTS.items()) + " ELSE 0.05::DOUBLE END"
 _REP = "rule_id IN ('tor_exit', 'datacenter_ip', 'vpn_ip', 'blocklist_hit')"
-_CAT = f"CASE WHEN {_REP} THEN 'infrastructure reputation' WHEN rule_id IN ('bot_user_agent', 'scripted_client', 'ua_rotation', 'regular_rhythm') THEN 'automation' WHEN rule_id IN ('multi_context_simultaneous', 'country_hop') THEN 'account context' ELSE 'password guessing' END"
+_CAT = f"CASE WHEN {_REP} THEN 'infrastructure reputation' WHEN rule_id IN ('bot_user_agent', 'scripted_client', 'ua_rotation', 'regular_rhythm') THEN 'automation' WHEN rule_id IN ('impossible_travel', 'multi_context_simultaneous', 'country_hop', 'dormant_account_login', 'rare_network_login') THEN 'account context' ELSE 'password guessing' END"
 _ORDER = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate([
     "brute_force", "credential_stuffing", "password_spray_slow", "distributed_bruteforce", "username_enumeration", "success_after_failures",
     "bot_user_agent", "scripted_client", "ua_rotation", "regular_rhythm", "impossible_travel", "multi_context_simultaneous", "country_hop",

@@ -108,7 +108,7 @@ def alert_volume(spark, sf):
 
     rows = score_rows(spark, sf)
     cut = ev.curve(rows).groupBy(F.col("task").alias("_t")).agg(ev.threshold_for_recall(0.9).alias("h"))
-    j = lookup(rows, cut, [("task", "_t")], how="inner")
+    j = lookup(rows, cut, [("task", "_t")], how="inner", small=True)
     flagged = F.sum(F.when(F.col("score") >= F.col("h"), F.col("w")).otherwise(0.0))
     days = F.greatest((F.max("t") - F.min("t")) / F.lit(float(DAY)), F.lit(1.0))
     return j.groupBy("task").agg(F.round(F.lit(1000.0) * flagged / F.sum("w"), 6).alias("per_1000"), F.round(flagged / days, 6).alias("per_day"))

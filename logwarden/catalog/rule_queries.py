@@ -28,7 +28,7 @@ def n(cond: str, key: str, s: int) -> str:
 
 
 def d(value: str, cond: str, key: str, s: int) -> str:
-    return f"LEAST(COUNT(DISTINCT CASE WHEN {cond} THEN {value} END) OVER (PARTITION BY {key} ORDER BY t {rg(s * SECOND)}), 200)"
+    return f"COUNT(DISTINCT CASE WHEN {cond} THEN {value} END) OVER (PARTITION BY {key} ORDER BY t {rg(s * SECOND)})"
 
 
 NF = "NOT success"
@@ -114,44 +114,37 @@ query("rule_ua_rotation", _rule_sql("ua_rotation", "fp10 AS fails, ap10 AS disti
 query("rule_multi_context", _rule_sql("multi_context_simultaneous", "mc10 AS countries"))(run_rule("multi_context_simultaneous", {"countries": L}))
 query("rule_country_hop", _rule_sql("country_hop", "cc24 AS distinct_countries"))(run_rule("country_hop", {"distinct_countries": L}))
 
-query(
-    "rule_rhythm",
-    with_attempts(
-        """SELECT row_id FROM (SELECT row_id, g, list_sum(g) / len(g) / 1000000.0::DOUBLE AS m FROM
+RHYTHM_SQL = """SELECT row_id FROM (SELECT row_id, g, list_sum(g) / len(g) / 1000000.0::DOUBLE AS m FROM
         (SELECT row_id, list_transform(range(1, len(ts)), lambda i: ts[i + 1] - ts[i]) AS g FROM
           (SELECT row_id, list(t) OVER (PARTITION BY ip ORDER BY t, row_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ts FROM attempts WHERE NOT success) WHERE len(ts) = 5))
-        WHERE m <= 60 AND (m <= 0 OR sqrt(list_sum(list_transform(g, lambda x: (x / 1000000.0::DOUBLE - m) * (x / 1000000.0::DOUBLE - m))) / len(g)) / m <= 0.4::DOUBLE)""", PACE),
-)(run_rule("regular_rhythm", {}, params={"samples": 5, "max_mean_interval_s": 60.0, "max_cv": 0.4}))
+        WHERE m <= 60 AND (m <= 0 OR sqrt(list_sum(list_transform(g, lambda x: (x / 1000000.0::DOUBLE - m) * (x / 1000000.0::DOUBLE - m))) / len(g)) / m <= 0.4::DOUBLE)"""
+#: Parameters under which the rules with a long memory fire on the small log.
+FIXTURE = {
+    "regular_rhythm": {"samples": 5, "max_mean_interval_s": 60.0, "max_cv": 0.4}, "dormant_account_login": {"dormant_days": 1},
+    "rare_network_login": {"max_share": 0.01, "min_total": 100},
+}
+query("rule_rhythm", with_attempts(RHYTHM_SQL, PACE))(run_rule("regular_rhythm", {}, params=FIXTURE["regular_rhythm"]))
 
 HAV = "2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(g.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(g.lat)) * pow(sin(radians(g.lon - p.lon) / 2), 2))))"
-query(
-    "rule_impossible_travel",
-    with_attempts(
-        f"""SELECT row_id, round(km, 1) AS distance_km FROM (SELECT x.row_id, {HAV} AS km, (x.t - x.pt) / {HOUR}.0::DOUBLE AS h
+TRAVEL_SQL = f"""SELECT row_id, round(km, 1) AS distance_km FROM (SELECT x.row_id, {HAV} AS km, (x.t - x.pt) / {HOUR}.0::DOUBLE AS h
           FROM (SELECT *, LAG(t) OVER w AS pt, LAG(country) OVER w AS pc FROM attempts WHERE uid IS NOT NULL WINDOW w AS (PARTITION BY uid ORDER BY t, row_id)) x
-          JOIN geo g ON g.country = x.country JOIN geo p ON p.country = x.pc) WHERE h > 0 AND km / h > 900""", 1, geo_cte()),
-)(run_rule("impossible_travel", {"distance_km": "double"}, pace=1))
+          JOIN geo g ON g.country = x.country JOIN geo p ON p.country = x.pc) WHERE h > 0 AND km / h > 900"""
+query("rule_impossible_travel", with_attempts(TRAVEL_SQL, 1, geo_cte()))(run_rule("impossible_travel", {"distance_km": "double"}, pace=1))
 
 _PRIOR = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _OKSUM = "COALESCE(SUM(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY uid, {} ORDER BY t, row_id " + _PRIOR + "), 0)"
-query(
-    "rule_dormant",
-    with_attempts(
-        f"""SELECT row_id, round((t - last_ok) / {DAY}.0::DOUBLE, 1) AS idle_days, new_country, new_device FROM (
+DORMANT_SQL = f"""SELECT row_id, round((t - last_ok) / {DAY}.0::DOUBLE, 1) AS idle_days, new_country, new_device FROM (
           SELECT row_id, t, success, MAX(CASE WHEN success THEN t END) OVER (PARTITION BY uid ORDER BY t, row_id {_PRIOR}) AS last_ok,
             (country IS NOT NULL AND {_OKSUM.format('country')} = 0) AS new_country, (ua IS NOT NULL AND {_OKSUM.format('ua')} = 0) AS new_device
-          FROM attempts WHERE uid IS NOT NULL) WHERE success AND (t - last_ok) / {DAY}.0::DOUBLE >= 1 AND (new_country OR new_device)""", 1),
-)(run_rule("dormant_account_login", {"idle_days": "double", "new_country": "boolean", "new_device": "boolean"}, pace=1, params={"dormant_days": 1}))
+          FROM attempts WHERE uid IS NOT NULL) WHERE success AND (t - last_ok) / {DAY}.0::DOUBLE >= 1 AND (new_country OR new_device)"""
+query("rule_dormant", with_attempts(DORMANT_SQL, 1))(run_rule("dormant_account_login", {"idle_days": "double", "new_country": "boolean", "new_device": "boolean"}, pace=1, params=FIXTURE["dormant_account_login"]))
 
 _REAL = "success AND uid IS NOT NULL AND asn IS NOT NULL"
-query(
-    "rule_rare_network",
-    with_attempts(
-        f"""SELECT row_id, seen AS asn_successes, total AS total_successes FROM (SELECT row_id, {_REAL} AS ok,
+RARE_SQL = f"""SELECT row_id, seen AS asn_successes, total AS total_successes FROM (SELECT row_id, {_REAL} AS ok,
           CAST(COALESCE(SUM(CASE WHEN {_REAL} THEN 1 ELSE 0 END) OVER (ORDER BY t, row_id {_PRIOR}), 0) AS BIGINT) AS total,
           CAST(COALESCE(SUM(CASE WHEN {_REAL} THEN 1 ELSE 0 END) OVER (PARTITION BY asn ORDER BY t, row_id {_PRIOR}), 0) AS BIGINT) AS seen
-          FROM attempts) WHERE ok AND total >= 100 AND CAST(seen AS DOUBLE) / total <= 0.01::DOUBLE""", 1),
-)(run_rule("rare_network_login", {"asn_successes": L, "total_successes": L}, pace=1, params={"max_share": 0.01, "min_total": 100}))
+          FROM attempts) WHERE ok AND total >= 100 AND CAST(seen AS DOUBLE) / total <= 0.01::DOUBLE"""
+query("rule_rare_network", with_attempts(RARE_SQL, 1))(run_rule("rare_network_login", {"asn_successes": L, "total_successes": L}, pace=1, params=FIXTURE["rare_network_login"]))
 
 _IN = "EXISTS (SELECT 1 FROM ip_lists l WHERE l.list = '{}' AND " + st.IPN + " BETWEEN l.lo AND l.hi)"
 REP_SQL = " UNION ALL ".join(
@@ -227,15 +220,20 @@ def geo_enrich(spark, sf):
 
 ALL_HITS = " UNION ALL ".join(
     [f"SELECT row_id, '{rid}' AS rule_id, '{sev}' AS severity, '{mode}' AS mode, CAST({scope} AS VARCHAR) AS scope FROM st WHERE {cond}" for rid, (sev, mode, scope, cond) in COND.items()]
+    + [f"SELECT row_id, '{rid}', '{sev}', '{mode}', NULL FROM ({sql})" for rid, sev, mode, sql in (
+        ("regular_rhythm", "medium", "shadow", RHYTHM_SQL), ("impossible_travel", "high", "enforce", TRAVEL_SQL),
+        ("dormant_account_login", "medium", "enforce", DORMANT_SQL), ("rare_network_login", "medium", "shadow", RARE_SQL))]
     + [f"SELECT row_id, rule_id, severity, mode, NULL AS scope FROM ({REP_SQL})", "SELECT row_id, 'blocklist_hit', 'high', 'enforce', kind FROM block_match"]
 )
-ALL_HITS_CTES = (STATE, st.LISTS_CTE, st.MATCH_CTE, f"hits AS ({ALL_HITS})")
-HIT_RULES = [*COND, "tor_exit", "datacenter_ip", "vpn_ip", "blocklist_hit"]
+ALL_HITS_CTES = (geo_cte(), STATE, st.LISTS_CTE, st.MATCH_CTE, f"hits AS ({ALL_HITS})")
+HIT_RULES = [*COND, *FIXTURE, "impossible_travel", "tor_exit", "datacenter_ip", "vpn_ip", "blocklist_hit"]
+
+FIXTURE_RULES = {k: {"params": v} for k, v in FIXTURE.items()}
 
 
 def evaluated(spark, sf, keep=None, rules=None):
     intel = R.Intel(st.ip_lists(spark), ("tor", "datacenter", "vpn"), st.blocklist(spark))
-    return R.evaluate(read_attempts(spark, sf, PACE), R.Plan.of(None, rules or HIT_RULES), intel, keep=keep)
+    return R.evaluate(read_attempts(spark, sf, PACE), R.Plan.of(R.Config.from_dict({"rules": FIXTURE_RULES}), rules or HIT_RULES), intel, keep=keep)
 
 
 @query("rule_hits", with_attempts("SELECT row_id, rule_id, severity, mode, scope FROM hits", PACE, *ALL_HITS_CTES))
@@ -268,7 +266,7 @@ def rule_skipped(spark, sf):
 )
 def rules_effective(spark, sf):
     """Modes and hit counts per rule after configuration overrides."""
-    config = R.Config.from_dict({"rules": {"country_hop": {"mode": "enforce"}, "brute_force": {"params": {"threshold": 8}}}})
+    config = R.Config.from_dict({"rules": {**FIXTURE_RULES, "country_hop": {"mode": "enforce"}, "brute_force": {"params": {"threshold": 8}}}})
     intel = R.Intel(st.ip_lists(spark), ("tor", "datacenter", "vpn"), st.blocklist(spark))
     h = R.hits(R.evaluate(read_attempts(spark, sf, PACE), R.Plan.of(config, HIT_RULES), intel)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
     eff = R.effective(spark, st.overrides(spark))

@@ -46,14 +46,14 @@ def sliding_counts(spark, sf):
     "sliding_distinct",
     with_attempts(
         f"""SELECT row_id,
-        LEAST(COUNT(DISTINCT CASE WHEN NOT success THEN username END) OVER (PARTITION BY ip ORDER BY t {trailing(300 * SECOND)}), 200) AS users_ip_5m,
+        COUNT(DISTINCT CASE WHEN NOT success THEN username END) OVER (PARTITION BY ip ORDER BY t {trailing(300 * SECOND)}) AS users_ip_5m,
         COUNT(DISTINCT CASE WHEN NOT success THEN ip END) OVER (PARTITION BY username ORDER BY t {trailing(HOUR)}) AS ips_name_1h
         FROM attempts""", 720),
 )
 def sliding_distinct(spark, sf):
     fail = ~F.col("success")
     df = read_attempts(spark, sf, 720).select("row_id", "t", "username", "ip", "success")
-    df = sweep(df, "ip", [Distinct("users_ip_5m", 300 * SECOND, F.col("username"), fail, cap=200)])
+    df = sweep(df, "ip", [Distinct("users_ip_5m", 300 * SECOND, F.col("username"), fail)])
     df = sweep(df, "username", [Distinct("ips_name_1h", HOUR, F.col("ip"), fail)])
     return df.select("row_id", "users_ip_5m", "ips_name_1h")
 

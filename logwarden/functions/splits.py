@@ -80,7 +80,7 @@ def gap_bucket(seconds: Column) -> Column:
 
 
 def archetype(c: dict[str, Column]) -> Column:
-    """First matching kind of false alert."""
+    """First matching kind of false alert (fixed values: the six tests and their order)."""
     day = 86_400.0
     return (
         F.when(c["u_n_success"] < 1, "new_account")

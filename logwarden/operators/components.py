@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from .joins import lookup
 
-MAX_ROUNDS = 60
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on edges (u, v) with u > v."""
@@ -24,7 +22,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select("u", "v")
     low = both.groupBy(F.col("u").alias("_n")).agg(F.min("v").alias("_m")).withColumn("_m", F.least("_m", "_n"))
-    joined = lookup(both, low, [("u", "_n")], how="inner", salt_by="v")
+    joined = lookup(both, low, [("u", "_n")], how="inner")
     if large:
         # larger neighbours are linked to the smallest node around u
         linked = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("_m").alias("v"))
@@ -40,15 +38,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     work = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     seen = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         work = _star(_star(work, True), False).checkpoint()
         # exact fingerprint of the edge set: count and sums of both ends
         state = tuple(work.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components did not converge")
     return nodes.join(work.select(F.col("u").alias("node"), F.col("v").alias("_root")), "node", "left").select(
         "node", F.coalesce("_root", "node").alias("component")
     )

@@ -1,8 +1,9 @@
 """Dimension lookups that hold up against hot keys and large dimensions.
 
-A dimension is broadcast only after its rows were counted.  A larger one is joined
-by shuffle with the fact rows salted, so that a key holding a third of the facts is
-spread over ``SALTS`` tasks.
+A dimension that is small by construction (a row per task, feature or rule) is
+broadcast.  Any other join is left to the optimiser: it broadcasts by measured size,
+and a key that holds a third of the facts is split by the adaptive skew join, which
+repeats only that key's dimension rows.
 """
 
 from __future__ import annotations
@@ -14,23 +15,18 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import cidr_bounds, ip_to_long
 
-BROADCAST_ROWS = 200_000
-SALTS = 64
 BLOCK_BITS = 16
 
 
-def lookup(facts: DataFrame, dim: DataFrame, on: list[tuple[str, str]], *, extra: Column | None = None, how: str = "left", salt_by: str = "row_id") -> DataFrame:
-    """Join ``dim`` to ``facts`` on (fact column, dim column) pairs; dim columns must not clash."""
-    small = dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def lookup(facts: DataFrame, dim: DataFrame, on: list[tuple[str, str]], *, extra: Column | None = None, how: str = "left", small: bool = False) -> DataFrame:
+    """Join ``dim`` to ``facts`` on (fact column, dim column) pairs; dim columns must not clash.
+
+    ``small`` promises that ``dim`` does not grow with the log.
+    """
     conds = [F.col(f) == F.col(d) for f, d in on]
     if extra is not None:
         conds.append(extra)
-    if small:
-        return facts.join(F.broadcast(dim), reduce(lambda a, b: a & b, conds), how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    copies = dim.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    conds.append(F.col("_salt") == F.col("_copy"))
-    return salted.join(copies, reduce(lambda a, b: a & b, conds), how).drop("_salt", "_copy")
+    return facts.join(F.broadcast(dim) if small else dim, reduce(lambda a, b: a & b, conds), how)
 
 
 def per_block(ranges: DataFrame, *, clip: bool = False) -> DataFrame:
@@ -79,5 +75,5 @@ def range_attributes(facts: DataFrame, ranges: DataFrame, columns: list[str], *,
         F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("block").alias("_block"), *columns
     )
     keyed = facts.withColumn("_ipn", ip_to_long(F.col(ip))).withColumn("_at", F.expr(f"_ipn div {1 << BLOCK_BITS}"))
-    out = lookup(keyed, dim, [("_at", "_block")], extra=F.col("_ipn").between(F.col("_lo"), F.col("_hi")), salt_by=ip)
+    out = lookup(keyed, dim, [("_at", "_block")], extra=F.col("_ipn").between(F.col("_lo"), F.col("_hi")))
     return out.drop("_ipn", "_at", "_lo", "_hi", "_block")

@@ -19,7 +19,7 @@ def exact_quantiles(df: DataFrame, key: str, value: str, qs: list[float], *, dis
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(counts, ["_k"], ["_v"], [Running("_upto", "sum", F.col("_n"), "upto")], slice_rows=slice_rows)
     totals = counts.groupBy(F.col("_k").alias("_t")).agg(F.sum("_n").alias("_total"))
-    both = lookup(ranked, totals, [("_k", "_t")], how="inner", salt_by="_v")
+    both = lookup(ranked, totals, [("_k", "_t")], how="inner")
 
     def at(position):
         # value whose block of equal values covers the 0-based position

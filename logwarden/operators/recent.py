@@ -17,16 +17,16 @@ def sliding_values(
     value: Column,
     window_us: int,
     *,
-    limit: int = 200,
+    limit: int | None = None,
     when: Column | None = None,
     slice_rows: int = 500_000,
     total_rows: int | None = None,
 ) -> DataFrame:
-    """``row_id, values``: up to ``limit`` distinct values with a sighting in (t-w, t], newest first.
+    """``row_id, values``: the distinct values with a sighting in (t-w, t], newest first (ties by ``row_id``); with ``limit`` only so many.
 
     A group is one key, or one time slice of a hot key.  What a slice must know of the
-    past is its ``limit`` most recent values; those are handed on from per-slice
-    summaries of at most ``limit`` rows each.
+    past are the values still alive at its start; those are handed on from per-slice
+    summaries of one row per value.
     """
     live = value.isNotNull() if when is None else value.isNotNull() & when
     base = df.where(F.col(key).isNotNull()).select("row_id", "t", F.col(key).alias("k"), F.when(live, value.cast("string")).alias("v"))
@@ -40,7 +40,7 @@ def sliding_values(
             if v is not None:
                 recent.pop(v, None)
                 recent[v] = t
-                if len(recent) > limit:
+                if limit is not None and len(recent) > limit:
                     recent.popitem(last=False)
             while recent and next(iter(recent.values())) <= t - window_us:
                 recent.popitem(last=False)
@@ -55,31 +55,33 @@ def sliding_values(
     if not sliced.cut:
         return rows.select("row_id", "t", "k", "s", "v").groupBy("k", "s").applyInPandas(alone, schema)
 
-    latest = rows.where("hot AND v IS NOT NULL").groupBy("k", "s", "v").agg(F.max("t").alias("t"))
-    newest = Window.partitionBy("k", "s").orderBy(F.desc("t"), "v")
-    summary = latest.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= limit).select(F.col("k").alias("k"), F.col("s").alias("s"), "v", "t")
+    latest = rows.where("hot AND v IS NOT NULL").groupBy("k", "s", "v").agg(F.max(F.struct("t", "row_id")).alias("m")).select("k", "s", "v", "m.t", "m.row_id")
+    newest = Window.partitionBy("k", "s").orderBy(F.desc("t"), F.desc("row_id"))
+    summary = latest if limit is None else latest.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= limit).drop("r")
     slices = rows.where("hot").select(F.col("k").alias("k"), F.col("s").alias("s")).distinct()
 
     def hand_on(key_, summaries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
-        recent: OrderedDict[str, int] = OrderedDict()
-        by_slice = {s: g.sort_values("t") for s, g in summaries.groupby("s")}
+        recent: OrderedDict[str, tuple[int, int]] = OrderedDict()
+        by_slice = {s: g.sort_values(["t", "row_id"]) for s, g in summaries.groupby("s")}
         out = []
         for s in sorted(targets["s"]):
-            out += [(key_[0], s, v, t) for v, t in recent.items()]
+            out += [(key_[0], s, v, t, r) for v, (t, r) in recent.items()]
             if s in by_slice:
-                for v, t in zip(by_slice[s]["v"], by_slice[s]["t"]):
+                seen = by_slice[s]
+                for v, t, r in zip(seen["v"], seen["t"], seen["row_id"]):
                     recent.pop(v, None)
-                    recent[v] = t
-                while len(recent) > limit:
+                    recent[v] = (t, r)
+                newest_t = int(seen["t"].max())
+                while recent and (next(iter(recent.values()))[0] <= newest_t - window_us or (limit is not None and len(recent) > limit)):
                     recent.popitem(last=False)
-        return pd.DataFrame(out, columns=["k", "s", "v", "t"])
+        return pd.DataFrame(out, columns=["k", "s", "v", "t", "row_id"])
 
     key_type = dict(rows.dtypes)["k"]
-    seeds = summary.groupBy("k").cogroup(slices.groupBy("k")).applyInPandas(hand_on, f"k {key_type}, s int, v string, t bigint")
+    seeds = summary.groupBy("k").cogroup(slices.groupBy("k")).applyInPandas(hand_on, f"k {key_type}, s int, v string, t bigint, row_id bigint")
 
     def seeded(pdf: pd.DataFrame, seed: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "row_id"])
-        seed = seed.sort_values("t")
+        seed = seed.sort_values(["t", "row_id"])
         return pd.DataFrame({"row_id": pdf["row_id"], "values": walk(pdf, list(zip(seed["v"], seed["t"])))})
 
     return rows.select("row_id", "t", "k", "s", "v").groupBy("k", "s").cogroup(seeds.groupBy("k", "s")).applyInPandas(seeded, schema)

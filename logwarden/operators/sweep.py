@@ -44,7 +44,6 @@ class Distinct:
     window_us: int
     value: Column
     when: Column | None = None
-    cap: int | None = None
 
 
 @dataclass(frozen=True)
@@ -208,7 +207,5 @@ def sweep(
             col = F.col(m.name)
         else:
             col = F.coalesce(F.col(m.name), F.lit(0)).cast("bigint")
-            if isinstance(m, Distinct) and m.cap is not None:
-                col = F.least(col, F.lit(m.cap).cast("bigint"))
         results.append(F.when(key_known, col).alias(m.name))
     return out_df.select(*[F.col(f"_row.{c}").alias(c) for c in carried], *results)

@@ -56,7 +56,7 @@ def correlate(nodes: DataFrame, windows_us: list[int], *, slice_rows: int = DEFA
     smallest = events.where("node IS NOT NULL").groupBy("node").agg(F.min("row_id").alias("first_row"))
     named = comp.join(smallest, "node", "left")
     names = named.groupBy("component").agg(F.min("first_row").alias("campaign"))
-    table = lookup(named.select("node", "component"), names.withColumnRenamed("component", "_c"), [("component", "_c")], how="inner", salt_by="node")
+    table = lookup(named.select("node", "component"), names.withColumnRenamed("component", "_c"), [("component", "_c")], how="inner")
     table = table.select(F.col("node").alias("_node"), "campaign")
     out = lookup(events, table, [("node", "_node")])
     return out.select("window_us", "row_id", F.coalesce("campaign", "row_id").alias("campaign"))

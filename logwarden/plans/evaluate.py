@@ -30,7 +30,7 @@ def curve(rows: DataFrame, *, slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame
     totals = at.groupBy(F.col("task").alias("_task")).agg(
         F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.sum("n_pos").alias("count_pos"), F.sum("n_neg").alias("count_neg")
     )
-    return lookup(at, totals, [("task", "_task")], how="inner", salt_by="score").drop("_task", "_down")
+    return lookup(at, totals, [("task", "_task")], how="inner", small=True).drop("_task", "_down")
 
 
 def exceeding(fpr: float) -> Column:
@@ -52,7 +52,7 @@ def metrics(rows: DataFrame, *, fprs=(0.01, 0.001), tprs=(0.90, 0.99), slice_row
     cuts = c.groupBy(F.col("task").alias("_task")).agg(
         *[exceeding(f).alias(f"_s_{i}") for i, f in enumerate(fprs)], *[threshold_for_recall(t).alias(f"_t_{i}") for i, t in enumerate(tprs)]
     )
-    both = lookup(c, cuts, [("task", "_task")], how="inner", salt_by="score")
+    both = lookup(c, cuts, [("task", "_task")], how="inner", small=True)
     return both.groupBy("task").agg(
         F.max("count_pos").alias("n_pos"),
         F.max("count_neg").alias("n_neg"),
@@ -69,7 +69,7 @@ def thresholds(rows: DataFrame, fpr: float) -> DataFrame:
 
 def realized(rows: DataFrame, thresholds_: DataFrame) -> DataFrame:
     """False positive rate and recall of a chosen threshold on other rows (``task`` matches)."""
-    joined = lookup(rows, thresholds_.select(F.col("task").alias("_task"), "threshold"), [("task", "_task")], how="inner", salt_by="score")
+    joined = lookup(rows, thresholds_.select(F.col("task").alias("_task"), "threshold"), [("task", "_task")], how="inner", small=True)
     y, w, flag = F.col("y"), F.col("w"), F.col("score") > F.col("threshold")
     pos, neg = F.sum(F.when(y, w)), F.sum(F.when(~y, w))
     return joined.groupBy("task").agg(
@@ -86,7 +86,7 @@ def poisson_one(key: Column, rep: Column, seed: int) -> Column:
     """A Poisson(1) count from a hash: how often a cluster is drawn in one replicate."""
     u = F.pmod(F.xxhash64(key, rep, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     total, p, cdf = F.lit(0), 1.0 / 2.718281828459045, 0.0
-    for k in range(9):
+    for k in range(19):  # the rest is below the resolution of a double
         cdf += p
         total = total + F.when(u >= cdf, 1).otherwise(0)
         p /= k + 1
@@ -119,7 +119,7 @@ def positive_values(rows: DataFrame, fprs=(0.01,)) -> DataFrame:
         F.col("task").alias("_task"), F.col("score").alias("_score"), ((F.col("all_neg") - F.col("fp") + F.col("neg") * 0.5) / F.col("all_neg")).alias("auc_part")
     )
     pos = rows.where("y").join(rank, (F.col("task") == F.col("_task")) & (F.col("score") == F.col("_score"))).drop("_task", "_score")
-    pos = lookup(pos, cuts, [("task", "_t")], how="inner", salt_by="score").drop("_t")
+    pos = lookup(pos, cuts, [("task", "_t")], how="inner", small=True).drop("_t")
     return pos.withColumns({f"caught_{i}": (F.col("score") > F.col(f"_s_{i}")).cast("double") for i in range(len(fprs))})
 
 
@@ -198,7 +198,7 @@ def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int
     inner = edges.select("_f", F.size("edges").alias("_n"), F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0))).alias("inner"))
 
     def histogram(df, name):
-        placed = lookup(df, inner, [("feature", "_f")], how="inner", salt_by="value")
+        placed = lookup(df, inner, [("feature", "_f")], how="inner", small=True)
         # bins are [e0,e1) ... [en-1,en]: a value on an inner border belongs to the bin it opens
         b = F.size(F.filter("inner", lambda e: e <= F.col("value")))
         return placed.withColumn("bin", b).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias(name), F.max("_n").alias(f"n_{name}"))

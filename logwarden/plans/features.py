@@ -19,6 +19,7 @@ from ..operators.running import Running, running
 from ..operators.slicing import DEFAULT_SLICE_ROWS
 from ..operators.sweep import Count, Distinct, Latest, Streak, sweep
 
+# Attributes, feature groups and feature names.
 FREEMAN_ATTRS = ("ip", "country", "asn", "ua", "browser", "os", "device")
 NOVELTY_ATTRS = ("country", "asn", "ip", "ua", "browser", "os", "device", "browser_family", "os_family")
 

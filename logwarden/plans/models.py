@@ -190,7 +190,7 @@ def fit_knn(train: DataFrame, features: list[str], *, rows: int = 30_000, k: int
     """A bounded reference sample of normal logins in scaled space."""
     pool = _bounded_sample(train, rows, seed)
     fill, mean, sd = _scaling(pool, features)
-    ref = pool.select(*[F.col(c).cast("double").alias(c) for c in features]).limit(2 * rows).toPandas()  # bounded by the model's size
+    ref = pool.select(*[F.col(c).cast("double").alias(c) for c in features]).toPandas()  # bounded by the model's size
     return {"features": features, "fill": fill, "mean": mean, "sd": sd, "k": k, "ref": _matrix(ref, features, fill, mean, sd)}
 
 

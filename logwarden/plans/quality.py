@@ -9,7 +9,6 @@ from ..functions import splits as sp
 from ..operators.joins import lookup
 from ..operators.running import Running, running
 
-MEGA_USER = 50_000
 
 
 def log_integrity(df: DataFrame) -> DataFrame:
@@ -46,9 +45,9 @@ def uniform(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def pick_users(stats: DataFrame, *, seed: int = 20260920, mega: int = MEGA_USER) -> DataFrame:
-    """Stratified sample of users; users with takeovers always, mega users never."""
-    s = stats.where(F.col("n_events") < mega).withColumns({"stratum": sp.stratum(F.col("n_events")), "forced": F.col("n_ato") > 0})
+def pick_users(stats: DataFrame, *, seed: int = 20260920, exclude_from: int | None = None) -> DataFrame:
+    """Stratified sample of users; users with takeovers always.  ``exclude_from`` leaves out users of that many rows on; it is off."""
+    s = (stats if exclude_from is None else stats.where(F.col("n_events") < exclude_from)).withColumns({"stratum": sp.stratum(F.col("n_events")), "forced": F.col("n_ato") > 0})
     s = s.withColumn("sample_rate", F.when(F.col("forced"), 1.0).otherwise(sp.stratum_rate(F.col("stratum"))))
     return s.where(F.col("forced") | (uniform(F.col("uid"), seed) < F.col("sample_rate"))).select("uid", "stratum", "sample_rate", "forced")
 
@@ -64,7 +63,7 @@ def with_partition(df: DataFrame, cut: sp.Cutoffs) -> DataFrame:
     return out.withColumn("weight", sp.row_weight(F.col("partition"), F.col("ip_group"), F.col("is_attack_ip")))
 
 
-def violations(df: DataFrame, picked: DataFrame, stats: DataFrame) -> DataFrame:
+def violations(df: DataFrame, picked: DataFrame, stats: DataFrame, exclude_from: int | None = None) -> DataFrame:
     """Sample invariants as counts; every count must be 0."""
     kept = df.where(F.col("partition").isin("train", "val", "test", "late"))
     ips = kept.where("is_attack_ip").select("partition", "ip").distinct()
@@ -81,7 +80,7 @@ def violations(df: DataFrame, picked: DataFrame, stats: DataFrame) -> DataFrame:
         ("missing_events", df.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(expected)).select(F.abs(F.col("v") - F.col("n")).alias("v"))),
         ("time_order", wrong.agg(F.count(F.lit(1)).alias("v"))),
         ("misplaced_takeovers", df.where("is_ato AND partition <> 'ato'").agg(F.count(F.lit(1)).alias("v"))),
-        ("mega_users", picked.join(stats.where(F.col("n_events") >= MEGA_USER), "uid", "left_semi").agg(F.count(F.lit(1)).alias("v"))),
+        ("mega_users", picked.join(stats.where(F.col("n_events") >= F.lit(exclude_from)), "uid", "left_semi").agg(F.count(F.lit(1)).alias("v"))),
     ]
     out = None
     for name, frame in checks:

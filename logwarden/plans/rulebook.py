@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
-from ..functions.text import short
 from ..functions.timefn import DAY, HOUR
 from ..operators.sequence import gap_cv, mean_gap_s
 from .rules import REPUTATION, Ask, Finding, Param, rule
@@ -27,6 +26,9 @@ SCRIPT_MARKERS = (
 failed = lambda: ~F.col("success")
 
 
+# Fixed values in all rules below: defaults and ranges of the parameters, severities, techniques and modes.
+
+
 @rule(
     id="brute_force", category=GUESSING, severity="high", techniques=["T1110.001"], title="Many failures on one name",
     params={"threshold": Param(5, 2, 1000), "window_s": Param(300, 10, DAY_S)},
@@ -129,7 +131,7 @@ def success_after_failures(ask: Ask, p) -> Finding:
 
 @rule(id="bot_user_agent", category=AUTOMATION, severity="low", techniques=["T1110"], title="Bot user agent")
 def bot_user_agent(ask: Ask, p) -> Finding:
-    return Finding(F.col("device_type") == "bot", {"user_agent": short(F.col("ua"), 120)})
+    return Finding(F.col("device_type") == "bot", {"user_agent": F.trim(F.coalesce(F.col("ua"), F.lit("")))})
 
 
 @rule(
@@ -141,7 +143,7 @@ def scripted_client(ask: Ask, p) -> Finding:
     lowered = F.lower(ua)
     first = F.coalesce(*[F.when(lowered.contains(m), F.lit(m)) for m in p.markers]) if p.markers else F.lit(None).cast("string")
     marker = F.when(ua == "", F.lit("(empty)") if p.flag_empty_ua else F.lit(None)).otherwise(first)
-    return Finding(marker.isNotNull(), {"marker": marker, "user_agent": short(ua, 120)})
+    return Finding(marker.isNotNull(), {"marker": marker, "user_agent": ua})
 
 
 @rule(

@@ -27,7 +27,6 @@ from ..sources.attempts import LABELS, with_geo, with_keys
 from . import blocklist as bl
 
 MODES = ("enforce", "shadow", "off")
-DISTINCT_CAP = 200
 REPUTATION = "infrastructure reputation"
 
 
@@ -162,7 +161,7 @@ class Ask:
 
     def distinct(self, key: str, value: str, kind: str, window_s: int) -> Column:
         name = f"d_{key}_{value}_{kind}_{window_s}"
-        self.measures.setdefault(key, {})[name] = Distinct(name, int(window_s * SECOND), self.VALUES[value](), self.KINDS[kind](), DISTINCT_CAP)
+        self.measures.setdefault(key, {})[name] = Distinct(name, int(window_s * SECOND), self.VALUES[value](), self.KINDS[kind]())
         return F.col(name)
 
     def last_fails(self, n: int) -> Column:

@@ -99,3 +99,23 @@ def test_hybrid_override_and_rounding(spark):
     assert (r["score"], r["action"], r["overridden_by"]) == (100, "lock", "blocklist_hit")
     with pytest.raises(ValueError):
         Bands(50, 40, 90)
+
+
+@pytest.mark.parametrize("slice_rows", [10_000, 150])
+def test_large_sprays_do_not_go_silent(spark, slice_rows):
+    rows = [attempt(i, i * 60 * S, username=f"n{i}", asn=None) for i in range(700)]
+    assert fired(spark, rows, "password_spray_slow", slice_rows=slice_rows) == list(range(14, 700))
+
+
+def test_profile_merges_chosen_rungs(spark):
+    from logwarden.plans import ladders as ld
+
+    picks = spark.createDataFrame([("brute_force", 4), ("credential_stuffing/ip", 2), ("credential_stuffing/asn", 1), ("password_spray_slow/asn", 3), ("country_hop", 2), ("scripted_client", 1), ("dormant_account_login", 1)], "ladder string, rung int")
+    rows = {r.rule_id: r for r in ld.profile(spark, picks).collect()}
+    assert len(ld.LADDERS) == 14 and rows["brute_force"].params == {"threshold": 6.0}
+    # the network scope is left out of profiles, so it is off
+    assert rows["credential_stuffing"].params == {"min_fails": 6.0, "min_users": 3.0, "asn_min_fails": 1e6, "asn_min_users": 1e6}
+    assert rows["password_spray_slow"].params == {"asn_min_users": 60.0, "min_users": 1e5}
+    assert rows["ua_rotation"].mode == "shadow" and rows["dormant_account_login"].mode == "shadow" and rows["country_hop"].mode == "shadow"
+    assert rows["scripted_client"].mode == "enforce"
+    R.Config.from_dict(ld.as_config([*rows.values()]))

@@ -96,6 +96,19 @@ def test_last_n_and_sliding_values(spark, slice_rows):
         assert recent[e["row_id"]] == list(reversed(order))[:2]
 
 
+@pytest.mark.parametrize("limit", [None, 3])
+@pytest.mark.parametrize("slice_rows", [10_000, 10])
+def test_sliding_values_order_ties_by_row(spark, slice_rows, limit):
+    rows = [attempt(i, (i // 4) * 1_000_000, country=f"C{(i * 7) % 5}", success=True) for i in range(60)]
+    out = sliding_values(frame(spark, rows), "ip", F.col("country"), D, limit=limit, slice_rows=slice_rows)
+    for r in out.collect():
+        order = []
+        for i in range(r["row_id"] + 1):
+            v = f"C{(i * 7) % 5}"
+            order = [x for x in order if x != v] + [v]
+        assert r["values"] == order[::-1][:limit]
+
+
 def test_window_edges(spark):
     rows = [attempt(0, 0), attempt(1, H - 1), attempt(2, H), attempt(3, H + 1)]
     for boundary, want in (("open", [0, 1, 1, 2]), ("closed", [0, 1, 2, 2]), ("trailing", [1, 2, 2, 3])):
