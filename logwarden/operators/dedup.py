@@ -3,7 +3,8 @@
 The group is anchored at its first event, so it is not a gap session: the next group
 starts at the first event later than anchor + window.  Chains are followed per key and
 time chunk in parallel; between chunks only each chunk's entry -> exit step function is
-handed on (how the anchor that is open on entry decides the anchor open on exit).
+handed on (how the anchor that is open on entry decides the anchor open on exit).  Python sees
+distinct times only; rows get their anchor by a running maximum.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import Running, running
+from .slicing import DEFAULT_SLICE_ROWS
+
 NONE = -(1 << 62)  # no open anchor yet
 
 
@@ -31,7 +35,7 @@ def _exits(t: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def anchors(df: DataFrame, keys: list[str], window_us: int, *, chunk_us: int | None = None, t: str = "t", row_id: str = "row_id") -> DataFrame:
+def anchors(df: DataFrame, keys: list[str], window_us: int, *, chunk_us: int | None = None, t: str = "t", row_id: str = "row_id", slice_rows: int = DEFAULT_SLICE_ROWS, total_rows: int | None = None) -> DataFrame:
     """``row_id, anchor_t``: the time of the first event of the group each row belongs to."""
     chunk = chunk_us or 96 * window_us
     slim = df.select(row_id, t, *keys).withColumn("_k", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
@@ -67,17 +71,21 @@ def anchors(df: DataFrame, keys: list[str], window_us: int, *, chunk_us: int | N
 
     entries = steps.groupBy("k").applyInPandas(chain, "k string, c bigint, entry bigint")
 
-    def assign(key, pdf: pd.DataFrame, seed: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(pdf["t"].unique().astype(np.int64))
+    def starts(key, pdf: pd.DataFrame, seed: pd.DataFrame) -> pd.DataFrame:
+        ts = np.sort(pdf["t"].to_numpy(np.int64))
         entry = int(seed["entry"].iloc[0])
-        found = [entry] if entry != NONE else []
-        i = int(np.searchsorted(ts, entry + window_us, side="right")) if found else 0
+        found = []
+        i = int(np.searchsorted(ts, entry + window_us, side="right")) if entry != NONE else 0
         nxt = _next_after(ts, window_us)
         while i < len(ts):
             found.append(int(ts[i]))
             i = int(nxt[i])
-        marks = np.array(found, dtype=np.int64)
-        at = np.searchsorted(marks, pdf["t"].to_numpy(np.int64), side="right") - 1
-        return pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "anchor_t": marks[at]})
-
-    return slim.groupBy("k", "c").cogroup(entries.groupBy("k", "c")).applyInPandas(assign, "row_id bigint, anchor_t bigint")
+        return pd.DataFrame({"k": key[0], "anchor_t": np.array(found, dtype=np.int64)})
+
+    begun = times.groupBy("k", "c").cogroup(entries.groupBy("k", "c")).applyInPandas(starts, "k string, anchor_t bigint")
+    # rows take the latest start so far; a hot key is sliced like any other running value
+    rows = slim.select("k", "t", "row_id", F.lit(None).cast("bigint").alias("_start"))
+    marks = begun.select("k", F.col("anchor_t").alias("t"), F.lit(None).cast("bigint").alias("row_id"), F.col("anchor_t").alias("_start"))
+    total = total_rows if total_rows is not None else df.count()
+    out = running(rows.unionByName(marks), ["k"], ["t", "row_id"], [Running("anchor_t", "max", F.col("_start"), "upto")], slice_rows=slice_rows, total_rows=total)
+    return out.where("row_id IS NOT NULL").select("row_id", "anchor_t")

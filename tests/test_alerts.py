@@ -13,11 +13,12 @@ from logwarden.plans import campaigns as cp
 from helpers import D, H
 
 
-@pytest.mark.parametrize("chunk", [None, 1_000, 137])
-def test_anchored_groups(spark, chunk):
+@pytest.mark.parametrize("chunk,slice_rows", [(None, 10_000), (1_000, 10_000), (137, 40)])
+def test_anchored_groups(spark, chunk, slice_rows):
     rng = random.Random(5)
-    rows = [(i, rng.randrange(0, 20_000), rng.choice("ab")) for i in range(400)]
-    got = {r["row_id"]: r["anchor_t"] for r in anchors(spark.createDataFrame(rows, "row_id bigint, t bigint, k string"), ["k"], 100, chunk_us=chunk).collect()}
+    rows = [(i, rng.randrange(0, 20_000), rng.choice("aab")) for i in range(400)]
+    frame = spark.createDataFrame(rows, "row_id bigint, t bigint, k string")
+    got = {r["row_id"]: r["anchor_t"] for r in anchors(frame, ["k"], 100, chunk_us=chunk, slice_rows=slice_rows).collect()}
     for key in "ab":
         anchor = None
         for i, t, _ in sorted((r for r in rows if r[2] == key), key=lambda r: (r[1], r[0])):
