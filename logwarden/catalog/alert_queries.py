@@ -326,13 +326,14 @@ def campaigns(spark, sf):
 @query(
     "campaign_windows",
     with_attempts(
-        """SELECT days, COUNT(*) AS campaigns, COUNT(*) FILTER (WHERE v >= 2) AS multi_victim, round(SUM(CASE WHEN v >= 2 THEN n ELSE 0 END) * 100.0::DOUBLE / SUM(n), 6) AS coverage_pct, MAX(n) AS largest
+        """SELECT days, COUNT(*) AS campaigns, COUNT(*) FILTER (WHERE v >= 2) AS multi_victim, round(SUM(CASE WHEN v >= 2 THEN n ELSE 0 END) * 100.0::DOUBLE / SUM(n), 6) AS coverage_pct, MAX(n) AS largest,
+          COALESCE(array_to_string(list_slice(list_reverse_sort(list(n) FILTER (WHERE v >= 2)), 1, 3), ','), '') AS top
         FROM (SELECT days, campaign, COUNT(*) AS n, COUNT(DISTINCT uid) AS v FROM comp JOIN nodes USING (row_id) GROUP BY 1, 2) GROUP BY 1""", 1, ATO, _components("(1), (7), (30), (90)")).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def campaign_windows(spark, sf):
     nodes = ato_nodes(spark, sf)
     out = cp.summary(nodes, cp.correlate(nodes, [d * DAY for d in (1, 7, 30, 90)]))
-    return out.select((F.col("window_us") / DAY).cast("int").alias("days"), "campaigns", "multi_victim", "coverage_pct", "largest")
+    return out.select((F.col("window_us") / DAY).cast("int").alias("days"), "campaigns", "multi_victim", "coverage_pct", "largest", F.array_join("top", ",").alias("top"))
 
 
 @query(

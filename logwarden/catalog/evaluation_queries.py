@@ -85,16 +85,20 @@ def threshold_transfer(spark, sf):
     return out.select("task", "threshold", F.round("fpr", 6).alias("fpr"), F.round("recall", 6).alias("recall"))
 
 
+# Shares of attacks among logins for which precision is stated.
+PREVALENCES = {"1e4": 0.0001, "1e3": 0.001, "1e2": 0.01}
+
+
 @query(
     "operating_points",
     with_attempts(
-        """SELECT task, round(CASE WHEN r * 0.001::DOUBLE + f * 0.999::DOUBLE > 0 THEN r * 0.001::DOUBLE / (r * 0.001::DOUBLE + f * 0.999::DOUBLE) ELSE 0 END, 6) AS precision_1e3 FROM
+        f"""SELECT task, {", ".join(f"round(CASE WHEN r * {p}::DOUBLE + f * {1 - p}::DOUBLE > 0 THEN r * {p}::DOUBLE / (r * {p}::DOUBLE + f * {1 - p}::DOUBLE) ELSE 0 END, 6) AS precision_{n}" for n, p in PREVALENCES.items())} FROM
         (SELECT task, SUM(CASE WHEN score > s THEN pos ELSE 0 END) / MAX(allp) AS r, SUM(CASE WHEN score > s THEN neg ELSE 0 END) / MAX(alln) AS f FROM cv JOIN star USING (task) GROUP BY 1)""", 1, SCORES, CURVE, _STAR),
 )
 def operating_points(spark, sf):
     rows = score_rows(spark, sf)
     real = ev.realized(rows, ev.thresholds(rows, 0.01))
-    return real.select("task", F.round(ev.precision_at(F.col("recall"), F.col("fpr"), 1e-3), 6).alias("precision_1e3"))
+    return real.select("task", *[F.round(ev.precision_at(F.col("recall"), F.col("fpr"), p), 6).alias(f"precision_{n}") for n, p in PREVALENCES.items()])
 
 
 @query(
@@ -353,7 +357,7 @@ def new_ip_by_gap(spark, sf):
     return df.groupBy(sp.gap_bucket(F.col("u_secs_since_last_success")).alias("gap")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.when(F.col("new_ip") == 1, w).otherwise(0.0)) / F.sum(w), 6).alias("new_ip_share"))
 
 
-_DRIFT = ["u_attempts_24h", "ip_attempts_24h", "rare_country", "asn_fail_ratio_24h", "cur_success"]
+_DRIFT = FEATURES
 
 
 @query("typical_values", with_attempts(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(COALESCE(quantile_cont({c}, 0.5), 0), 6) AS typical FROM fr WHERE {LEGIT}" for c in _DRIFT), 1, *EVAL_CTES))
@@ -364,7 +368,7 @@ def typical_values(spark, sf):
 
 _EDGES = "list_sort(list_distinct(quantile_cont({c}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])))"
 PSI_SQL = " UNION ALL ".join(
-    f"""SELECT '{c}' AS feature, CASE WHEN ne < 3 THEN CASE WHEN rmin = cmin AND rmax = cmax THEN 0.0::DOUBLE END ELSE round(p, 6) + 0.0::DOUBLE END AS psi, n_reference, n_current FROM (
+    f"""SELECT '{c}' AS feature, CASE WHEN ne < 3 THEN CASE WHEN rmin = cmin AND rmax = cmax THEN 0.0::DOUBLE END ELSE round(p, 6) + 0.0::DOUBLE END AS psi, n_reference, n_current, n_current < 30 AS low_confidence FROM (
     SELECT SUM((cs - rs) * ln(cs / rs)) AS p, MAX(rt) AS n_reference, MAX(ct) AS n_current, MAX(ne) AS ne, MAX(rmin) AS rmin, MAX(rmax) AS rmax, MAX(cmin) AS cmin, MAX(cmax) AS cmax FROM (
       SELECT greatest(r / rt, 1e-4::DOUBLE) AS rs, greatest(c / ct, 1e-4::DOUBLE) AS cs, rt, ct, ne, rmin, rmax, cmin, cmax FROM (
         SELECT b, COUNT(*) FILTER (WHERE ref)::DOUBLE AS r, COUNT(*) FILTER (WHERE NOT ref)::DOUBLE AS c, MAX(rt) AS rt, MAX(ct) AS ct, MAX(ne) AS ne, MAX(rmin) AS rmin, MAX(rmax) AS rmax, MAX(cmin) AS cmin, MAX(cmax) AS cmax FROM (
@@ -380,7 +384,7 @@ def psi_drift(spark, sf):
     """Drift of test against train for several features."""
     df = rounded(feature_rows(spark, sf, stored=True)).select("part", *_DRIFT)
     out = ev.psi(df.where("part = 'train'"), df.where("part = 'test'"), _DRIFT)
-    return out.select("feature", (F.round("psi", 6) + F.lit(0.0)).alias("psi"), "n_reference", "n_current")
+    return out.select("feature", (F.round("psi", 6) + F.lit(0.0)).alias("psi"), "n_reference", "n_current", "low_confidence")
 
 
 _FLAGS = ["new_country", "new_asn", "new_ip", "new_ua", "new_device"]

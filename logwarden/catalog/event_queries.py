@@ -9,6 +9,7 @@ from ..functions import text, timefn
 from ..functions.geo import haversine_km
 from ..operators.quantile import exact_quantiles
 from ..plans import quality as ql
+from ..plans.features import FEATURES, compute_features
 from ..plans.simulate import counterfactual_features, donors_for, select_anchors
 from ..sources import csvlog
 from ..sources.attempts import read_attempts, with_geo
@@ -183,12 +184,9 @@ def ua_dimension(spark, sf):
     return ql.ua_dimension(read_attempts(spark, sf))
 
 
-@query("null_rates", with_attempts(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(AVG(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS missing FROM feats" for c in ("u_age_days", "u_secs_since_last", "u_secs_since_last_success", "ip_fail_ratio_24h", "asn_fail_ratio_24h", "new_ip", "llr_sum", "rare_ip", "cur_success")), 1, *ALL_CTES, FEATURES_CTE))
+@query("null_rates", with_attempts(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(AVG(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS missing FROM feats" for c in FEATURES), 1, *ALL_CTES, FEATURES_CTE))
 def null_rates(spark, sf):
-    from ..plans.features import compute_features
-
-    cols = ["u_age_days", "u_secs_since_last", "u_secs_since_last_success", "ip_fail_ratio_24h", "asn_fail_ratio_24h", "new_ip", "llr_sum", "rare_ip", "cur_success"]
-    return ql.null_rates(compute_features(read_attempts(spark, sf)), cols)
+    return ql.null_rates(compute_features(read_attempts(spark, sf)), FEATURES)
 
 
 # ------------------------------------------------------------------ aggregates

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import DAY
@@ -63,7 +63,7 @@ def correlate(nodes: DataFrame, windows_us: list[int], *, slice_rows: int = DEFA
 
 
 def summary(nodes: DataFrame, correlated: DataFrame) -> DataFrame:
-    """Per window: campaigns, those with several victims, covered share, size of the largest."""
+    """Per window: campaigns, those with several victims, covered share, size of the largest, sizes of the three largest with several victims."""
     who = nodes.select("row_id", "uid")
     joined = correlated.join(who, "row_id")
     per = joined.groupBy("window_us", "campaign").agg(F.count(F.lit(1)).alias("n"))
@@ -72,12 +72,17 @@ def summary(nodes: DataFrame, correlated: DataFrame) -> DataFrame:
     )
     both = per.join(victims, ["window_us", "campaign"])
     multi = F.col("victims") >= 2
-    return both.groupBy("window_us").agg(
+    # the rank filter keeps three rows per window and task before anything is shuffled
+    rank = F.row_number().over(Window.partitionBy("window_us").orderBy(F.desc("n"), "campaign"))
+    best = both.where(multi).withColumn("_r", rank).where(F.col("_r") <= 3)
+    top = best.groupBy(F.col("window_us").alias("_w")).agg(F.sort_array(F.collect_list("n"), asc=False).alias("top"))
+    sizes = both.groupBy("window_us").agg(
         F.count(F.lit(1)).alias("campaigns"),
         F.count_if(multi).alias("multi_victim"),
         F.round(F.sum(F.when(multi, F.col("n")).otherwise(0)) * 100.0 / F.sum("n"), 6).alias("coverage_pct"),
         F.max("n").alias("largest"),
     )
+    return sizes.join(F.broadcast(top), F.col("window_us") == F.col("_w"), "left").drop("_w").withColumn("top", F.coalesce("top", F.array().cast("array<bigint>")))
 
 
 def infra_links(alerts: DataFrame, window_us: int = DAY, *, slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
