@@ -1,9 +1,12 @@
 """Rules on a stream: each micro-batch is scored by the batch operators over the retained log.
 
-The state is the log itself, a Parquet table in a shared folder.  A batch reads the part
-of it that its windows can reach, scores with the same columns as the batch engine (so a
-hot key is sliced here as well) and keeps only its own rows.  Reruns of a batch after a
-failure overwrite their own partition, which makes the sink idempotent.
+The state is the log itself, a Parquet table in a shared folder, and nothing of it is
+forgotten.  A batch reads what its rules can see: all rows within the longest window
+(``WINDOW_US``); if a rule knows the account's past, all rows of the batch's accounts; if a
+rule knows the traffic of networks, all rows that count there.  It scores them with the
+same columns as the batch engine (so a hot key is sliced here as well) and keeps only its
+own rows.  Reruns of a batch after a failure overwrite their own partition, which makes
+the sink idempotent.
 """
 
 from __future__ import annotations
@@ -17,19 +20,27 @@ from ..functions.timefn import DAY
 from ..plans import rules as R
 
 
+#: No rule parameter allows a longer window.
+WINDOW_US = 7 * DAY
+
+
 class RuleStream:
     """``foreachBatch`` handler.  Lookups are re-read per batch, so edits take effect."""
 
-    def __init__(
-        self,
-        log_path: str,
-        hits_path: str,
-        plan: R.Plan,
-        intel: Callable[[SparkSession], R.Intel] = lambda spark: R.Intel(),
-        *,
-        retention_us: int = 7 * DAY,
-    ) -> None:
-        self.log_path, self.hits_path, self.plan, self.intel, self.retention_us = log_path, hits_path, plan, intel, retention_us
+    def __init__(self, log_path: str, hits_path: str, plan: R.Plan, intel: Callable[[SparkSession], R.Intel] = lambda spark: R.Intel()) -> None:
+        self.log_path, self.hits_path, self.plan, self.intel = log_path, hits_path, plan, intel
+        self.needs = {need for r, _, _ in plan.rules for need in r.needs}
+
+    def visible(self, log: DataFrame, batch_id: int, oldest: int) -> DataFrame:
+        """The rows of the log that a rule of the plan can see from the batch."""
+        near = F.col("t") > oldest - WINDOW_US
+        seen = near
+        if "global_stats" in self.needs:
+            seen = seen | (F.col("success") & F.col("uid").isNotNull() & F.col("asn").isNotNull())
+        if "history" not in self.needs:
+            return log.where(seen)
+        accounts = log.where((F.col("batch") == batch_id) & F.col("uid").isNotNull()).select(F.col("uid").alias("_uid")).distinct().withColumn("_own", F.lit(True))
+        return log.join(accounts, F.col("uid") == F.col("_uid"), "left").where(seen | F.coalesce("_own", F.lit(False))).drop("_uid", "_own")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -39,7 +50,7 @@ class RuleStream:
         oldest = log.where(F.col("batch") == batch_id).agg(F.min("t")).first()[0]
         if oldest is None:
             return
-        context = log.where(F.col("t") > oldest - self.retention_us)
+        context = self.visible(log, batch_id, oldest)
         scored = R.evaluate(context.drop("batch"), self.plan, self.intel(spark))
         mine = log.where(F.col("batch") == batch_id).select("row_id")
         R.hits(scored).join(mine, "row_id", "left_semi").write.mode("overwrite").parquet(f"{self.hits_path}/batch={batch_id}")

@@ -11,7 +11,7 @@ from logwarden.streaming import rules as sr
 from logwarden.streaming import state as ss
 from logwarden.streaming import views as sv
 
-from helpers import S, SCHEMA, attempt, frame
+from helpers import D, H, S, SCHEMA, attempt, frame
 
 
 def log():
@@ -62,6 +62,24 @@ def test_rule_stream_equals_batch(spark):
     assert got == want and got
 
 
+def test_rule_stream_remembers_accounts_and_networks(spark):
+    """120 days in six batches: dormant accounts, rare networks and travel need the whole past."""
+    rows = [attempt(i, i * D, uid=i % 4, username=f"n{i % 4}", ip=f"10.0.{i % 3}.1", asn=100 if i % 29 else 7, country=f"C{(i // 40) % 3}", ua=f"a{i // 50}", success=True) for i in range(120)]
+    rows += [attempt(200, 119 * D + H, uid=9, username="n9", success=True, country="C0"), attempt(201, 3 * D + 5, uid=9, username="n9", success=True, country="C1")]
+    rows.sort(key=lambda r: r[1])
+    config = R.Config.from_dict({"rules": {"rare_network_login": {"params": {"max_share": 0.01, "min_total": 100}}}})
+    plan = R.Plan.of(config, ["dormant_account_login", "rare_network_login", "impossible_travel", "brute_force"])
+    out, hist = tempfile.mkdtemp(prefix="logwarden-hits-"), tempfile.mkdtemp(prefix="logwarden-log-")
+    handler = sr.RuleStream(hist, out, plan)
+    for k in range(6):
+        part = rows[k * 21 : (k + 1) * 21]
+        if part:
+            handler(frame(spark, part), k)
+    got = sorted((r["row_id"], r["rule_id"]) for r in spark.read.parquet(out).collect())
+    want = sorted((r["row_id"], r["rule_id"]) for r in R.hits(R.evaluate(frame(spark, rows), plan)).collect())
+    assert got == want and (200, "dormant_account_login") in got
+
+
 def test_tumbling_view_and_unique_hits(spark):
     rows = log()
     stream = sv.read_attempt_stream(spark, feed(spark, rows + rows[-5:]), SCHEMA)
