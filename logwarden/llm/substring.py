@@ -146,28 +146,34 @@ def repeated_spans(shard: list[tuple], window: int = WINDOW) -> list[list[tuple[
 
 
 def _marks(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``_key, _id, _th, n_words, sha`` and ``parts`` (anchor, passage, s, e) per row; the text goes."""
+    """``_key, _id, _th, n_words, sha`` and ``parts`` per row: each distinct passage (anchor, hash) once, with its width and the
+    words it starts at; the text goes."""
     kind = dict(docs.dtypes)["_key"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            n, shas, parts, ends = [], [], [], [0]
+            n, shas, parts, rows, starts = [], [], [], [0], [0]
             for x in b.column("_text").to_pylist():
                 words = split(x)
-                found = passages(word_hashes(words), window, gram)
+                fp, ctx, first, end = passages(word_hashes(words), window, gram)
+                order = np.lexsort((first, ctx, fp))
+                fp, ctx, first, end = fp[order], ctx[order], first[order], end[order]
+                new = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])))) if len(fp) else order
                 n.append(len(words))
                 shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                parts.append(found)
-                ends.append(ends[-1] + len(found[0]))
+                parts.append((fp[new], ctx[new], (end - first)[new], first))
+                rows.append(rows[-1] + len(new))
+                starts += (starts[-1] + np.append(new[1:], len(fp))).tolist() if len(new) else []
             flat = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(4)]
-            struct = pa.StructArray.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1].view(np.int64)), pa.array(flat[2].astype(np.int32)), pa.array(flat[3].astype(np.int32))], names=["fp", "ctx", "s", "e"])
-            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_id"), b.column("_th"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)], names=["_key", "_id", "_th", "n_words", "sha", "parts"])
+            at = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat[3].astype(np.int32)))
+            struct = pa.StructArray.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1].view(np.int64)), pa.array(flat[2].astype(np.int32)), at], names=["fp", "ctx", "width", "at"])
+            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_id"), b.column("_th"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), struct)], names=["_key", "_id", "_th", "n_words", "sha", "parts"])
 
-    return docs.mapInArrow(run, f"_key {kind}, _id long, _th long, n_words long, sha string, parts array<struct<fp:long,ctx:long,s:int,e:int>>")
+    return docs.mapInArrow(run, f"_key {kind}, _id long, _th long, n_words long, sha string, parts array<struct<fp:long,ctx:long,width:int,at:array<int>>>")
 
 
 def _asked(held: DataFrame) -> DataFrame:
-    """``fp, crowded, _id, _th, s, words``: the word hashes of the passages that a row asks about, each once a row."""
+    """``fp, crowded, _id, _th, at, words``: the word hashes of the passages that a row asks about, with the places they start at."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -179,11 +185,11 @@ def _asked(held: DataFrame) -> DataFrame:
                 for lo in range(0, len(asks), 512):
                     part = asks[lo : lo + 512]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([m["fp"] for m in part], pa.int64()), pa.array([m["crowded"] for m in part], pa.bool_()), pa.array([i] * len(part), pa.int64()), pa.array([th] * len(part), pa.int64()), pa.array([m["s"] for m in part], pa.int32()), pa.array([h[m["s"] : m["e"]] for m in part], pa.list_(pa.int64()))],
-                        names=["fp", "crowded", "_id", "_th", "s", "words"],
+                        [pa.array([m["fp"] for m in part], pa.int64()), pa.array([m["crowded"] for m in part], pa.bool_()), pa.array([i] * len(part), pa.int64()), pa.array([th] * len(part), pa.int64()), pa.array([m["at"] for m in part], pa.list_(pa.int32())), pa.array([h[m["at"][0] : m["at"][0] + m["width"]] for m in part], pa.list_(pa.int64()))],
+                        names=["fp", "crowded", "_id", "_th", "at", "words"],
                     )
 
-    return held.mapInArrow(run, "fp long, crowded boolean, _id long, _th long, s int, words array<long>")
+    return held.mapInArrow(run, "fp long, crowded boolean, _id long, _th long, at array<int>, words array<long>")
 
 
 def _by_automata(asked: DataFrame, window: int) -> DataFrame:
@@ -191,13 +197,13 @@ def _by_automata(asked: DataFrame, window: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(shard: list) -> pa.RecordBatch:
-            rows = [(i, th, s + lo, s + hi) for (i, th, s, _), spans in zip(shard, repeated_spans([(r[0], r[3]) for r in shard], window), strict=True) for lo, hi in spans]
+            rows = [(i, th, s + lo, s + hi) for (i, th, at, _), spans in zip(shard, repeated_spans([(r[0], r[3]) for r in shard], window), strict=True) for lo, hi in spans for s in at]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_id", "_th", "s", "e"])
 
         now, shard = None, []
         for b in it:
-            for fp, *row in zip(*(b.column(c).to_pylist() for c in ("fp", "_id", "_th", "s", "words")), strict=True):
+            for fp, *row in zip(*(b.column(c).to_pylist() for c in ("fp", "_id", "_th", "at", "words")), strict=True):
                 if fp != now and shard:
                     yield answer(shard)
                     shard = []
@@ -206,8 +212,8 @@ def _by_automata(asked: DataFrame, window: int) -> DataFrame:
         if shard:
             yield answer(shard)
 
-    rows = asked.where("not crowded").repartition("fp").sortWithinPartitions("fp", "_id", "s")
-    return rows.select("fp", "_id", "_th", "s", "words").mapInArrow(run, "_id long, _th long, s int, e int")
+    rows = asked.where("not crowded").repartition("fp").sortWithinPartitions("fp", "_id", "_th")
+    return rows.select("fp", "_id", "_th", "at", "words").mapInArrow(run, "_id long, _th long, s int, e int")
 
 
 def _by_windows(asked: DataFrame, window: int) -> DataFrame:
@@ -216,17 +222,17 @@ def _by_windows(asked: DataFrame, window: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = _powers(_P, window)[::-1]
         for b in it:
-            for i, th, s, words in zip(*(b.column(c).to_pylist() for c in ("_id", "_th", "s", "words")), strict=True):
+            for i, th, at, words in zip(*(b.column(c).to_pylist() for c in ("_id", "_th", "at", "words")), strict=True):
                 with np.errstate(over="ignore"):
                     m = mixed(np.array(words, np.int64).view(np.uint64))
                     seen = np.lib.stride_tricks.sliding_window_view(m, window)
                     one, two = (seen * scale).sum(axis=1, dtype=np.uint64), (mixed(seen + np.uint64(1)) * scale).sum(axis=1, dtype=np.uint64)
                 n = len(one)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([i] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(np.arange(s, s + n, dtype=np.int32))], names=["one", "two", "_id", "_th", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([i] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array([at] * n, pa.list_(pa.int32()))], names=["one", "two", "_id", "_th", "off", "at"])
 
-    windows = stored(asked.where("crowded").mapInArrow(run, "one long, two long, _id long, _th long, s int"))
+    windows = stored(asked.where("crowded").mapInArrow(run, "one long, two long, _id long, _th long, off int, at array<int>"))
     first = windows.groupBy("one", "two").agg(F.min("_id").alias("_first"))
-    return windows.join(first, ["one", "two"]).where("_id > _first").select("_id", "_th", "s", (F.col("s") + window).alias("e"))
+    return windows.join(first, ["one", "two"]).where("_id > _first").select("_id", "_th", "off", F.explode("at").alias("s")).select("_id", "_th", (F.col("s") + F.col("off")).alias("s"), (F.col("s") + F.col("off") + window).alias("e"))
 
 
 def _removed(held: DataFrame) -> DataFrame:
@@ -236,7 +242,10 @@ def _removed(held: DataFrame) -> DataFrame:
             for text, marks, more in zip(*(b.column(c).to_pylist() for c in ("_text", "marks", "more")), strict=True):
                 words = split(text)
                 keep = np.ones(len(words), bool)
-                for m in [*(m for m in marks if not m["ask"]), *(more or ())]:
+                for m in marks:
+                    for s in () if m["ask"] else m["at"]:
+                        keep[s : s + m["width"]] = False
+                for m in more or ():
                     keep[m["s"] : m["e"]] = False
                 n.append(int(len(words) - keep.sum()))
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(keep)]).decode("utf-8", "replace"))
@@ -257,16 +266,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     slim = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"), F.col(text).alias("_text"))
     rows = stored(_marks(slim, window, gram))
     parts = rows.select("_id", "_th", F.explode("parts").alias("p")).select("_id", "_th", "p.*")
-    anchors = parts.groupBy("fp").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), (F.min("ctx") < F.max("ctx")).alias("_several")).where("_lo < _hi").select("fp", "_several")
+    anchors = stored(parts.groupBy("fp").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), (F.min("ctx") < F.max("ctx")).alias("_several")).where("_lo < _hi").select("fp", "_several"))  # stored, so that the joins with it can split hot anchors
     repeated = stored(parts.join(anchors, "fp"))
     firsts = stored(repeated.groupBy("fp", "ctx").agg(F.min("_id").alias("_first"), F.first("_several").alias("_several")))
     crowds = firsts.where("_several").groupBy("fp").count().where(F.col("count") > shard).select("fp", F.lit(True).alias("_crowd"))
-    told = firsts.join(crowds, "fp", "left").select("fp", "ctx", "_first", "_several", F.coalesce("_crowd", F.lit(False)).alias("crowded"))
+    crowds = stored(crowds)
+    told = stored(firsts.join(crowds, "fp", "left").select("fp", "ctx", "_first", "_several", F.coalesce("_crowd", F.lit(False)).alias("crowded")))
     known = repeated.drop("_several").join(told, ["fp", "ctx"]).where("_id > _first or _several")
-    mark = F.struct("fp", "s", "e", "crowded", (F.col("_id") == F.col("_first")).alias("ask"))
+    mark = F.struct("fp", "width", "at", "crowded", (F.col("_id") == F.col("_first")).alias("ask"))
     marks = known.groupBy("_id", "_th").agg(F.collect_list(mark).alias("marks"))  # bounded by the row's own length
-    held = stored(slim.select("_id", "_th", "_text").join(marks, ["_id", "_th"]))
-    asked = stored(_asked(held).dropDuplicates(["fp", "_id", "_th", "s"]))
+    held = stored(slim.select("_id", "_th", "_text").join(stored(marks), ["_id", "_th"]))
+    asked = stored(_asked(held))
     found = _by_automata(asked, window)
     if not crowds.isEmpty():
         found = found.unionByName(_by_windows(asked, window))
