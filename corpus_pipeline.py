@@ -18,7 +18,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each SimHash component the document of least id, once (without ids: one of its documents)."""
     seen = simhash.near_duplicates(docs)
-    keep = seen.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("component_id", F.col("fp")).alias("_group"), F.col("component_id").isNull().alias("_null")).agg(F.min(F.struct("_id", "_th")).alias("_one")).select("_one.*")
+    keep = seen.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("_id", "_th")).alias("_one")).select("_one.*")
     keyed = docs.select("*", *row_key("doc_id", "text"))
     return keyed.join(keep, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
 

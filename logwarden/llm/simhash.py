@@ -148,7 +148,7 @@ def links(fps: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """``_id, _th, key, fp, component_id`` per row of ``docs``.
+    """``_id, _th, key, fp, component, component_id`` per row of ``docs``; ``component`` is the group's least fingerprint.
 
     Null and empty texts have fingerprint 0 and link like any other.  Repeated rows give repeated
     results; a row with a null key takes part, and the component's id is the least non-null key.
@@ -158,5 +158,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     classes = prints.groupBy("fp").agg(F.min("_key").alias("_least"))
     nodes = components(classes.select(F.col("fp").alias("node")), links(stored(classes.select("fp")), bits))
     least = classes.join(nodes.withColumnRenamed("node", "fp"), "fp").groupBy("component").agg(F.min("_least").alias("component_id"))
-    named = nodes.join(least, "component").select(F.col("node").alias("fp"), "component_id")
+    named = nodes.join(least, "component").select(F.col("node").alias("fp"), "component", "component_id")
     return prints.join(named, "fp").withColumnRenamed("_key", key)
