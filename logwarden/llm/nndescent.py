@@ -6,7 +6,8 @@ Equal vectors are one class, so copies never meet.  Among classes:
    products with random hyperplanes, cut into leaves of ``LEAF`` rows, and every row
    takes its nearest rows of the leaf as first neighbours.
 2. Descent: every node joins its neighbours, both ways, with each other
-   (neighbours of neighbours); each row keeps its ``K`` nearest.  Rounds go on until
+   (neighbours of neighbours), where a new edge lies within ``MARGIN`` of the threshold;
+   each row keeps its ``K`` nearest.  Rounds go on until
    a round adds less than ``STOP`` of the threshold links.  Long reverse lists are
    dealt into groups, none is cut.
 3. Audit: the links of a bounded sample of rows are counted by brute force in blocks;
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -40,6 +41,7 @@ MORE_TREES = 8
 PLANES = 48
 ROUNDS = 4
 STOP = 0.002
+MARGIN = 0.25
 RECALL = 0.97
 AUDIT = 200
 MEMBERS = 48
@@ -47,14 +49,27 @@ BLOCK = 256
 SEED = 11
 
 
-def unit(vector: Column) -> Column:
-    """The vector over its length in double precision; null if it is null, empty, zero or holds null or non-finite parts."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    most = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (most > 0)
-    scaled = F.transform(v, lambda x: x / most)  # no overflow in the squares
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(good, F.transform(scaled, lambda x: x / length))
+def with_units(rows: DataFrame, vector: str) -> DataFrame:
+    """``rows`` with ``x`` in place of ``vector``: the vector over its length in double precision; null if it is null, empty,
+    zero or holds null or non-finite parts."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            lists = b.column(vector).cast(pa.list_(pa.float64()))
+            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            out = []
+            for i, known in enumerate(lists.is_valid().to_pylist()):
+                v = flat[offsets[i] : offsets[i + 1]]  # null parts have become NaN
+                most = np.abs(v).max() if known and len(v) else 0.0
+                if np.isfinite(most) and most > 0:
+                    v = v / most  # no overflow in the squares
+                    out.append(v / np.linalg.norm(v))
+                else:
+                    out.append(None)
+            rest = [n for n in b.schema.names if n != vector]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in rest), pa.array(out, pa.list_(pa.float64()))], names=[*rest, "x"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes if n != vector), "x array<double>"]))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -123,7 +138,8 @@ def _start(x: DataFrame, trees: list[int], dim: int, k: int) -> DataFrame:
 def _top(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest ``b`` of every ``a``, once each."""
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b"))
-    return edges.groupBy("a", "b").agg(F.max("cos").alias("cos")).withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+    # one exchange serves both steps; a row has at most k entries from each tree or group
+    return edges.repartition("a").groupBy("a", "b").agg(F.max("cos").alias("cos")).withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
 def _descend(x: DataFrame, graph: DataFrame, fresh: DataFrame, dim: int, k: int) -> DataFrame:
@@ -234,14 +250,16 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     compare as if filled with zeros.  Equal vectors link (cosine 1), repeated rows as well: each row counts.  Rows with a null
     key take part; a component's id is its least non-null key.  An empty table gives no rows.  Other columns are not read.
     """
-    rows = stored(vectors.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), unit(F.col(vector)).alias("x")))
+    rows = stored(with_units(vectors.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.col(vector).alias("_v")), "_v"))
     good = rows.where(F.col("x").isNotNull())
     classes = good.groupBy("x").agg(F.min("_row").alias("cid"), F.count(F.lit(1)).alias("size"), F.min("_key").alias("_least"))
     classes = stored(classes.select("cid", "x", "size", "_least"))
     dim = classes.agg(F.max(F.size("x"))).first()[0] or 0
     x = classes.select("cid", "x", "size")
     graph = stored(_top(_start(x.select("cid", "x"), list(range(TREES)), dim, k), k))
-    fresh, trees, links = graph, TREES, -1
+    # descent starts from edges within reach of the threshold; others lead to no link
+    near_enough = F.col("cos") >= cosine - MARGIN
+    fresh, trees, links = graph.where(near_enough), TREES, -1
     while True:
         for _ in range(ROUNDS):
             found = graph.where(F.col("cos") >= cosine).count()
@@ -249,15 +267,14 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 break
             links = found
             grown = stored(_top(graph.unionByName(_descend(x, graph, fresh, dim, k)), k))
-            # only edges near the threshold can lead to further links
-            fresh = grown.join(graph.select("a", "b"), ["a", "b"], "left_anti").where(F.col("cos") >= cosine - 0.25)
+            fresh = grown.where(near_enough).join(graph.select("a", "b"), ["a", "b"], "left_anti")
             graph = grown
         if trees >= TREES + 3 * MORE_TREES or _audit(x, graph.where(F.col("cos") >= cosine), dim, cosine, AUDIT, k) >= RECALL:
             break
         more = _start(x.select("cid", "x"), list(range(trees, trees + MORE_TREES)), dim, k)
         trees, links = trees + MORE_TREES, -1
         grown = stored(_top(graph.unionByName(more), k))
-        fresh, graph = grown.join(graph.select("a", "b"), ["a", "b"], "left_anti"), grown
+        fresh, graph = grown.where(near_enough).join(graph.select("a", "b"), ["a", "b"], "left_anti"), grown
     near = graph.where(F.col("cos") >= cosine)
     edges = stored(near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     member = stored(components(classes.select(F.col("cid").alias("node")), edges).withColumnRenamed("node", "cid"))
