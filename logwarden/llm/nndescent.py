@@ -16,7 +16,9 @@ Equal vectors are one class, so copies never meet.  Among classes:
    closure of its neighbours-of-neighbours joins is its component; its list is
    enlarged to all rows of the component above the threshold, block against block,
    where blocks too far apart by the angle between their centres and their radii are
-   left out.  Only counts leave a block, never its pairs.
+   left out.  Only counts leave a block, never its pairs.  Before that, saturated rows
+   of different components meet in the same way: two full lists can hide a link from
+   each other, and one such link makes one component.
 
 Cosines are decided in double precision.
 """
@@ -46,6 +48,7 @@ RECALL = 0.97
 AUDIT = 200
 MEMBERS = 48
 BLOCK = 256
+CHUNK = 1024
 SEED = 11
 
 
@@ -194,10 +197,8 @@ def _audit(x: DataFrame, links: DataFrame, dim: int, cosine: float, rows: int, k
     return sum(min(got.get(a, 0), n) for a, n in want.items()) / max(1, sum(want.values()))
 
 
-def _enlarged(x: DataFrame, saturated: DataFrame, member: DataFrame, dim: int, cosine: float) -> DataFrame:
-    """``a, n``: for each saturated class the rows (by class sizes) of its component within the threshold, itself left out."""
-    full = member.join(saturated.join(member.withColumnRenamed("cid", "a"), "a").select("component").distinct(), "component", "left_semi")
-    rows = x.join(full, "cid").join(saturated.select(F.col("a").alias("cid"), F.lit(True).alias("asks")), "cid", "left").select("cid", "x", "size", "component", F.coalesce("asks", F.lit(False)).alias("asks"))
+def _blocks(rows: DataFrame, dim: int) -> DataFrame:
+    """At most ``BLOCK`` near rows (``component, cid, x, size, asks``) of one component as one row, with their centre and radius."""
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(comp: int, ids: list, xs: list, sizes: list, asks: list) -> pa.RecordBatch:
@@ -223,7 +224,55 @@ def _enlarged(x: DataFrame, saturated: DataFrame, member: DataFrame, dim: int, c
         if held[0]:
             yield block(comp, *held)
 
-    blocks = stored(_sorted_leaves(rows, [0], dim, "component").select("component", "cid", "x", "size", "asks").mapInArrow(cut, "block long, component long, centre array<double>, radius double, ids binary, xs binary, sizes binary, asks binary"))
+    out = _sorted_leaves(rows, [0], dim, "component").select("component", "cid", "x", "size", "asks")
+    return out.mapInArrow(cut, "block long, component long, centre array<double>, radius double, ids binary, xs binary, sizes binary, asks binary")
+
+
+def _bridges(x: DataFrame, saturated: DataFrame, member: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """``a, b``: components with a link between saturated classes.  Other links are in a list, as a list that is not full drops none."""
+    asking = saturated.select(F.col("a").alias("cid")).join(member, "cid").join(x, "cid")
+    blocks = stored(_blocks(asking.select("cid", "x", "size", "component", F.lit(True).alias("asks")), dim))
+    most = float(np.arccos(cosine)) + 1e-6
+
+    def chunk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, CHUNK):
+                c = b.slice(at, CHUNK)
+                ids = c.column("block").to_numpy()
+                packed = (ids, c.column("component").to_numpy(), _matrix(c.column("centre"), dim), c.column("radius").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([ids[0]], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in packed)], names=["chunk", "ids", "comps", "centres", "radii"])
+
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for ia, ca, xa, ra, ib, cb, xb, rb in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ia, ca, ib, cb = (np.frombuffer(v, np.int64) for v in (ia, ca, ib, cb))
+                ra, rb = np.frombuffer(ra), np.frombuffer(rb)
+                angle = np.arccos(np.clip(np.frombuffer(xa).reshape(-1, dim) @ np.frombuffer(xb).reshape(-1, dim).T, -1, 1))
+                i, j = np.nonzero((angle - ra[:, None] - rb <= most) & (ca[:, None] < cb))
+                k, m = np.nonzero((angle - ra[:, None] - rb <= most) & (ca[:, None] > cb)) if ia[0] != ib[0] else (i[:0], j[:0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ia[i], ia[k]))), pa.array(np.concatenate((ib[j], ib[m])))], names=["a", "b"])
+
+    chunks = stored(blocks.select("block", "component", "centre", "radius").repartition(-(-blocks.count() // CHUNK) or 1).mapInArrow(chunk, "chunk long, ids binary, comps binary, centres binary, radii binary"))
+    side = lambda n: chunks.select(*(F.col(c).alias(f"{n}_{c}") for c in chunks.columns))
+    met = side("a").crossJoin(side("b")).where("a_chunk <= b_chunk").drop("a_chunk", "b_chunk")
+    pairs = met.mapInArrow(meet, "a long, b long")
+    left, right = (blocks.select(F.col("block").alias(n), F.col("component").alias(f"c{n}"), F.col("xs").alias(f"x{n}")) for n in "ab")
+
+    def linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ca, cb = b.column("ca").to_numpy(), b.column("cb").to_numpy()
+            near = [bool((np.frombuffer(p).reshape(-1, dim) @ np.frombuffer(q).reshape(-1, dim).T >= cosine).any()) for p, q in zip(b.column("xa").to_pylist(), b.column("xb").to_pylist(), strict=True)]
+            near = np.array(near, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(ca[near]), pa.array(cb[near])], names=["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("ca", "xa", "cb", "xb").mapInArrow(linked, "a long, b long").distinct()
+
+
+def _enlarged(x: DataFrame, saturated: DataFrame, member: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """``a, n``: for each saturated class the rows (by class sizes) of its component within the threshold, itself left out."""
+    full = member.join(saturated.join(member.withColumnRenamed("cid", "a"), "a").select("component").distinct(), "component", "left_semi")
+    rows = x.join(full, "cid").join(saturated.select(F.col("a").alias("cid"), F.lit(True).alias("asks")), "cid", "left").select("cid", "x", "size", "component", F.coalesce("asks", F.lit(False)).alias("asks"))
+    blocks = stored(_blocks(rows, dim))
     side = lambda n: blocks.select("component", F.col("block").alias(n), F.col("centre").alias(f"c{n}"), F.col("radius").alias(f"r{n}"))
     dot = F.aggregate(F.zip_with("ca", "cb", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("ra") - F.col("rb")
@@ -279,6 +328,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     edges = stored(near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     member = stored(components(classes.select(F.col("cid").alias("node")), edges).withColumnRenamed("node", "cid"))
     saturated = stored(near.groupBy("a").count().where(F.col("count") >= k).select("a"))
+    if not saturated.isEmpty():
+        bridges = stored(_bridges(x, saturated, member, dim, cosine))
+        if not bridges.isEmpty():
+            joined = components(member.select(F.col("component").alias("node")).distinct(), bridges).withColumnRenamed("component", "_to")
+            member = stored(member.join(joined.withColumnRenamed("node", "component"), "component").select("cid", F.col("_to").alias("component")))
     sizes = classes.select(F.col("cid").alias("b"), "size")
     degree = edges.join(sizes, "b").groupBy("a").agg(F.sum("size").alias("_some"))
     if not saturated.isEmpty():

@@ -75,6 +75,21 @@ def test_embedding_links_match_brute_force(spark):
     assert found / true > 0.98 and all(got[i][0] <= w[0] for i, w in want.items())
 
 
+def test_links_between_full_lists_are_kept(spark):
+    """Two tight clusters of more than K rows whose members also link across."""
+    rng = np.random.default_rng(7)
+    dim = 64
+    u, w = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+    centres = u, 0.97 * u + np.sqrt(1 - 0.97**2) * w
+    rows = [(i, rng.standard_normal(dim)) for i in range(100)]
+    rows += [(100 + i, centres[i % 2] + 0.1 / np.sqrt(dim) * rng.standard_normal(dim)) for i in range(80)]
+    rows = [(i, [float(v) for v in r]) for i, r in rows]
+    want = {i: (n, c) for (i, _), (n, c) in zip(rows, plain.cosine_links(rows), strict=True)}
+    assert want[100] == (79, 100) and want[101] == (79, 100)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(frame).collect()} == want
+
+
 def test_embedding_edges(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0]), (None, [1.0, 0.001]), (4, None)], "vec_id long, embedding array<float>")
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in nndescent.near_duplicates(frame).collect()), key=str)
