@@ -4,14 +4,17 @@ Equal vectors are one class, so copies never meet.  Among classes:
 
 1. Start: a forest of random-hyperplane orders.  Rows are sorted by the signs of their
    products with random hyperplanes, cut into leaves of ``LEAF`` rows, and every row
-   takes its nearest rows of the leaf as first neighbours.
+   takes its nearest rows of the leaf as first neighbours.  There are so many trees that
+   a lone pair at the threshold shares a leaf with probability ``RECALL``.
 2. Descent: every node joins its neighbours, both ways, with each other
    (neighbours of neighbours), where a new edge lies within ``MARGIN`` of the threshold;
    each row keeps its ``K`` nearest.  Rounds go on until
    a round adds less than ``STOP`` of the threshold links.  Long reverse lists are
    dealt into groups, none is cut.
-3. Audit: the links of a bounded sample of rows are counted by brute force in blocks;
-   below ``RECALL`` more trees are added and the descent goes on.
+3. Audit: rows are drawn, and their links counted by brute force, until ``LINKED`` rows
+   with links are seen or all rows are drawn; below ``RECALL`` the trees are doubled and
+   the descent goes on.  When more trees would cost as much as comparing all rows, all
+   are compared.
 4. Enlarging: a row whose whole list lies above the threshold is saturated.  The
    closure of its neighbours-of-neighbours joins is its component; its list is
    enlarged to all rows of the component above the threshold, block against block,
@@ -39,13 +42,14 @@ COSINE = 0.95
 K = 10
 LEAF = 64
 TREES = 8
-MORE_TREES = 8
 PLANES = 48
 ROUNDS = 4
 STOP = 0.002
 MARGIN = 0.25
 RECALL = 0.97
-AUDIT = 200
+AUDIT = 512
+MOST_ASKED = 8192
+LINKED = 300
 MEMBERS = 48
 BLOCK = 256
 CHUNK = 1024
@@ -174,27 +178,85 @@ def _descend(x: DataFrame, graph: DataFrame, fresh: DataFrame, dim: int, k: int)
     return rows.select("v", "part", "u", "x").mapInArrow(run, "a long, b long, cos double").where("a <> b")
 
 
-def _audit(x: DataFrame, links: DataFrame, dim: int, cosine: float, rows: int, k: int) -> float:
-    """The share of a sample's true neighbours (at most k a row count) that the lists hold."""
-    sample = x.orderBy(F.xxhash64(F.lit("audit"), "cid"), "cid").limit(rows).select("cid", "x").collect()  # bounded by rows
-    if not sample:
-        return 1.0
-    ids = np.array([r.cid for r in sample])
-    asked = np.zeros((len(sample), dim))
-    for i, r in enumerate(sample):
-        asked[i, : len(r.x)] = r.x
+def _trees_for(rows: int, cosine: float) -> int:
+    """Trees after which two rows at the threshold have shared a leaf with probability ``RECALL``: log2(rows / LEAF) planes must agree."""
+    met = (1 - np.arccos(cosine) / np.pi) ** max(1.0, np.log2(max(rows, 1) / LEAF))
+    return max(TREES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - met))))
+
+
+def _grown(x: DataFrame, graph: DataFrame | None, trees: range, dim: int, k: int) -> DataFrame:
+    """``graph`` with the leaf neighbours of ``trees``, ``TREES`` at a time."""
+    for at in range(trees.start, trees.stop, TREES):
+        more = _start(x.select("cid", "x"), list(trees[at - trees.start :][:TREES]), dim, k)
+        graph = stored(_top(graph.unionByName(more) if graph is not None else more, k))
+    return graph
+
+
+def _asked(x: DataFrame, ids: np.ndarray, asked: np.ndarray, dim: int, cosine: float) -> dict[int, int]:
+    """The true number of links of each asked row, by brute force."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = np.zeros(len(ids), np.int64)
         for b in it:
-            own = b.column("cid").to_numpy()
-            near += ((_matrix(b.column("x"), dim) @ asked.T >= cosine) & (own[:, None] != ids)).sum(axis=0)
+            own, m = b.column("cid").to_numpy(), _matrix(b.column("x"), dim)
+            for at in range(0, len(ids), BLOCK):
+                near[at : at + BLOCK] += ((m @ asked[at : at + BLOCK].T >= cosine) & (own[:, None] != ids[at : at + BLOCK])).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near)], names=["a", "n"])
 
-    truth = {r.a: r.n for r in x.select("cid", "x").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).collect()}
-    got = {r.a: r["count"] for r in links.where(F.col("a").isin(ids.tolist())).groupBy("a").count().collect()}
-    want = {a: min(n, k) for a, n in truth.items() if n}
-    return sum(min(got.get(a, 0), n) for a, n in want.items()) / max(1, sum(want.values()))
+    return {r.a: r.n for r in x.select("cid", "x").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).collect()}
+
+
+def _audit(x: DataFrame, rows: int, links: DataFrame, dim: int, cosine: float, k: int) -> float:
+    """The share of true neighbours (at most k a row count) that the links hold, over rows drawn until ``LINKED`` have neighbours.
+
+    Rows with fewer than k neighbours, whose lists are all that counts for them, must reach the share on their own.
+    """
+    span = 1 << 30
+    draw = lambda c: F.pmod(F.xxhash64(F.lit("audit"), c), F.lit(span))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    want, got, low, ask = {}, {}, 0, AUDIT
+    while low < span and len(want) < LINKED:
+        high = min(span, low + max(1, span * ask // max(rows, 1)))
+        inside = lambda c: (draw(c) >= low) & (draw(c) < high)  # noqa: B023, E731
+        sample = x.where(inside("cid")).select("cid", "x").collect()  # about MOST_ASKED rows at most
+        if sample:
+            asked = np.zeros((len(sample), dim))
+            for i, r in enumerate(sample):
+                asked[i, : len(r.x)] = r.x
+            truth = _asked(x, np.array([r.cid for r in sample]), asked, dim, cosine)
+            want |= {a: min(n, k) for a, n in truth.items() if n}
+            got |= {r.a: r.n for r in both.where(inside("a")).groupBy("a").agg(F.count_distinct("b").alias("n")).collect()}
+        low, ask = high, min(2 * ask, MOST_ASKED)
+
+    def share(of: dict[int, int]) -> float:
+        return sum(min(got.get(a, 0), n) for a, n in of.items()) / max(1, sum(of.values())) if of else 1.0
+
+    return min(share(want), share({a: n for a, n in want.items() if n < k}))
+
+
+def _all_links(x: DataFrame, rows: int, dim: int, cosine: float, k: int) -> DataFrame:
+    """The k nearest links of every row, by comparing all rows in chunks."""
+
+    def chunk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, CHUNK):
+                c = b.slice(at, CHUNK)
+                yield pa.RecordBatch.from_arrays([pa.array([c.column("cid").to_numpy().tobytes()], pa.binary()), pa.array([_matrix(c.column("x"), dim).tobytes()], pa.binary())], names=["ids", "xs"])
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for ia, xa, ib, xb in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ia, ib = np.frombuffer(ia, np.int64), np.frombuffer(ib, np.int64)
+                cos = np.frombuffer(xa).reshape(-1, dim) @ np.frombuffer(xb).reshape(-1, dim).T
+                cos[ia[:, None] == ib] = -2
+                best = np.argpartition(-cos, min(k, len(ib)) - 1, axis=1)[:, :k]
+                a, c = np.repeat(ia, best.shape[1]), np.take_along_axis(cos, best, 1).ravel()
+                near = c >= cosine
+                yield _edges(a[near], ib[best].ravel()[near], c[near])
+
+    chunks = stored(x.select("cid", "x").repartition(-(-rows // CHUNK) or 1).mapInArrow(chunk, "ids binary, xs binary"))
+    met = chunks.select(F.col("ids").alias("ia"), F.col("xs").alias("xa")).crossJoin(chunks.select(F.col("ids").alias("ib"), F.col("xs").alias("xb")))
+    return _top(met.mapInArrow(compare, "a long, b long, cos double"), k)
 
 
 def _blocks(rows: DataFrame, dim: int) -> DataFrame:
@@ -305,10 +367,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes = stored(classes.select("cid", "x", "size", "_least"))
     dim = classes.agg(F.max(F.size("x"))).first()[0] or 0
     x = classes.select("cid", "x", "size")
-    graph = stored(_top(_start(x.select("cid", "x"), list(range(TREES)), dim, k), k))
+    n = classes.count()
+    trees = _trees_for(n, cosine)
+    graph = _grown(x, None, range(trees), dim, k)
     # descent starts from edges within reach of the threshold; others lead to no link
     near_enough = F.col("cos") >= cosine - MARGIN
-    fresh, trees, links = graph.where(near_enough), TREES, -1
+    fresh, links = graph.where(near_enough), -1
     while True:
         for _ in range(ROUNDS):
             found = graph.where(F.col("cos") >= cosine).count()
@@ -318,11 +382,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             grown = stored(_top(graph.unionByName(_descend(x, graph, fresh, dim, k)), k))
             fresh = grown.where(near_enough).join(graph.select("a", "b"), ["a", "b"], "left_anti")
             graph = grown
-        if trees >= TREES + 3 * MORE_TREES or _audit(x, graph.where(F.col("cos") >= cosine), dim, cosine, AUDIT, k) >= RECALL:
+        if _audit(x, n, graph.where(F.col("cos") >= cosine), dim, cosine, k) >= RECALL:
+            break
+        if 2 * trees * LEAF >= n:
+            graph = stored(_all_links(x, n, dim, cosine, k))
             break
-        more = _start(x.select("cid", "x"), list(range(trees, trees + MORE_TREES)), dim, k)
-        trees, links = trees + MORE_TREES, -1
-        grown = stored(_top(graph.unionByName(more), k))
+        grown = _grown(x, graph, range(trees, 2 * trees), dim, k)
+        trees, links = 2 * trees, -1
         fresh, graph = grown.where(near_enough).join(graph.select("a", "b"), ["a", "b"], "left_anti"), grown
     near = graph.where(F.col("cos") >= cosine)
     edges = stored(near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

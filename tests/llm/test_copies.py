@@ -90,6 +90,24 @@ def test_links_between_full_lists_are_kept(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(frame).collect()} == want
 
 
+@pytest.mark.parametrize("leaf", [2, 64])
+def test_few_lone_pairs_are_found(spark, monkeypatch, leaf):
+    """Pairs just above the threshold in a table with few links, also with a forest too weak for them."""
+    monkeypatch.setattr(nndescent, "LEAF", leaf)
+    monkeypatch.setattr(nndescent, "TREES", 1)
+    monkeypatch.setattr(nndescent, "MORE_TREES", 1, raising=False)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1940, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    off = rng.standard_normal((60, 48))
+    off -= (off * x[:60]).sum(axis=1)[:, None] * x[:60]
+    near = 0.953 * x[:60] + np.sqrt(1 - 0.953**2) * off / np.linalg.norm(off, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(np.concatenate((x, near)))], "vec_id long, embedding array<double>")
+    got = nndescent.near_duplicates(frame).where("n_links > 0").collect()
+    assert all((r.n_links, r.component_id) == (1, r.vec_id % 1940) for r in got)
+    assert len(got) >= 0.97 * 120
+
+
 def test_embedding_edges(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0]), (None, [1.0, 0.001]), (4, None)], "vec_id long, embedding array<float>")
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in nndescent.near_duplicates(frame).collect()), key=str)
