@@ -67,6 +67,18 @@ def log_integrity(spark, sf):
     return ql.log_integrity(read_attempts(spark, sf).where("success").select("row_id", "t"))
 
 
+@query(
+    "log_integrity_all",
+    with_attempts(
+        """SELECT COUNT(*) AS n_rows, MIN(row_id) AS first_id, MAX(row_id) AS last_id, CAST(COALESCE(SUM(CASE WHEN row_id - p > 1 THEN row_id - p - 1 END), 0) AS BIGINT) AS missing_ids,
+        COUNT(*) FILTER (WHERE row_id - p > 1) AS gaps, COUNT(*) FILTER (WHERE pt > t) AS backward_steps, COALESCE(MAX(CASE WHEN pt > t THEN pt - t END), 0) AS max_backward_us,
+        MAX(row_id) - MIN(row_id) + 1 = COUNT(*) AS contiguous FROM (SELECT *, LAG(row_id) OVER (ORDER BY row_id) AS p, LAG(t) OVER (ORDER BY row_id) AS pt FROM attempts)"""),
+)
+def log_integrity_all(spark, sf):
+    """Integrity of the whole log, failed attempts as well."""
+    return ql.log_integrity(read_attempts(spark, sf).select("row_id", "t"))
+
+
 @query("strip_version", with_attempts("SELECT regexp_replace(COALESCE(browser, '∅'), ' +[0-9][0-9.]*$', '') AS browser_family, regexp_replace(COALESCE(os, '∅'), ' +[0-9][0-9.]*$', '') AS os_family, COUNT(*) AS n FROM attempts GROUP BY 1, 2"))
 def strip_version(spark, sf):
     fam = lambda c: text.strip_version(text.or_missing(F.col(c)))

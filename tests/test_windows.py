@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from logwarden.catalog import event_queries
 from logwarden.operators.quantile import exact_quantiles
 from logwarden.operators.recent import sliding_values
 from logwarden.operators.running import Running, previous_row, running
@@ -133,3 +134,11 @@ def test_exact_quantiles(spark, slice_rows):
     got = {r["k"]: r["q"] for r in exact_quantiles(df, "k", "v", [0.0, 0.1, 0.5, 0.95, 1.0], slice_rows=slice_rows).collect()}
     assert np.allclose(got["a"], np.quantile(values, [0, 0.1, 0.5, 0.95, 1.0]))
     assert got["b"] == [1.0] * 5
+
+
+def test_log_integrity_sees_failed_attempts(spark, monkeypatch):
+    """Gaps and backward steps planted among failed attempts."""
+    times = {0: 0, 1: 10, 2: 20, 3: 12, 4: 30, 7: 40, 8: 35, 9: 50, 11: 60}
+    rows = [attempt(i, t, success=i in (0, 4, 9)) for i, t in times.items()]
+    monkeypatch.setattr(event_queries, "read_attempts", lambda spark, sf: frame(spark, rows))
+    assert tuple(event_queries.log_integrity_all(spark, "").first()) == (9, 0, 11, 3, 2, 2, 8, False)
