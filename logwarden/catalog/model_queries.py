@@ -53,7 +53,7 @@ def gbt_score(spark, sf):
 def iforest_score(spark, sf):
     """Isolation forest on legitimate train logins, every row scored."""
     df = split_rows(spark, sf)
-    forest = md.fit_iforest(df.where(f"part = 'train' AND {LEGIT}"), md.DEFAULT_FEATURES, trees=50, sample=256)
+    forest = md.fit_iforest(df.where(f"part = 'train' AND {LEGIT}"), md.DEFAULT_FEATURES)
     return md.score_iforest(forest, df).select("row_id", "score")
 
 

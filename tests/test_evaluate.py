@@ -56,3 +56,21 @@ def test_bootstrap_is_reproducible(spark):
     a = ev.bootstrap_ratio(rows, {"share": F.col("hit")}, F.lit(1.0), n_boot=100).first()
     b = ev.bootstrap_ratio(rows, {"share": F.col("hit")}, F.lit(1.0), n_boot=100).first()
     assert a == b and a["lo"] <= a["value"] <= a["hi"]
+
+
+def test_forest_has_the_reference_size(spark, sf, monkeypatch):
+    import inspect
+
+    from logwarden.catalog import model_queries
+
+    signature, seen = inspect.signature(model_queries.md.fit_iforest), {}
+
+    def fit(*args, **kw):
+        bound = signature.bind(*args, **kw)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+
+    monkeypatch.setattr(model_queries.md, "fit_iforest", fit)
+    monkeypatch.setattr(model_queries.md, "score_iforest", lambda model, rows: rows.selectExpr("row_id", "0.0D AS score"))
+    model_queries.iforest_score(spark, sf)
+    assert (seen["trees"], seen["sample"], seen["rows"]) == (300, 2048, 400_000)
