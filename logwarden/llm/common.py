@@ -47,6 +47,24 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, counts: dict, rows:
     return near.withColumn("_rank", rank).where(F.col("_rank") <= rows).select(*df.columns)
 
 
+#: A key with at least this share of all weight has fewer than ``HEAVY`` peers: their number is bounded whatever the input.
+HEAVY = 1_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], heavy: Column, deal: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right`` (unique and not null on ``on``), null where nothing matches.
+
+    ``heavy`` marks rows of ``right`` whose number is bounded by construction; they are broadcast, and the left rows
+    that meet them are dealt out by a hash of the columns ``deal``, so that no hot key lands in one task.
+    """
+    rest = [c for c in right.columns if c not in on]
+    top = right.where(heavy).select(*on, F.struct(*rest).alias("_top"))
+    low = right.where(~heavy).select(*on, F.struct(*rest).alias("_low"), F.lit(0).cast("long").alias("_deal"))
+    met = left.join(F.broadcast(top), on, "left").withColumn("_deal", F.when(F.col("_top").isNull(), F.lit(0)).otherwise(F.shiftrightunsigned(F.xxhash64(*deal), 1) + 1).cast("long"))
+    met = met.join(low, [*on, "_deal"], "left").withColumn("_top", F.coalesce("_top", "_low"))
+    return met.select(*left.columns, *[F.col("_top").getField(c).alias(c) for c in rest])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone.  Pure ASCII takes the fast path, other texts are translated letter by letter."""
     ascii_only = F.octet_length(text) == F.char_length(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, nndescent, substring
+from . import decontaminate, linededup, mixing, nndescent, substring
 from .common import ASCII_UPPER
 
 _TOKENS = r"regexp_extract_all(translate(COALESCE(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(upper=ASCII_UPPER, lower=ASCII_UPPER.lower())
@@ -67,4 +67,30 @@ taken AS (SELECT p.doc_id, p.source, p.n, t.epoch, p.block, t.block_rank, t.upto
   FROM placed p JOIN turns t USING (sk, block))
 SELECT doc_id, source, n AS n_tokens, CAST(epoch AS BIGINT) AS epoch, CAST(block AS BIGINT) AS block, CAST(block_rank AS INT) AS block_rank FROM taken WHERE whole OR (space > 0 AND run <= space)"""
 
-ORACLES = {"op4_substring": SUBSTRING, "op5_nndescent": EMBEDDINGS, "op7_decontaminate": DECONTAMINATE, "op8_mixing": MIXING, "op10_warc": WARC}
+_LINE_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{upper}', '{lower}')".format(upper=ASCII_UPPER, lower=ASCII_UPPER.lower())
+LINES = f"""WITH s AS (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, pos, line, {_LINE_KEY} AS k FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM s)),
+c AS (SELECT k, MAX(doc_id) AS last FROM l WHERE length(k) >= {linededup.MIN_CHARS} GROUP BY k HAVING COUNT(DISTINCT doc_id) >= {linededup.MIN_DOCS})
+SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (WHERE doc_id < last) AS n_dropped,
+  sha256(COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE last IS NULL OR doc_id >= last), '')) AS kept_sha256
+FROM l LEFT JOIN c USING (k) GROUP BY doc_id"""
+
+FILTERS = f"""WITH x AS (SELECT doc_id, COALESCE(source, '') AS part, COALESCE(text, '') AS t FROM documents),
+f AS (SELECT t, MIN(doc_id) AS least FROM x GROUP BY 1),
+w AS (SELECT doc_id, part, x.t, least, regexp_extract_all(x.t, '[^\x20\x09-\x0D]+') AS ws FROM x JOIN f ON x.t = f.t),
+m AS (SELECT part, COALESCE(quality = 1, FALSE) AS good, COALESCE(toxic = 1, FALSE) AS toxic,
+  [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), w.doc_id > least] AS fails
+  FROM w LEFT JOIN labels ON labels.doc_id = w.doc_id),
+c AS (SELECT part, fails, COUNT(*) AS n, SUM(CAST(good AS INT)) AS good, SUM(CAST(toxic AS INT)) AS toxic FROM m GROUP BY 1, 2),
+i AS (SELECT unnest(range(1, 6)) AS v),
+o AS (SELECT [a.v, b.v, c.v, d.v, e.v] AS vs FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+s AS (SELECT vs, array_to_string([substr('ABCDE', CAST(v AS INT), 1) FOR v IN vs], '') AS filter_order, unnest(range(1, 6)) AS step FROM o),
+r AS (SELECT part, filter_order, step, vs[step] AS filter, n, good, toxic, fails[vs[step]] AS fail,
+  len(list_filter(vs[1:step - 1], lambda v: fails[v])) > 0 AS earlier, len(list_filter(fails, lambda z: z)) AS n_fails FROM s, c),
+g AS (SELECT part, filter_order, step, filter, COALESCE(SUM(n) FILTER (WHERE NOT earlier AND NOT fail), 0) AS kept, COALESCE(SUM(n) FILTER (WHERE NOT earlier AND fail), 0) AS removed,
+  COALESCE(SUM(n) FILTER (WHERE earlier AND fail), 0) AS redundant, COALESCE(SUM(n) FILTER (WHERE fail AND n_fails = 1), 0) AS unique_fails,
+  COALESCE(SUM(good) FILTER (WHERE NOT earlier AND fail), 0) AS good_lost, COALESCE(SUM(toxic) FILTER (WHERE NOT earlier AND fail), 0) AS toxic_lost FROM r GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(SUM(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM g"""
+
+ORACLES = {"op11_linededup": LINES, "op13_filteraudit": FILTERS, "op4_substring": SUBSTRING, "op5_nndescent": EMBEDDINGS, "op7_decontaminate": DECONTAMINATE, "op8_mixing": MIXING, "op10_warc": WARC}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import decontaminate, langid, mixing, nndescent, oracles, pii, quality, simhash, substring, toxicity, warc
+from . import decontaminate, filteraudit, langid, linededup, mixing, nndescent, oracles, pii, quality, simhash, substring, toxicity, warc
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,14 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
