@@ -34,7 +34,8 @@ def _split(text: Column) -> Column:
 
 def _lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     """``_id, _th, pos, h`` for every line long enough to be judged."""
-    rows = docs.select(*row_key(key, text), F.posexplode(_split(F.col(text))).alias("pos", "line"))
+    # the row's hash is taken before the explode, not once a line
+    rows = docs.select(*row_key(key, text), F.col(text).alias("_text")).select("_id", "_th", F.posexplode(_split(F.col("_text"))).alias("pos", "line"))
     keyed = rows.select("_id", "_th", "pos", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= min_chars)
     return keyed.select("_id", "_th", "pos", F.unhex(F.md5("k")).alias("h"))
 
