@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mixing, nndescent, substring
+from . import collocations, decontaminate, linededup, mixing, nndescent, substring
 from .common import ASCII_UPPER
 
 _TOKENS = r"regexp_extract_all(translate(COALESCE(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(upper=ASCII_UPPER, lower=ASCII_UPPER.lower())
@@ -93,4 +93,18 @@ g AS (SELECT part, filter_order, step, filter, COALESCE(SUM(n) FILTER (WHERE NOT
 SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(SUM(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM g"""
 
-ORACLES = {"op11_linededup": LINES, "op13_filteraudit": FILTERS, "op4_substring": SUBSTRING, "op5_nndescent": EMBEDDINGS, "op7_decontaminate": DECONTAMINATE, "op8_mixing": MIXING, "op10_warc": WARC}
+COLLOCATIONS = f"""WITH d AS (SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(COALESCE(text, ''), '{ASCII_UPPER}', '{ASCII_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM d),
+g AS (SELECT lang, k, array_to_string(list_slice(ws, s, s + k - 1), ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM p, range(1, {collocations.LENGTH + 1}) r(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, COUNT(*) AS a FROM g GROUP BY 1, 2, 3),
+n AS (SELECT lang, SUM(a) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= {collocations.MIN_COUNT}),
+u AS (SELECT lang, phrase, a, cut, array_to_string(list_slice(ws, 1, cut), ' ') AS x, array_to_string(list_slice(ws, cut + 1, k), ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT u.lang, u.phrase, u.a, u.cut, fx.a AS l, fy.a AS r, CAST(u.a AS HUGEINT) * {collocations.SCALE} // (fx.a + fy.a) AS score FROM u JOIN f fx ON fx.lang = u.lang AND fx.phrase = u.x JOIN f fy ON fy.lang = u.lang AND fy.phrase = u.y),
+b AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c w ON w.lang = c.lang AND w.k > c.k AND 100 * w.a >= {collocations.SUBSUMED_PERCENT} * c.a AND position(' ' || c.phrase || ' ' IN ' ' || w.phrase || ' ') > 0),
+t AS (SELECT b.* FROM b ANTI JOIN inside USING (lang, phrase)),
+k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM k JOIN n USING (lang) WHERE rank <= {collocations.TOP}"""
+
+ORACLES = {"op12_collocations": COLLOCATIONS, "op11_linededup": LINES, "op13_filteraudit": FILTERS, "op4_substring": SUBSTRING, "op5_nndescent": EMBEDDINGS, "op7_decontaminate": DECONTAMINATE, "op8_mixing": MIXING, "op10_warc": WARC}
