@@ -10,9 +10,10 @@ and the subsumption maxima (the largest extension).
 Four passes, one for each length.  A pass counts only prefixes and next words whose
 shorter phrases were frequent in the pass before; everything else is added to the null
 entry.  Tasks ask a Bloom filter of bounded size for that: a false "yes" costs a row and
-changes no count.  A prefix made of very frequent words alone (each at least 1/4096 of
-all words, so at most 4,096 of them) may have very many entries; its stripe is cut into
-segments by a hash of the next word.  No other prefix holds 1/4096 of a pass.
+changes no count.  A word with at least 1/4096 of all words is hot (so there are at
+most 4,096); a prefix made of hot words alone has its stripe cut into segments by a hash
+of the next word, as many as its rarest word has such shares, and no segment holds much
+more than one.
 
 A text longer than a window is cut at a piece, or inside a piece with the last words
 repeated, so that memory does not follow the length of a text.
@@ -39,7 +40,6 @@ TOP = 2_000
 SUBSUMED_PERCENT = 80
 SCALE = 2_000_000
 HOT_SHARE = 4_096
-SEGMENTS = 1_024
 #: Bytes of text encoded at once.
 WINDOW_BYTES = 8 << 20
 #: The Bloom filter: bits for each phrase, and at most 32 MB; beyond it only false positives grow.
@@ -133,7 +133,7 @@ def _known(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_stripes(window: bytes, open_end: bool, lang: str, k: int, hot: frozenset, bloom: np.ndarray | None) -> tuple | None:
+def window_stripes(window: bytes, open_end: bool, lang: str, k: int, hot: dict[str, int], bloom: np.ndarray | None) -> tuple | None:
     """(prefixes, segments, offsets, next words, counts): the stripes of all prefixes of ``k - 1`` words in a window."""
     ids, piece, words = encoded(window)
     n = len(ids)
@@ -144,7 +144,7 @@ def window_stripes(window: bytes, open_end: bool, lang: str, k: int, hot: frozen
     size = len(names)
     if k == 1:
         prefix, nexts, spots = np.zeros(n, np.int64), ids, np.zeros(1, np.int64)
-        prefix_hot = np.ones(1, bool)
+        segments = np.full(1, HOT_SHARE, np.uint64)
     else:
         m = n - k + 2
         h = np.full(m, xxhash.xxh64_intdigest(lang), np.uint64)
@@ -164,12 +164,12 @@ def window_stripes(window: bytes, open_end: bool, lang: str, k: int, hot: frozen
             prefix = np.unique(prefix * size + ids[at + j], return_inverse=True)[1]
         _, first, prefix = np.unique(prefix, return_index=True, return_inverse=True)
         spots = at[first]
-        is_hot = np.array([w in hot for w in names], bool)
-        prefix_hot = np.logical_and.reduce([is_hot[ids[spots + j]] for j in range(k - 1)])
+        shares = np.array([hot.get(w, 1) for w in names], np.uint64)
+        segments = np.minimum.reduce([shares[ids[spots + j]] for j in range(k - 1)])
     cells, counts = np.unique(prefix * (size + 1) + nexts, return_counts=True)
     prefix, nexts = np.divmod(cells, size + 1)
     none = nexts == size
-    seg = np.where(prefix_hot[prefix] & ~none, (hashes[np.where(none, 0, nexts)] % np.uint64(SEGMENTS)).astype(np.int64), 0)
+    seg = np.where(none, 0, (hashes[np.where(none, 0, nexts)] % segments[prefix]).astype(np.int64))
     order = np.lexsort((nexts, seg, prefix))
     prefix, nexts, seg, counts, none = prefix[order], nexts[order], seg[order], counts[order], none[order]
     runs = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (seg[1:] != seg[:-1]))))
@@ -180,7 +180,7 @@ def window_stripes(window: bytes, open_end: bool, lang: str, k: int, hot: frozen
     return named, pa.array(seg[runs].astype(np.int32)), offsets, words.take(pa.array(nexts, mask=none)), pa.array(counts.astype(np.int64))
 
 
-def stripes(docs: DataFrame, k: int, hot: dict[str, frozenset], bloom: Broadcast | None) -> DataFrame:
+def stripes(docs: DataFrame, k: int, hot: dict[str, dict[str, int]], bloom: Broadcast | None) -> DataFrame:
     """``STRIPE`` rows, as found in each window: ``docs`` has ``lang, text`` without nulls."""
     schema = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("seg", pa.int32()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
@@ -191,7 +191,7 @@ def stripes(docs: DataFrame, k: int, hot: dict[str, frozenset], bloom: Broadcast
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
                 for window, open_end in windows(texts, k, WINDOW_BYTES):
-                    found = window_stripes(window, open_end, lang, k, hot.get(lang, frozenset()), bloom.value if bloom else None)
+                    found = window_stripes(window, open_end, lang, k, hot.get(lang, {}), bloom.value if bloom else None)
                     if found is not None:
                         prefix, seg, offsets, nexts, counts = found
                         langs = pa.array([lang] * len(prefix), pa.string())
@@ -289,13 +289,12 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", *, length: int
     everything = n.agg(F.sum("n")).first()[0] or 0
     frequent = extensions(tables[0])
     # at most HOT_SHARE words
-    hot: dict[str, set] = {}
+    hot: dict[str, dict[str, int]] = {}
     for r in frequent.where(F.col("n") * HOT_SHARE >= F.lit(everything)).collect():
-        hot.setdefault(r["lang"], set()).add(r["phrase"])
-    fixed = {k: frozenset(v) for k, v in hot.items()}
+        hot.setdefault(r["lang"], {})[r["phrase"]] = -(-r["n"] * HOT_SHARE // everything)
     for k in range(2, length + 1):
         bloom = spark.sparkContext.broadcast(bloom_filter(extensions(tables[-1])))
-        tables.append(stored(merged(stripes(rows, k, fixed, bloom), min_count)))
+        tables.append(stored(merged(stripes(rows, k, hot, bloom), min_count)))
         bloom.destroy()
     longer = tables[1:]
     totals = candidates = above = None
