@@ -47,7 +47,8 @@ BLOOM_BITS_EACH = 12
 BLOOM_MOST_BITS = 1 << 28
 PROBES = 4
 RANK_SALTS = 64
-STRIPE = "lang string, prefix string, seg int, next array<string>, n array<long>"
+#: ``next`` holds the next words separated by blanks, ``n`` their counts, ``alone`` the count of the null entry.
+STRIPE = "lang string, prefix string, seg int, alone int, next string, n array<int>"
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(ASCII_UPPER.encode() + b"\t" + _BREAKS, ASCII_UPPER.lower().encode() + b" " + b"\n" * len(_BREAKS))
@@ -134,7 +135,7 @@ def _known(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def window_stripes(window: bytes, open_end: bool, lang: str, k: int, hot: dict[str, int], bloom: np.ndarray | None) -> tuple | None:
-    """(prefixes, segments, offsets, next words, counts): the stripes of all prefixes of ``k - 1`` words in a window."""
+    """The columns of ``STRIPE`` after the first: the stripes of all prefixes of ``k - 1`` words in a window."""
     ids, piece, words = encoded(window)
     n = len(ids)
     if n < max(1, k - 1):
@@ -176,13 +177,16 @@ def window_stripes(window: bytes, open_end: bool, lang: str, k: int, hot: dict[s
     owner = spots[prefix[runs]]
     parts = [words.take(pa.array(ids[owner + j])) for j in range(k - 1)]
     named = pa.array([""] * len(runs)) if k == 1 else parts[0] if k == 2 else pc.binary_join_element_wise(*parts, " ")
-    offsets = pa.array(np.concatenate((runs, [len(counts)])).astype(np.int32))
-    return named, pa.array(seg[runs].astype(np.int32)), offsets, words.take(pa.array(nexts, mask=none)), pa.array(counts.astype(np.int64))
+    alone = np.add.reduceat(np.where(none, counts, 0), runs)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(~none)))[np.concatenate((runs, [len(counts)]))].astype(np.int32))
+    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, words.take(pa.array(nexts[~none]))), " ")
+    cells = pa.ListArray.from_arrays(offsets, pa.array(counts[~none].astype(np.int32)))
+    return named, pa.array(seg[runs].astype(np.int32)), pa.array(alone.astype(np.int32)), joined, cells
 
 
 def stripes(docs: DataFrame, k: int, hot: dict[str, dict[str, int]], bloom: Broadcast | None) -> DataFrame:
     """``STRIPE`` rows, as found in each window: ``docs`` has ``lang, text`` without nulls."""
-    schema = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("seg", pa.int32()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+    schema = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("seg", pa.int32()), ("alone", pa.int32()), ("next", pa.string()), ("n", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -193,9 +197,7 @@ def stripes(docs: DataFrame, k: int, hot: dict[str, dict[str, int]], bloom: Broa
                 for window, open_end in windows(texts, k, WINDOW_BYTES):
                     found = window_stripes(window, open_end, lang, k, hot.get(lang, {}), bloom.value if bloom else None)
                     if found is not None:
-                        prefix, seg, offsets, nexts, counts = found
-                        langs = pa.array([lang] * len(prefix), pa.string())
-                        yield pa.RecordBatch.from_arrays([langs, prefix, seg, pa.ListArray.from_arrays(offsets, nexts), pa.ListArray.from_arrays(offsets, counts)], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found[0]), pa.string()), *found], schema=schema)
             held.clear()
 
         for batch in batches:
@@ -217,7 +219,10 @@ def merged(found: DataFrame, min_count: int) -> DataFrame:
     Stripes are shuffled whole; the sums need no further exchange.  ``extensions`` keeps the entries of at least
     ``min_count``, ``total`` counts them all.
     """
-    entries = found.repartition("lang", "prefix", "seg").select("lang", "prefix", "seg", F.explode(F.arrays_zip("next", "n")).alias("e")).select("lang", "prefix", "seg", F.col("e")["next"].alias("next"), F.col("e")["n"].alias("n"))
+    cell = "array<struct<next:string,n:int>>"
+    words = F.when(F.col("next") != "", F.arrays_zip(F.split("next", " ").alias("next"), "n")).otherwise(F.array()).cast(cell)
+    none = F.when(F.col("alone") > 0, F.array(F.struct(F.lit(None).cast("string").alias("next"), F.col("alone").alias("n")))).otherwise(F.array()).cast(cell)
+    entries = found.repartition("lang", "prefix", "seg").select("lang", "prefix", "seg", F.explode(F.concat(words, none)).alias("e")).select("lang", "prefix", "seg", F.col("e")["next"].alias("next"), F.col("e")["n"].alias("n"))
     summed = entries.groupBy("lang", "prefix", "seg", "next").agg(F.sum("n").alias("n"))
     large = F.col("next").isNotNull() & (F.col("n") >= min_count)
     return summed.groupBy("lang", "prefix", "seg").agg(
