@@ -10,6 +10,7 @@ from ..functions.timefn import DAY, MINUTE
 from ..plans import alerts as al
 from ..plans import blocklist as bl
 from ..plans import campaigns as cp
+from ..plans import live_campaigns as lc
 from ..plans import hybrid as hy
 from ..plans import rules as R
 from ..sources.attempts import read_attempts
@@ -348,6 +349,39 @@ def campaign_live(spark, sf):
     return cp.infra_links(read_attempts(spark, sf).where("NOT success"))
 
 
+# The order of the alerts, pair by pair: who links whom, who is pulled in by whom first, whose campaign is joined.
+LIVE = f"""al AS (SELECT * FROM attempts WHERE NOT success),
+linked AS (SELECT a.row_id AS i, a.t AS ti, b.row_id AS j, b.t AS tj FROM al a JOIN al b ON (b.ip = a.ip OR b.asn = a.asn) AND b.t >= a.t - {DAY} AND (b.t, b.row_id) < (a.t, a.row_id) AND NOT (b.uid IS NOT NULL AND b.uid IS NOT DISTINCT FROM a.uid)),
+pulled AS (SELECT j, arg_min(i, (ti, i)) AS by_row, MIN((ti, i)) AS at FROM linked WHERE j NOT IN (SELECT i FROM linked) GROUP BY 1),
+joins AS (SELECT l.i, arg_min(l.j, (l.tj, l.j)) AS dest FROM linked l LEFT JOIN pulled p ON p.j = l.j WHERE p.j IS NULL OR p.at < (l.ti, l.i) GROUP BY 1),
+ptr AS (SELECT al.row_id, al.t, x.i IS NOT NULL AS linked, CASE WHEN x.i IS NOT NULL THEN COALESCE(joins.dest, al.row_id) ELSE by_row END AS dest FROM al
+  LEFT JOIN (SELECT DISTINCT i FROM linked) x ON x.i = al.row_id LEFT JOIN joins ON joins.i = al.row_id LEFT JOIN pulled ON pulled.j = al.row_id),
+walk AS (SELECT row_id, dest FROM ptr WHERE dest IS NOT NULL UNION SELECT w.row_id, p.dest FROM walk w JOIN ptr p ON p.row_id = w.dest),
+camp AS (SELECT w.row_id, w.dest AS campaign FROM walk w JOIN ptr p ON p.row_id = w.dest AND p.dest = p.row_id)"""
+
+
+@query(
+    "campaign_assign",
+    with_attempts("SELECT ptr.row_id, linked, camp.campaign FROM ptr LEFT JOIN camp USING (row_id)", 1, LIVE).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def campaign_assign(spark, sf):
+    """The campaign of every failed attempt, given in the order of the attempts."""
+    return lc.assign(read_attempts(spark, sf).where("NOT success")).select("row_id", "linked", "campaign")
+
+
+@query(
+    "campaign_open",
+    with_attempts(
+        """SELECT campaign, MAX(CASE WHEN al.row_id = campaign THEN CASE WHEN asn IS NOT NULL THEN 'ASN ' || CAST(asn AS VARCHAR) ELSE 'IP ' || ip END END) AS label,
+        MIN(al.t) FILTER (WHERE NOT linked AND dest = campaign) AS first_seen, MAX(al.t) FILTER (WHERE linked) AS last_seen, COUNT(*) AS alerts, COUNT(DISTINCT uid) + MAX(CASE WHEN uid IS NULL THEN 1 ELSE 0 END) AS accounts
+        FROM camp JOIN ptr USING (row_id) JOIN al ON al.row_id = camp.row_id GROUP BY 1""", 1, LIVE).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def campaign_open(spark, sf):
+    """The live campaigns of the failed attempts, as they stand at the end of the log."""
+    alerts = read_attempts(spark, sf).where("NOT success")
+    return lc.campaigns(alerts, lc.assign(alerts))
+
+
 @query(
     "campaign_summary",
     with_attempts("SELECT campaign, COUNT(*) AS alerts, COUNT(DISTINCT uid) + MAX(CASE WHEN uid IS NULL THEN 1 ELSE 0 END) AS accounts, MIN(t) AS first_seen, MAX(t) AS last_seen FROM (SELECT *, ip AS campaign FROM attempts WHERE NOT success) GROUP BY 1"),
