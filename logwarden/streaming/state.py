@@ -1,14 +1,11 @@
-"""Per-key state for streams: sliding counts and anchored alert groups.
+"""Per-key state for streams: anchored alert groups.
 
-``applyInPandasWithState`` keeps, per key, only what a window can still need: the times
-(and values) inside the retention.  Event time drives expiry through the watermark.
-Within a micro-batch rows are processed in (t, row_id) order, so a finite stream that is
-read in time order gives the same numbers as the batch sweep.
+``applyInPandasWithState`` keeps, per key, only what a window can still need.  Event time
+drives expiry through the watermark.  Sliding windows are in ``sliding``.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,54 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-WATERMARK = "60 seconds"
-
-
-def sliding_counts(attempts: DataFrame, key: str, window_us: int, *, watermark: str = WATERMARK) -> DataFrame:
-    """Per attempt: failures, successes and distinct failing names of the key in (t-w, t].
-
-    ``attempts`` is a stream with ``ts TIMESTAMP, t, row_id, username, success`` and the key.
-    """
-    base = attempts.where(F.col(key).isNotNull()).select("ts", "t", "row_id", "username", "success", F.col(key).cast("string").alias("k"))
-
-    def update(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        fails, oks, names, stamps = (list(x) for x in state.get) if state.exists else ([], [], [], [])
-        seen = dict(zip(names, stamps))
-        rows = pd.concat(list(batches)).sort_values(["t", "row_id"])
-        out = []
-        for t, rid, name, ok in zip(rows["t"], rows["row_id"], rows["username"], rows["success"]):
-            # late arrivals are inserted at their place
-            line = oks if ok else fails
-            line.insert(bisect_right(line, t), t)
-            if not ok:
-                seen[name] = max(t, seen.get(name, t))
-            since = t - window_us
-            n_fail = bisect_right(fails, t) - bisect_right(fails, since)
-            n_ok = bisect_right(oks, t) - bisect_right(oks, since)
-            out.append((rid, key_[0], t, n_fail, n_ok, sum(1 for s in seen.values() if since < s <= t)))
-        newest = max(fails[-1] if fails else 0, oks[-1] if oks else 0)
-        # keep one extra window so that moderately late rows still see their past
-        keep = newest - 2 * window_us
-        fails, oks = [x for x in fails if x > keep], [x for x in oks if x > keep]
-        live = [(n, s) for n, s in seen.items() if s > keep]
-        state.update((fails, oks, [n for n, _ in live], [s for _, s in live]))
-        state.setTimeoutTimestamp(max(newest // 1000 + 2 * window_us // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["row_id", "k", "t", "fails", "oks", "names"])
-
-    return (
-        base.withWatermark("ts", watermark)
-        .groupBy("k")
-        .applyInPandasWithState(
-            update,
-            "row_id bigint, k string, t bigint, fails bigint, oks bigint, names bigint",
-            "fails array<bigint>, oks array<bigint>, names array<string>, stamps array<bigint>",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+from .sliding import WATERMARK
 
 
 def alert_groups(alerts: DataFrame, window_us: int, *, watermark: str = WATERMARK) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from .state import WATERMARK
+from .sliding import WATERMARK
 
 
 def read_attempt_stream(spark: SparkSession, path: str, schema: str, *, files_per_trigger: int = 1) -> DataFrame:

@@ -1,5 +1,6 @@
 """A finite stream gives the batch answer."""
 
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -8,10 +9,11 @@ from logwarden.operators.dedup import anchors
 from logwarden.operators.sweep import Count, Distinct, sweep
 from logwarden.plans import rules as R
 from logwarden.streaming import rules as sr
+from logwarden.streaming import sliding as sl
 from logwarden.streaming import state as ss
 from logwarden.streaming import views as sv
 
-from helpers import D, H, S, SCHEMA, attempt, frame
+from helpers import D, H, S, SCHEMA, T0, attempt, frame
 
 
 def log():
@@ -33,13 +35,36 @@ def drain(df, name):
     return df.sparkSession.table(name)
 
 
-def test_sliding_state_equals_sweep(spark):
-    rows = log()
-    stream = sv.read_attempt_stream(spark, feed(spark, rows), SCHEMA)
-    got = {r["row_id"]: (r["fails"], r["oks"], r["names"]) for r in drain(ss.sliding_counts(stream, "ip", 300 * S), "sliding").collect()}
+def swept(spark, rows, key, window):
     fail = ~F.col("success")
-    want = sweep(frame(spark, rows), "ip", [Count("f", 300 * S, fail), Count("o", 300 * S, F.col("success")), Distinct("n", 300 * S, F.col("username"), fail)])
-    assert got == {r["row_id"]: (r["f"], r["o"], r["n"]) for r in want.collect()}
+    want = sweep(frame(spark, rows), key, [Count("f", window, fail), Count("o", window, F.col("success")), Distinct("n", window, F.col("username"), fail)])
+    return {r["row_id"]: (r["f"], r["o"], r["n"]) for r in want.collect()}
+
+
+def counted(spark, rows, key, window, name, feeds=4, **options):
+    """The stream's answers; a last attempt far in the future lets the watermark pass all others."""
+    end = attempt(10**6, max(r[1] for r in rows) - T0 + 30 * D, username="end", ip="10.9.9.9", success=True)
+    path = feed(spark, rows, feeds)
+    frame(spark, [end]).coalesce(1).write.mode("append").parquet(path)
+    stream = sv.read_attempt_stream(spark, path, SCHEMA)
+    out = drain(sl.sliding_counts(stream, key, window, **options), name).collect()
+    assert len(out) == len({r["row_id"] for r in out})
+    return {r["row_id"]: (r["fails"], r["oks"], r["names"]) for r in out}
+
+
+def test_sliding_state_equals_sweep(spark):
+    assert counted(spark, log(), "ip", 300 * S, "sliding") == swept(spark, log(), "ip", 300 * S)
+
+
+def test_sliding_state_with_late_rows_and_a_hot_key(spark):
+    """Rows up to 50 s late, ties, expiring names, and one address with two thirds of the rows, split in nine cells."""
+    rng = random.Random(4)
+    rows = [attempt(i, 2 * i * S + rng.randrange(2), username=f"n{rng.randrange(40)}", ip="10.0.0.1" if rng.random() < 0.66 else f"10.0.0.{i % 5}", success=rng.random() < 0.2) for i in range(300)]
+    rows += [attempt(1_000 + i, 2 * (i + 40) * S, username=f"late{i % 7}", ip="10.0.0.1") for i in range(0, 200, 9)]
+    rows.sort(key=lambda r: r[1] + (rng.randrange(50) * S if rng.random() < 0.4 else 0))
+    want = swept(spark, rows, "ip", 90 * S)
+    for name, hot in (("whole", ()), ("split", ("10.0.0.1",))):
+        assert counted(spark, rows, "ip", 90 * S, name, feeds=5, hot=hot, parts=3) == want
 
 
 def test_alert_groups_equal_batch(spark):
