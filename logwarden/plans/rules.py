@@ -107,6 +107,8 @@ class Config:
 
     @classmethod
     def from_dict(cls, data: dict[str, Any]) -> "Config":
+        from . import rulebook  # noqa: F401  (registers the rules)
+
         unknown = set(data) - {"rules"}
         if unknown:
             raise ConfigError(f"unknown keys {sorted(unknown)}")
@@ -211,13 +213,24 @@ def account_history(df: DataFrame, *, slice_rows: int, total_rows: int) -> DataF
     ).drop(SLICE, HOT)
 
 
-def global_stats(df: DataFrame, *, slice_rows: int, total_rows: int) -> DataFrame:
-    """Earlier successes of real accounts on known networks: in total and per network."""
-    counts = F.col("success") & F.col("user_key").isNotNull() & F.col("asn").isNotNull()
-    hit = counts.cast("int")
+def counts_for_networks() -> Column:
+    """Rows that the network statistics count: successes of real accounts on known networks."""
+    return F.col("success") & F.col("user_key").isNotNull() & F.col("asn").isNotNull()
+
+
+def global_stats(df: DataFrame, *, slice_rows: int, total_rows: int, past: DataFrame | None = None) -> DataFrame:
+    """Earlier successes of real accounts on known networks: in total and per network.
+
+    ``past`` (``asn, n``) adds successes that lie before all rows of ``df``.
+    """
+    hit = counts_for_networks().cast("int")
     kw = {"slice_rows": slice_rows, "total_rows": total_rows}
     out = running(df, [], ["t", "row_id"], [Running("stat_total", "sum", hit, "prior_rows")], **kw)
     out = running(out, ["asn"], ["t", "row_id"], [Running("stat_asn", "sum", hit, "prior_rows")], **kw)
+    if past is not None:
+        before = past.agg(F.sum("n")).first()[0] or 0
+        out = out.join(past.select(F.col("asn").alias("_asn"), F.col("n").alias("_n")), F.col("asn") == F.col("_asn"), "left")
+        out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) + n for c, n in (("stat_total", F.lit(before)), ("stat_asn", F.coalesce("_n", F.lit(0))))}).drop("_asn", "_n")
     return out.withColumns(
         {
             "stat_total": F.coalesce(F.col("stat_total"), F.lit(0)),
@@ -242,7 +255,7 @@ class Intel:
 LIST_OF = {"tor_list": "tor", "datacenter_list": "datacenter", "vpn_list": "vpn"}
 
 
-def add_state(df: DataFrame, ask: Ask, intel: Intel, *, slice_rows: int = DEFAULT_SLICE_ROWS, total_rows: int | None = None) -> DataFrame:
+def add_state(df: DataFrame, ask: Ask, intel: Intel, *, slice_rows: int = DEFAULT_SLICE_ROWS, total_rows: int | None = None, networks: DataFrame | None = None) -> DataFrame:
     """Compute every requested state column."""
     rows = df.count() if total_rows is None else total_rows
     kw = {"slice_rows": slice_rows, "total_rows": rows}
@@ -256,7 +269,7 @@ def add_state(df: DataFrame, ask: Ask, intel: Intel, *, slice_rows: int = DEFAUL
     if "history" in ask.wants:
         out = account_history(out, **kw)
     if "global_stats" in ask.wants:
-        out = global_stats(out, **kw)
+        out = global_stats(out, past=networks, **kw)
     for which in lists:
         if which in intel.loaded:
             ranges = merge_intervals(parse_networks(intel.lists.where(F.col("list") == which)), "list")
@@ -338,8 +351,12 @@ def evaluate(
     keep: list[str] | None = None,
     slice_rows: int = DEFAULT_SLICE_ROWS,
     total_rows: int | None = None,
+    networks: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per attempt: ``row_id, <keep...>, hits ARRAY<STRUCT>, skipped ARRAY<STRUCT>``."""
+    """One row per attempt: ``row_id, <keep...>, hits ARRAY<STRUCT>, skipped ARRAY<STRUCT>``.
+
+    ``networks`` (``asn, n``): successes before all ``attempts``, for the network statistics.
+    """
     plan = plan or Plan.of()
     ask = Ask()
     findings = [(r, mode, r.build(ask, p)) for r, mode, p in plan.rules]
@@ -347,7 +364,7 @@ def evaluate(
         ask.want("history")
     kept = keep or []
     base = prepare(attempts)
-    state = add_state(base, ask, intel, slice_rows=slice_rows, total_rows=total_rows)
+    state = add_state(base, ask, intel, slice_rows=slice_rows, total_rows=total_rows, networks=networks)
     have = need_columns(intel, ask.wants)
     hits, skipped = [], []
     for r, mode, f in findings:
