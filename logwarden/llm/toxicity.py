@@ -1,13 +1,17 @@
 """Toxicity by nearest labelled examples.
 
-A bounded sample of labelled texts is the index.  Texts are TF-IDF vectors over the
-terms that the sample ties to either label (a chi-square test); document frequencies
-are counted over the whole corpus.  The k most cosine-similar examples are found
-exactly: examples lie in blocks, every term has its largest weight in each block, and
-blocks are visited by falling upper bound until no block can hold a better example.
-Neighbours vote with weights that fall with distance; an isotonic fit of leave-one-out
-votes on the sample turns votes into probabilities.  The neighbours and the terms
-shared are the evidence.  A text without any of the terms is at distance 0 of the
+A bounded sample of labelled texts is the index.  Texts are TF-IDF vectors; a term's
+weight is also scaled by the evidence that ties it to a label, 1 - ``CHI2`` / chi-square,
+so that a long text is not drowned by words that say nothing.  There is no limit on the
+terms; one whose chi-square does not pass chance (``CHI2``, the 0.1 % level) has weight 0.
+Document frequencies are counted over the whole corpus.
+
+The k most cosine-similar examples are found exactly through an inverted index: every
+term has its postings (example, weight) in blocks of examples, and the largest weight of
+each block.  Blocks are visited by falling upper bound until none can hold a better
+example.  Neighbours vote with weights that fall with distance; an isotonic fit of
+leave-one-out votes on the sample turns votes into probabilities.  The neighbours and the
+terms shared are the evidence.  A text without any weighted term is at distance 0 of the
 examples without any, so its vote is their share of label 1.
 """
 
@@ -21,14 +25,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, stratified_sample
 
 SAMPLE = 3_000
-TERMS = 512
-CHI2 = 30.0
+CHI2 = 10.83
+#: Words on either side that tell apart two places of a term.
+AROUND = 5
 K = 15
 BLOCK = 64
 SOFT = 0.05
@@ -42,21 +48,33 @@ def terms_of(text: str | None) -> list[str]:
 
 @dataclass
 class Index:
-    """Examples in blocks: ids, labels, vote weights, unit vectors, and each term's largest weight per block."""
+    """Examples: ids, labels, vote weights and sparse unit vectors (places, weights); ``idf`` holds the weight of each term.
+
+    Postings lie in runs, one for each term and block: ``_ex, _val`` are the postings, run r covers ``_at[r]:_at[r + 1]`` of
+    them, belongs to block ``_blk[r]`` and has the largest weight ``_top[r]``; term t has the runs ``_runs[t]:_runs[t + 1]``.
+    """
 
     terms: dict[str, int]
     idf: np.ndarray
     ids: list
     labels: np.ndarray
     weights: np.ndarray
-    vectors: np.ndarray
+    vectors: list[tuple[np.ndarray, np.ndarray]]
     base: float
-    tops: np.ndarray = field(init=False)
-    knots: tuple = ((0.0, 1.0), (0.0, 1.0))
+    knots: tuple = field(default=((0.0, 1.0), (0.0, 1.0)))
 
     def __post_init__(self) -> None:
-        n = -(-len(self.ids) // BLOCK)
-        self.tops = np.stack([self.vectors[i * BLOCK : (i + 1) * BLOCK].max(axis=0) for i in range(n)]) if n else np.zeros((0, len(self.idf)), np.float32)
+        ex = np.repeat(np.arange(len(self.vectors)), [len(at) for at, _ in self.vectors]).astype(np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in self.vectors)])
+        val = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
+        order = np.lexsort((ex, term))
+        self._ex, self._val, term = ex[order], val[order], term[order]
+        block = self._ex // BLOCK
+        starts = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
+        self._at = np.append(starts, len(term))
+        self._blk = block[starts]
+        self._top = np.maximum.reduceat(self._val, starts) if len(term) else np.zeros(0)
+        self._runs = np.searchsorted(term[starts], np.arange(len(self.idf) + 1))
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Places and unit weights of a text, by places."""
@@ -66,13 +84,24 @@ class Index:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, example), ties to the earlier example; exact."""
-        bounds = self.tops[:, at] @ w
+        lists = [np.arange(self._runs[t], self._runs[t + 1]) for t in at.tolist()]
+        run, weight = np.concatenate(lists), np.repeat(w, [len(x) for x in lists])
+        if not len(run):
+            return []
+        order = np.argsort(self._blk[run], kind="stable")
+        run, weight = run[order], weight[order]
+        blocks, first = np.unique(self._blk[run], return_index=True)
+        bounds = np.add.reduceat(weight * self._top[run], first)
+        ends = np.append(first[1:], len(run))
         best: list[tuple[float, int]] = []
-        for b in np.lexsort((np.arange(len(bounds)), -bounds)).tolist():
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < -best[-1][0] - 1e-9):
+        for b in np.lexsort((blocks, -bounds)).tolist():
+            if len(best) == k and bounds[b] < -best[-1][0] - 1e-9:
                 break
-            lo = b * BLOCK
-            cos = np.round(self.vectors[lo : lo + BLOCK][:, at] @ w, 9)
+            lo, cos = int(blocks[b]) * BLOCK, np.zeros(BLOCK)
+            for r, x in zip(run[first[b] : ends[b]].tolist(), weight[first[b] : ends[b]].tolist(), strict=True):
+                posts = slice(self._at[r], self._at[r + 1])
+                cos[self._ex[posts] - lo] += x * self._val[posts]
+            cos = np.round(cos, 9)
             best += [(-float(cos[i]), lo + i) for i in np.flatnonzero(cos > 0).tolist() if lo + i != without]
             best = sorted(best)[:k]
         return [(-c, i) for c, i in best]
@@ -111,33 +140,33 @@ def isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tupl
     return tuple(x), tuple(y)
 
 
-def _selected(rows: DataFrame, terms: int) -> list[str]:
-    """The terms tied to a label: the largest chi-square values above ``CHI2``, of terms in at least 5 sampled texts.
+def evidence(rows: DataFrame) -> dict[str, float]:
+    """The terms tied to a label and the weight of their evidence, 1 - ``CHI2`` / chi-square, where above 0.
 
-    A term counts once for each pair of words around its first place in a text, so that copies of one text, whose words
-    all share a label, count as one.
+    A term counts once for each surrounding of its first place in a text (``AROUND`` words on either side), so that copies of
+    one text, whose words all share a label, count as one, and the words of a fixed phrase count wherever it stands.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             labels, words, around = [], [], []
             for y, t in zip(b.column("_label").to_pylist(), b.column("_text").to_pylist(), strict=True):
-                line = ["", *terms_of(t), ""]
-                own = {w: f"{line[i - 1]} {line[i + 1]}" for i, w in reversed([*enumerate(line)][1:-1])}
+                line = terms_of(t)
+                own = {w: i for i, w in reversed([*enumerate(line)])}
                 labels += [y] * len(own)
                 words += own
-                around += own.values()
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32()), pa.array(around, pa.string())], names=["term", "label", "around"])
+                around += [xxhash.xxh64_intdigest(" ".join([*line[max(0, i - AROUND) : i], "", *line[i + 1 : i + 1 + AROUND]])) - (1 << 63) for i in own.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32()), pa.array(around, pa.int64())], names=["term", "label", "around"])
 
     n = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     a, c = F.col("a"), F.col("b")
-    once = rows.mapInArrow(run, "term string, label int, around string").distinct()
-    table = once.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where("a + b >= 5")
+    once = rows.mapInArrow(run, "term string, label int, around long").distinct()
+    table = once.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     off = a * (n0 - c) - c * (n1 - a)
     chi2 = off * off * F.lit(float(n0 + n1)) / (F.lit(float(max(n1, 1)) * max(n0, 1)) * (a + c) * (n0 + n1 - a - c + 0.5))
-    ranked = table.withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(terms)
-    return sorted(r.term for r in ranked.collect())
+    kept = table.withColumn("chi2", chi2).where(F.col("chi2") > CHI2).select("term", (1 - CHI2 / F.col("chi2")).alias("w"))
+    return {r.term: r.w for r in kept.collect()}  # terms of the bounded sample
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> tuple[int, dict[str, int]]:
@@ -156,22 +185,23 @@ def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text")
     return got.pop("", 0), got
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> Index:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Index:
     """Index at most ``sample`` labelled texts of each label, those of smallest key hash.
 
-    Labels other than 0 and 1 and labels without a row are left out; of repeated labels of a key the largest counts.  With
-    one label only, or none, every score is that label or 0.
+    Labels other than 0 and 1 and labels without a row are left out; of repeated labels of a key the largest counts, of
+    repeated rows the least text.  With one label only, or none, every score is that label or 0.
     """
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     counts = {r["_label"]: r["count"] for r in marked.groupBy("_label").count().collect()}
     if len(counts) < 2:
-        return Index({}, np.zeros(0), [], np.zeros(0), np.zeros(0), np.zeros((0, 0), np.float32), float(1 in counts))
+        return Index({}, np.zeros(0), [], np.zeros(0), np.zeros(0), [], float(1 in counts))
     chosen = stratified_sample(marked, "_label", "_key", counts, sample)
-    rows = stored(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key").dropDuplicates(["_key"]))  # bounded by sample
-    names = _selected(rows, terms)
+    rows = stored(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text")))  # bounded by sample
+    force = evidence(rows)
+    names = sorted(force)
     n, frequency = document_frequencies(docs, names, text)
     place = {t: i for i, t in enumerate(names)}
-    idf = np.array([math.log((1 + n) / (1 + frequency.get(t, 0))) + 1 for t in names])
+    idf = np.array([(math.log((1 + n) / (1 + frequency.get(t, 0))) + 1) * force[t] for t in names])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -179,16 +209,14 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_label"), pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))], names=["key", "label", "at", "n"])
 
     kind = dict(rows.dtypes)["_key"]
-    examples = rows.mapInArrow(count, f"key {kind}, label int, at array<int>, n array<int>").collect()  # at most sample rows a label, terms numbers each
+    examples = rows.mapInArrow(count, f"key {kind}, label int, at array<int>, n array<int>").collect()  # at most sample rows a label
     # neighbours in the order share their leading terms, which keeps block bounds tight
     examples.sort(key=lambda r: (list(r.at), r.key))
     seen = Counter(r.label for r in examples)
     share = {y: counts[y] / seen[y] for y in seen}
     held = [r for r in examples if r.at]
-    index = Index(place, idf, [r.key for r in held], np.array([r.label for r in held], float), np.array([share[r.label] for r in held]), np.zeros((len(held), len(names)), np.float32), 0.0)
-    for i, r in enumerate(held):
-        at, w = index.vector(dict(zip(r.at, r.n, strict=True)))
-        index.vectors[i, at] = w
+    index = Index(place, idf, [r.key for r in held], np.array([r.label for r in held], float), np.array([share[r.label] for r in held]), [], 0.0)
+    index.vectors = [index.vector(dict(zip(r.at, r.n, strict=True))) for r in held]
     index.__post_init__()
     empty = [r for r in examples if not r.at]
     ones, zeros = (sum(share[y] for r in (empty or examples) if r.label == y) for y in (1, 0))
@@ -205,7 +233,7 @@ def score(docs: DataFrame, index: Index, text: str = "text", evidence: int = 3)
     """
     docs = docs.withColumn("_text", F.col(text)).drop(text, "score", "predicted", "neighbours", "matched")
     parts = (index.terms, index.idf, index.ids, index.labels, index.weights, index.vectors, index.base)
-    shared = docs.sparkSession.sparkContext.broadcast((parts, index.knots))  # at most 2 x sample examples by terms numbers
+    shared = docs.sparkSession.sparkContext.broadcast((parts, index.knots))  # the weighted terms of at most 2 x sample examples
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Index(*shared.value[0])

@@ -78,19 +78,20 @@ def test_quality_edges(spark):
 
 def _small_index(rng, n=300, terms=12):
     counts = [{int(i): int(rng.integers(1, 4)) for i in rng.choice(terms, rng.integers(1, 5), replace=False)} for _ in range(n)]
-    index = toxicity.Index({f"t{i}": i for i in range(terms)}, rng.random(terms) + 1, list(range(n)), rng.integers(0, 2, n).astype(float), np.ones(n), np.zeros((n, terms), np.float32), 0.1)
-    for i, c in enumerate(counts):
-        at, w = index.vector(c)
-        index.vectors[i, at] = w
+    index = toxicity.Index({f"t{i}": i for i in range(terms)}, rng.random(terms) + 1, list(range(n)), rng.integers(0, 2, n).astype(float), np.ones(n), [], 0.1)
+    index.vectors = [index.vector(c) for c in counts]
     index.__post_init__()
     return index, counts
 
 
 def test_block_bounds_lose_no_neighbour():
     index, counts = _small_index(np.random.default_rng(3))
+    dense = np.zeros((len(counts), 12))
+    for i, (at, w) in enumerate(index.vectors):
+        dense[i, at] = w
     for c in counts[:60]:
         at, w = index.vector(c)
-        cos = np.round(index.vectors[:, at] @ w, 9)
+        cos = np.round(dense[:, at] @ w, 9)
         want = sorted((-float(x), i) for i, x in enumerate(cos) if x > 0)[: toxicity.K]
         got = [(-x, i) for x, i in index.nearest(at, w, toxicity.K)]
         assert [i for _, i in got] == [i for _, i in want] and np.allclose([x for x, _ in got], [x for x, _ in want])
@@ -116,3 +117,44 @@ def test_toxicity_learns_and_explains(spark):
     assert [got[i].predicted for i in (1000, 1001, 1002, 1003)] == [1, 0, 0, 1]
     assert set(got[1000].matched) == {"vile", "awful"} and got[1000].neighbours[0].id % 4 == 0
     assert np.mean([got[i].predicted == (i % 4 == 0) for i in range(240)]) > 0.98
+
+
+def test_toxicity_matches_plain_cosine_votes(spark, sf):
+    """Every vote by cosine with every example over all weighted terms, without index or blocks."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.train(docs, labels)
+    dense = np.zeros((len(index.ids), len(index.idf)))
+    for i, (at, w) in enumerate(index.vectors):
+        dense[i, at] = w
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert index.terms and not set(index.terms) - {w for t in texts.values() for w in toxicity.terms_of(t)}
+    for r in toxicity.score(docs, index).collect():
+        q, vote = np.zeros(len(index.idf)), index.base
+        for w in set(toxicity.terms_of(texts[r.doc_id])) & set(index.terms):
+            q[index.terms[w]] = (1 + np.log(toxicity.terms_of(texts[r.doc_id]).count(w))) * index.idf[index.terms[w]]
+        if q.any():
+            cos = np.round(dense @ (q / np.linalg.norm(q)), 9)
+            near = sorted((-c, i) for i, c in enumerate(cos) if c > 0)[: toxicity.K]
+            if near:
+                w = [index.weights[i] / (1 + toxicity.SOFT + c) for c, i in near]
+                vote = sum(x * index.labels[i] for x, (_, i) in zip(w, near)) / sum(w)
+        assert abs(r.score - float(index.probability(np.round(np.array([vote]), 6))[0])) < 1e-6
+
+
+def test_toxicity_knows_fixed_phrases_and_wide_vocabularies(spark):
+    """A slogan that always stands in the same words, and five thousand insults in many combinations."""
+    rng = np.random.default_rng(8)
+    insults = [f"slur{i}" for i in range(5_000)]
+    rows, labels = [], []
+    for i in range(1_200):
+        bad = i % 2
+        extra = " go home you rotten lot" if bad and i % 4 == 1 else " ".join(["", *rng.choice(insults, 300, replace=False)]) if bad else ""
+        rows.append((i, plain.prose(40, i) + extra))
+        labels.append((i, 1, bad))
+    rows += [(2_000, plain.prose(60, 5) + " go home you rotten lot " + plain.prose(20, 6)), (2_001, plain.prose(60, 7) + " slur7 slur4999 slur250"), (2_002, plain.prose(60, 8))]
+    docs = plain.docs(spark, rows)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    index = toxicity.train(docs, marks)
+    assert {"go", "home", "you", "rotten", "lot"} <= set(index.terms) and len(set(insults) & set(index.terms)) > 4_000
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, index).collect()}
+    assert [got[i] for i in (2_000, 2_001, 2_002)] == [1, 1, 0] and np.mean([got[i] == i % 2 for i in range(1_200)]) > 0.98
