@@ -37,6 +37,8 @@ CHI2 = 10.83
 AROUND = 5
 K = 15
 BLOCK = 64
+#: Blocks visited at once at first; doubled as long as the bounds ask for more.
+STEP = 4
 SOFT = 0.05
 THRESHOLD = 0.5
 _WORD = re.compile(r"\w+")
@@ -46,6 +48,12 @@ def terms_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges ``start, start + 1, ...`` of the given sizes, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
     """Examples: ids, labels, vote weights and sparse unit vectors (places, weights); ``idf`` holds the weight of each term.
@@ -84,27 +92,31 @@ class Index:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, example), ties to the earlier example; exact."""
-        lists = [np.arange(self._runs[t], self._runs[t + 1]) for t in at.tolist()]
-        run, weight = np.concatenate(lists), np.repeat(w, [len(x) for x in lists])
+        held = self._runs[at + 1] - self._runs[at]
+        run, weight = _ranges(self._runs[at], held), np.repeat(w, held)
         if not len(run):
             return []
         order = np.argsort(self._blk[run], kind="stable")
         run, weight = run[order], weight[order]
-        blocks, first = np.unique(self._blk[run], return_index=True)
+        first = np.flatnonzero(np.diff(self._blk[run], prepend=-1))
+        blocks, sizes = self._blk[run[first]], np.diff(np.append(first, len(run)))
         bounds = np.add.reduceat(weight * self._top[run], first)
-        ends = np.append(first[1:], len(run))
-        best: list[tuple[float, int]] = []
-        for b in np.lexsort((blocks, -bounds)).tolist():
-            if len(best) == k and bounds[b] < -best[-1][0] - 1e-9:
-                break
-            lo, cos = int(blocks[b]) * BLOCK, np.zeros(BLOCK)
-            for r, x in zip(run[first[b] : ends[b]].tolist(), weight[first[b] : ends[b]].tolist(), strict=True):
-                posts = slice(self._at[r], self._at[r + 1])
-                cos[self._ex[posts] - lo] += x * self._val[posts]
-            cos = np.round(cos, 9)
-            best += [(-float(cos[i]), lo + i) for i in np.flatnonzero(cos > 0).tolist() if lo + i != without]
-            best = sorted(best)[:k]
-        return [(-c, i) for c, i in best]
+        order = np.lexsort((blocks, -bounds))
+        ids, cos, seen, batch = np.zeros(0, np.int64), np.zeros(0), 0, STEP
+        while seen < len(order) and not (len(ids) == k and bounds[order[seen]] < cos[-1] - 1e-9):
+            some = order[seen : seen + batch]
+            seen, batch = seen + batch, 2 * batch
+            mine = _ranges(first[some], sizes[some])
+            posts = self._at[run[mine] + 1] - self._at[run[mine]]
+            spots = _ranges(self._at[run[mine]], posts)
+            sums = np.round(np.bincount(self._ex[spots], weights=self._val[spots] * np.repeat(weight[mine], posts)), 9)
+            if 0 <= without < len(sums):
+                sums[without] = 0.0
+            new = np.flatnonzero(sums > 0)
+            ids, cos = np.append(ids, new), np.append(cos, sums[new])
+            best = np.lexsort((ids, -cos))[:k]
+            ids, cos = ids[best], cos[best]
+        return list(zip(cos.tolist(), ids.tolist(), strict=True))
 
     def vote(self, counts: dict[int, int], k: int = K, without: int = -1) -> tuple[float, list[tuple[float, int]]]:
         if not counts:
