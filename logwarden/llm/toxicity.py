@@ -37,8 +37,9 @@ CHI2 = 10.83
 AROUND = 5
 K = 15
 BLOCK = 64
-#: Blocks visited at once at first; doubled as long as the bounds ask for more.
+#: Blocks visited before the bounds are asked; beyond ``MANY`` blocks left the postings are read list by list instead.
 STEP = 4
+MANY = 16
 SOFT = 0.05
 THRESHOLD = 0.5
 _WORD = re.compile(r"\w+")
@@ -48,15 +49,9 @@ def terms_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The ranges ``start, start + 1, ...`` of the given sizes, one after another."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 @dataclass
 class Index:
-    """Examples: ids, labels, vote weights and sparse unit vectors (places, weights); ``idf`` holds the weight of each term.
+    """Examples: ids, labels, vote weights and sparse unit vectors (places, weights, none empty); ``idf`` holds the weight of each term.
 
     Postings lie in runs, one for each term and block: ``_ex, _val`` are the postings, run r covers ``_at[r]:_at[r + 1]`` of
     them, belongs to block ``_blk[r]`` and has the largest weight ``_top[r]``; term t has the runs ``_runs[t]:_runs[t + 1]``.
@@ -75,6 +70,8 @@ class Index:
         ex = np.repeat(np.arange(len(self.vectors)), [len(at) for at, _ in self.vectors]).astype(np.int64)
         term = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in self.vectors)])
         val = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
+        self._places, self._weights = term, val
+        self._row = np.append(0, np.cumsum([len(at) for at, _ in self.vectors], dtype=np.int64))
         order = np.lexsort((ex, term))
         self._ex, self._val, term = ex[order], val[order], term[order]
         block = self._ex // BLOCK
@@ -92,31 +89,46 @@ class Index:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, example), ties to the earlier example; exact."""
-        held = self._runs[at + 1] - self._runs[at]
-        run, weight = _ranges(self._runs[at], held), np.repeat(w, held)
-        if not len(run):
-            return []
-        order = np.argsort(self._blk[run], kind="stable")
-        run, weight = run[order], weight[order]
-        first = np.flatnonzero(np.diff(self._blk[run], prepend=-1))
-        blocks, sizes = self._blk[run[first]], np.diff(np.append(first, len(run)))
-        bounds = np.add.reduceat(weight * self._top[run], first)
-        order = np.lexsort((blocks, -bounds))
-        ids, cos, seen, batch = np.zeros(0, np.int64), np.zeros(0), 0, STEP
-        while seen < len(order) and not (len(ids) == k and bounds[order[seen]] < cos[-1] - 1e-9):
-            some = order[seen : seen + batch]
-            seen, batch = seen + batch, 2 * batch
-            mine = _ranges(first[some], sizes[some])
-            posts = self._at[run[mine] + 1] - self._at[run[mine]]
-            spots = _ranges(self._at[run[mine]], posts)
-            sums = np.round(np.bincount(self._ex[spots], weights=self._val[spots] * np.repeat(weight[mine], posts)), 9)
-            if 0 <= without < len(sums):
-                sums[without] = 0.0
-            new = np.flatnonzero(sums > 0)
-            ids, cos = np.append(ids, new), np.append(cos, sums[new])
-            best = np.lexsort((ids, -cos))[:k]
-            ids, cos = ids[best], cos[best]
-        return list(zip(cos.tolist(), ids.tolist(), strict=True))
+        n = len(self.vectors)
+        bounds, query = np.zeros(-(-n // BLOCK)), np.zeros(len(self.idf))
+        query[at] = w
+        lists = list(zip(self._runs[at].tolist(), self._runs[at + 1].tolist(), w.tolist(), strict=True))
+        for lo, hi, x in lists:
+            bounds[self._blk[lo:hi]] += x * self._top[lo:hi]
+        order = np.lexsort((np.arange(len(bounds)), -bounds))
+        order = order[bounds[order] > 0]
+        found, seen, least = [np.zeros((2, 0))], 0, -1.0
+
+        def keep(first: int, cos: np.ndarray) -> None:
+            cos = np.round(cos, 9)
+            if first <= without < first + len(cos):
+                cos[without - first] = 0.0
+            some = np.flatnonzero((cos > 0) & (cos >= least))
+            found.append(np.stack((cos[some], some + first)))
+
+        def best() -> np.ndarray:
+            cos, ids = np.concatenate(found, axis=1)
+            return np.stack((cos, ids))[:, np.lexsort((ids, -cos))[:k]]
+
+        while seen < len(order) and bounds[order[seen]] >= least - 1e-9:
+            if seen >= STEP and int((bounds[order[seen:]] >= least - 1e-9).sum()) > MANY:
+                # the bounds rule out too little: whole lists, term by term
+                sums = np.zeros(n)
+                for lo, hi, x in lists:
+                    posts = slice(self._at[lo], self._at[hi])
+                    sums[self._ex[posts]] += x * self._val[posts]
+                found = [np.zeros((2, 0))]
+                keep(0, sums)
+                break
+            for b in order[seen : seen + STEP].tolist():
+                lo, hi = b * BLOCK, min(n, (b + 1) * BLOCK)
+                posts = slice(self._row[lo], self._row[hi])
+                keep(lo, np.add.reduceat(query[self._places[posts]] * self._weights[posts], self._row[lo:hi] - self._row[lo]))
+            seen += STEP
+            found = [best()]
+            least = found[0][0, -1] if found[0].shape[1] == k else -1.0
+        cos, ids = best()
+        return list(zip(cos.tolist(), ids.astype(np.int64).tolist(), strict=True))
 
     def vote(self, counts: dict[int, int], k: int = K, without: int = -1) -> tuple[float, list[tuple[float, int]]]:
         if not counts:
@@ -222,8 +234,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
     kind = dict(rows.dtypes)["_key"]
     examples = rows.mapInArrow(count, f"key {kind}, label int, at array<int>, n array<int>").collect()  # at most sample rows a label
-    # neighbours in the order share their leading terms, which keeps block bounds tight
-    examples.sort(key=lambda r: (list(r.at), r.key))
+    # neighbours in the order share their label and heaviest terms, which keeps block bounds tight
+    examples.sort(key=lambda r: (r.label, sorted(r.at, key=lambda i: -idf[i])[:4], r.key))
     seen = Counter(r.label for r in examples)
     share = {y: counts[y] / seen[y] for y in seen}
     held = [r for r in examples if r.at]
