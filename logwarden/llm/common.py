@@ -35,6 +35,11 @@ def row_key(key: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th")]
 
 
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with every column but ``used`` renamed by position, out of the way of an operator's own names; ``toDF`` of the old names undoes it."""
+    return docs.toDF(*[c if c in used else f"_aside{i}" for i, c in enumerate(docs.columns)])
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, counts: dict, rows: int) -> DataFrame:
     """At most ``rows`` rows of each stratum, those of smallest key hash; the same on every run.
 

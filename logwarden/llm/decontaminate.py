@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, stored
+from .common import ascii_lower, row_key, set_aside, stored
 
 WINDOW = 13
 SMALL_WORDS = 1_000_000
@@ -128,7 +128,8 @@ def hits(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` that are not contaminated, with the columns of ``docs``."""
+    """Rows of ``docs`` that are not contaminated, with the columns of ``docs``, whatever the names of the others."""
+    key, text = options.get("key", "doc_id"), options.get("text", "text")
     bad = hits(docs, items, **options).where("contaminated").select("_id", "_th").distinct()
-    keyed = docs.select("*", *row_key(options.get("key", "doc_id"), options.get("text", "text")))
-    return keyed.join(bad, ["_id", "_th"], "left_anti").select(*docs.columns)
+    plain = set_aside(docs, key, text)
+    return plain.select("*", *row_key(key, text)).join(bad, ["_id", "_th"], "left_anti").select(*plain.columns).toDF(*docs.columns)

@@ -62,9 +62,10 @@ class Model:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on at most ``sample`` texts per language, those of smallest key hash.  Rows without text or language are left out.
+    """Fit on at most ``sample`` keys per language, those of smallest key hash.  Rows without text or language are left out.
 
-    Sampled texts come to the driver as bit sets of fixed size, not as text.
+    A key counts once for a language, by the first of its texts in order that holds a letter.  Sampled texts come to the
+    driver as bit sets of fixed size, not as text.
     """
     usable = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
 
@@ -77,13 +78,14 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                 bits.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(bits, pa.binary())], names=["lang", "bits"])
 
-    counts = usable.groupBy("lang").count().collect()  # a row per language
+    keys = usable.select("key", "lang").distinct()
+    counts = keys.groupBy("lang").count().collect()  # a row per language
     if not counts:
         return Model([], np.zeros((CELLS, 0), np.float32), np.zeros(0))
     names = sorted(r.lang for r in counts)
-    picked = stratified_sample(usable.select("key", "lang"), "lang", "key", {r.lang: r["count"] for r in counts}, sample)
-    chosen = usable.join(F.broadcast(picked.select("key", "lang").distinct()), ["key", "lang"])  # at most sample rows a language
-    rows = chosen.where(F.col("text").rlike(r"\p{L}")).select("lang", "text").mapInArrow(pack, "lang string, bits binary").collect()
+    picked = stratified_sample(keys, "lang", "key", {r.lang: r["count"] for r in counts}, sample)  # at most sample rows a language
+    chosen = usable.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(picked), ["key", "lang"]).groupBy("key", "lang").agg(F.min("text").alias("text"))
+    rows = chosen.select("lang", "text").mapInArrow(pack, "lang string, bits binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.bits)))
     return fit(names, [r.lang for r in rows], [bytes(r.bits) for r in rows], landmarks, ridge)
 

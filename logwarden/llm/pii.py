@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import set_aside
+
 # Kinds in their order, patterns, prior scores and context words.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -155,11 +157,10 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` with every found span replaced by ``<KIND>``; of overlapping spans the union goes, named by the first.
 
-    Null texts stay null.  The columns are those of ``docs``.
+    Null texts stay null.  The columns are those of ``docs``, whatever their names.
     """
-    if "pii" in docs.columns:
-        raise ValueError("rename the column pii first")
-    found = find(docs.withColumn("_body", F.col(text)), "_body", min_score)
+    plain = set_aside(docs, text)
+    found = find(plain.withColumn("_body", F.col(text)), "_body", min_score)
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["stop"]).alias("at"),
         F.concat(
@@ -171,4 +172,4 @@ def redact(docs: DataFrame, text: str = "text", min_score: float = MIN_SCORE) ->
     done = F.aggregate("pii", start, step)
     clean = F.concat(F.array_join(done["out"], ""), F.substring(F.col("_body"), done["at"].cast("int") + 1, F.length("_body")))
     out = found.withColumn(text, F.when(F.size("pii") > 0, clean).otherwise(F.col("_body")))
-    return out.select(*docs.columns)
+    return out.select(*plain.columns).toDF(*docs.columns)

@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stratified_sample, stored
+from .common import set_aside, stratified_sample, stored
 
 SAMPLE = 6_000
 TREES = 24
@@ -124,7 +124,8 @@ def _simplified(tests: tuple) -> tuple:
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Rules:
     """Fit on at most ``sample`` labelled texts of each label.
 
-    Labels other than 0 and 1 and labels without a text row are left out; of repeated labels of a key the smallest counts.
+    Labels other than 0 and 1 and labels without a text row are left out; of repeated labels of a key the smallest counts,
+    of repeated texts of a key the first in order.  The rows are sorted, so the same input gives the same rules.
     With no label the score is 0.5, with one label only it is near that label.
     """
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).cast("int").alias("_label"))
@@ -133,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         return Rules(0.0 if not counts else (4.0 if 1 in counts else -4.0), [], [])
     chosen = stratified_sample(marked, "_label", "_key", counts, sample)
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")  # bounded by sample
-    rows = stored(with_statistics(texts, "_text").orderBy(F.xxhash64("_key"), "_key").repartition(4, "_key"))
+    texts = texts.groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
+    rows = stored(with_statistics(texts, "_text").repartition(4, "_key").sortWithinPartitions(F.xxhash64("_key"), "_key"))
     seen = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
     if len(seen) < 2:
         return Rules(0.0 if not seen else (4.0 if 1 in seen else -4.0), [], [])
@@ -161,6 +163,7 @@ def score(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are not rejected, with their columns."""
-    seen = with_statistics(docs.withColumn("_text", F.col(text)), "_text")
-    return seen.where(rules.score() >= THRESHOLD).select(*docs.columns)
+    """Rows of ``docs`` that are not rejected, with their columns, whatever the names of the others."""
+    plain = set_aside(docs, text)
+    seen = with_statistics(plain.withColumn("_text", F.col(text)), "_text")
+    return seen.where(rules.score() >= THRESHOLD).select(*plain.columns).toDF(*docs.columns)

@@ -29,6 +29,28 @@ def test_language_edges(spark):
     assert langid.predict(more.limit(0), model).count() == 0
 
 
+def test_repeats_do_not_fill_the_language_sample(spark):
+    rows = [(1, "the of and with", "aa")] * 60 + [(1, "AND the", "aa"), (1, None, "aa"), (1, "", "aa")] + [(i, f"der die und nicht {i}", "bb") for i in range(2, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    whole = langid.fit
+    try:
+        langid.fit = lambda names, langs, bits, *rest: seen.append(langs) or whole(names, langs, bits, *rest)
+        model = langid.train(docs, sample=4)
+    finally:
+        langid.fit = whole
+    assert sorted(seen[0]) == ["aa"] + ["bb"] * 4
+    again = langid.train(docs.orderBy(F.rand(3)), sample=4)
+    assert (model.weights == again.weights).all() and model.names == again.names
+
+
+def test_quality_training_does_not_depend_on_the_order_of_rows(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    twice = docs.unionByName(docs.limit(5))
+    a, b = quality.train(twice, labels), quality.train(twice.orderBy(F.rand(5)).repartition(7), labels)
+    assert a.rules and (a.rules, a.linear) == (b.rules, b.linear)
+
+
 def test_folded_scores_are_kernel_ridge_scores():
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abcd" if i % 2 else "cdef"), 40)) for i in range(30)]
