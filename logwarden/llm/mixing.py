@@ -82,14 +82,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     under the struct ``row``.
 
     Null and empty texts count 0 tokens and go with their block.  A null source is mixed as a source; a source without
-    tokens gets no budget.  Repeated rows are drawn each.  An empty table gives no rows.  ``block_rank`` is the block's
-    place in its source's order of that epoch.
+    tokens gets no budget.  Repeated rows are drawn each; a row without an id is dealt to a block by its text, so only equal
+    rows share a block of necessity.  An empty table gives no rows.  ``block_rank`` is the block's place in its source's
+    order of that epoch.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), n_tokens(F.col(text)).alias("n_tokens"))
+    name = F.coalesce(F.col(key).cast("string"), F.md5(F.col(text))).alias("_name")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_key"), name, F.col(source).cast("string").alias("source"), n_tokens(F.col(text)).alias("n_tokens"))
     slim = docs.select(F.col(source).cast("string").alias("source"), n_tokens(F.col(text)).alias("n_tokens"))
     plan = stored(budgets(slim, entropy_share, repeats, budget_share).withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).drop("source"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens))
-    hashed = F.conv(F.substring(_draw(F.lit("block"), "_s", F.col("_key").cast("string")), 1, 8), 16, 10).cast("long")
+    hashed = F.conv(F.substring(_draw(F.lit("block"), "_s", "_name"), 1, 8), 16, 10).cast("long")
     named = lambda df: df.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     # plan has a row per source: planned by statistics, hot sources split by the adaptive join
     placed = named(rows).join(plan, "_s").withColumn("block", F.pmod(hashed, blocks))
@@ -102,9 +104,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         turns.withColumn("_room", left - F.col("_upto") + F.col("_sum")).withColumn("_whole", F.col("_upto") <= left)
         .where("_room > 0 or _whole").select("_s", "block", "epoch", "block_rank", "_whole", "_room")
     )
-    taken = placed.select("row", "_key", "source", "n_tokens", "_s", "block").join(turns, ["_s", "block"])
+    taken = placed.select("row", "_key", "_name", "source", "n_tokens", "_s", "block").join(turns, ["_s", "block"])
     whole = taken.where("_whole").drop("_whole", "_room")
-    inside = Window.partitionBy("_s", "epoch", "block").orderBy(_draw(F.lit("doc"), "epoch", F.col("_key").cast("string")), "_key").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_s", "epoch", "block").orderBy(_draw(F.lit("doc"), "epoch", "_name"), "_key").rowsBetween(Window.unboundedPreceding, 0)
     border = turns.where("not _whole")
-    fits = placed.select("_key", "source", "n_tokens", "_s", "block", "row").join(border, ["_s", "block"]).withColumn("_run", F.sum("n_tokens").over(inside)).where("_run <= _room").drop("_run", "_whole", "_room")
-    return whole.unionByName(fits).drop("_s").withColumnRenamed("_key", key)
+    fits = placed.select("row", "_key", "_name", "source", "n_tokens", "_s", "block").join(border, ["_s", "block"]).withColumn("_run", F.sum("n_tokens").over(inside)).where("_run <= _room").drop("_run", "_whole", "_room")
+    return whole.unionByName(fits).drop("_s", "_name").withColumnRenamed("_key", key)

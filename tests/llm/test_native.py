@@ -131,6 +131,12 @@ def test_mixing_meets_budgets(spark, sf):
     assert {tuple(r) for r in mixing.mix(docs.repartition(5), block_tokens=2_000).select("doc_id", "source", "n_tokens", "epoch", "block", "block_rank").collect()} == {tuple(r) for r in rows}
 
 
+def test_mixing_deals_rows_without_id_to_blocks(spark):
+    docs = plain.docs(spark, [(None, f"word {i} " * 10) for i in range(300)]).withColumn("source", F.lit("one"))
+    got = mixing.mix(docs, block_tokens=500).collect()
+    assert len(got) == 300 and len({r.block for r in got}) > 6
+
+
 def test_mixing_edges(spark):
     frame = spark.createDataFrame([(1, "a b c", None), (2, None, "x"), (3, "", "x"), (4, "a b", "x"), (4, "a b", "x"), (5, "", "empty"), (None, "q", "x")], "doc_id long, text string, source string")
     frame = frame.withColumn("block", F.lit("clash")).withColumn("tokens", F.lit(1))

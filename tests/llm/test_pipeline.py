@@ -51,6 +51,20 @@ def test_every_stage_matches_brute_force(spark, sf):
         assert sum(r.n_tokens for r in drawn if r.source == s) <= b
 
 
+def test_stages_keep_columns_of_any_name(spark, sf):
+    names = ["_id", "_th", "pii", "_text", "_stats", "_body", "component", "row", "_key", "_aside0"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("*", *[F.col("doc_id").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, old = stage(spark, docs, sf), docs
+        assert docs.columns == old.columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.count() and docs.where(" or ".join(f"not (`{n}` <=> doc_id)" for n in names)).count() == 0
+    made = ["n_tokens", "epoch", "block", "block_rank"]
+    mixed = corpus_pipeline.mixing_stage(spark, docs.select("*", *[F.lit("clash").alias(n) for n in made]), sf)
+    assert mixed.columns == [*docs.columns, *made]
+    assert 0 < mixed.count() == mixed.where(F.col("epoch").cast("string") != "clash").count()
+
+
 def test_stages_accept_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
