@@ -12,14 +12,16 @@ from ..plans import evaluate as ev
 from ..plans import explain as ex
 from ..plans import ladders as ld
 from ..plans import quality as ql
-from ..plans.models import materialize, youden
+from ..plans import tasks as tk
+from ..plans.models import CANDIDATE_FLAGS, CANDIDATE_GE, CANDIDATE_ZERO, fit_rule_weights, materialize, youden
+from ..plans.overlap import flagged
 from ..plans.features import FEATURES, Options, compute_features
 from ..sources.attempts import read_attempts
-from .event_queries import CUT, DAY, PART, POP, T0, USTATS, weighted
+from .event_queries import ANCHORS, CUT, DAY, PART, POP, T0, USTATS, _SAME, weighted
 from .feature_queries import ALL_CTES, FEATURES_CTE, rounded
 from .fixture import with_attempts
 from .registry import query
-from .rule_queries import PACE, STATE
+from .rule_queries import MARK, PACE, RELAX, STATE, d
 
 # A stand-in score with ties, one task per time split and one over everything.
 SCORE_SQL = "((row_id % 37) * 0.5::DOUBLE + CASE WHEN is_attack_ip THEN 5.5::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN success THEN 0.0::DOUBLE ELSE 1.5::DOUBLE END)"
@@ -218,19 +220,52 @@ def calibrate_bands(spark, sf):
 
 # -------------------------------------------------------------- rule ladders
 
-LEVELS = """lv AS (SELECT row_id, ip, CASE WHEN success THEN 0 WHEN fu5 >= 50 THEN 10 WHEN fu5 >= 30 THEN 9 WHEN fu5 >= 20 THEN 8 WHEN fu5 >= 15 THEN 7 WHEN fu5 >= 10 THEN 6 WHEN fu5 >= 8 THEN 5 WHEN fu5 >= 6 THEN 4 WHEN fu5 >= 5 THEN 3 WHEN fu5 >= 4 THEN 2 WHEN fu5 >= 3 THEN 1 ELSE 0 END AS bf,
-  CASE WHEN country IS NULL OR cc24 < 2 THEN 0 ELSE least(cc24 - 1, 5) END AS ch FROM st)"""
-_TWO = [x for x in ld.LADDERS if x.name in ("brute_force", "country_hop")]
-
-
-@query("rule_levels", with_attempts("SELECT row_id, CAST(bf AS INT) AS level_brute_force, CAST(ch AS INT) AS level_country_hop FROM lv", PACE, STATE, LEVELS))
+_PRIOR = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_SEEN = "COALESCE(SUM(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY uid, {} ORDER BY t, row_id " + _PRIOR + "), 0)"
+_KNOWN = "success AND uid IS NOT NULL AND asn IS NOT NULL"
+MULTI = {s: f"mc{s}" for (s,) in next(x.values for x in ld.LADDERS if x.rule_id == "multi_context_simultaneous")}
+DEEP = f"""sx AS (SELECT *, {", ".join(f"{d('country', 'success', 'uid', s)} AS {c}" for s, c in MULTI.items())},
+  MAX(CASE WHEN success THEN t END) OVER (PARTITION BY uid ORDER BY t, row_id {_PRIOR}) AS last_ok,
+  (country IS NOT NULL AND {_SEEN.format('country')} = 0) OR (ua IS NOT NULL AND {_SEEN.format('ua')} = 0) AS changed,
+  COALESCE(SUM(CASE WHEN {_KNOWN} THEN 1 ELSE 0 END) OVER (ORDER BY t, row_id {_PRIOR}), 0) AS all_ok,
+  COALESCE(SUM(CASE WHEN {_KNOWN} THEN 1 ELSE 0 END) OVER (PARTITION BY asn ORDER BY t, row_id {_PRIOR}), 0) AS asn_ok FROM st)"""
+# ladder -> the condition of a rung over the state, by the rung's values
+RUNG_SQL = {
+    "brute_force": "NOT success AND fu5 >= {0}",
+    "credential_stuffing/ip": f"NOT success AND fp5 >= {{0}} * {RELAX} AND up5 >= {{1}} * {RELAX} AND op5 <= 0.5::DOUBLE * (op5 + fp5)",
+    "credential_stuffing/asn": "NOT success AND asn IS NOT NULL AND fa5 >= {0} AND ua5 >= {1} AND oa5 <= 0.5::DOUBLE * (oa5 + fa5)",
+    "password_spray_slow/ip": "NOT success AND up24 >= {0} AND fp24 <= 3.0::DOUBLE * up24 AND fp60 <= 120",
+    "password_spray_slow/asn": "NOT success AND asn IS NOT NULL AND ua24 >= {0} AND fa24 <= 3.0::DOUBLE * ua24 AND fa60 <= 600",
+    "distributed_bruteforce": "NOT success AND fu60 >= {0} AND fi60 >= {1}",
+    "success_after_failures": "success AND uid IS NOT NULL AND fu10 >= {0}",
+    "ua_rotation": "NOT success AND ua IS NOT NULL AND fp10 >= {0} AND ap10 >= {1}",
+    "dormant_account_login": f"success AND uid IS NOT NULL AND (t - last_ok) / {DAY}.0::DOUBLE >= {{0}} AND changed",
+    "rare_network_login": f"{_KNOWN} AND all_ok >= 20000 AND CAST(asn_ok AS DOUBLE) / all_ok <= {{0}}::DOUBLE",
+    "multi_context_simultaneous": "success AND uid IS NOT NULL AND country IS NOT NULL AND mc{0} >= 2",
+    "country_hop": "country IS NOT NULL AND cc24 >= {0}",
+    "bot_user_agent": "device_type = 'bot'",
+    "scripted_client": f"({MARK}) IS NOT NULL",
+}
+
+
+def _level_sql(x) -> str:
+    steps = " ".join(f"WHEN NOT COALESCE({RUNG_SQL[x.name].format(*v)}, FALSE) THEN {i}" for i, v in enumerate(x.values))
+    return f"CAST(CASE {steps} ELSE {len(x.values)} END AS INT) AS {x.column}"
+
+
+LEVELS = f"{DEEP}, lv AS (SELECT row_id, ip, {', '.join(map(_level_sql, ld.LADDERS))} FROM sx)"
+#: The rung at which rules are weighed: the third, or the last of a shorter ladder.
+AT_RUNG = {x.name: min(3, len(x.values)) for x in ld.LADDERS}
+
+
+@query("rule_levels", with_attempts(f"SELECT row_id, {', '.join(x.column for x in ld.LADDERS)} FROM lv", PACE, STATE, LEVELS))
 def rule_levels(spark, sf):
-    return ld.rule_levels(read_attempts(spark, sf, PACE)).select("row_id", "level_brute_force", "level_country_hop")
+    """How deep every attempt reaches on all fourteen ladders."""
+    return ld.rule_levels(read_attempts(spark, sf, PACE))
 
 
 LFACTS = f"""lf AS (SELECT row_id, success, is_attack_ip, CASE WHEN t < {T0 + 1_200_000_000} THEN 'train' WHEN t < {T0 + 2_400_000_000} THEN 'val' ELSE 'test' END AS part, CASE WHEN is_attack_ip THEN 1 / 0.15::DOUBLE ELSE 1.0::DOUBLE END AS w FROM attempts)"""
-LMETRICS = """lx AS (SELECT 'brute_force' AS ladder, r.i AS rung, part, success, is_attack_ip, w, bf >= r.i AS fired FROM lv JOIN lf USING (row_id), range(1, 11) r(i)
-  UNION ALL SELECT 'country_hop', r.i, part, success, is_attack_ip, w, ch >= r.i FROM lv JOIN lf USING (row_id), range(1, 6) r(i)),
+LMETRICS = "lx AS (" + " UNION ALL ".join(f"SELECT '{x.name}' AS ladder, r.i AS rung, part, success, is_attack_ip, w, {x.column} >= r.i AS fired FROM lv JOIN lf USING (row_id), range(1, {len(x.values) + 1}) r(i)" for x in ld.LADDERS) + """),
 lm AS (SELECT ladder, CAST(rung AS INT) AS rung, part, round(SUM(CASE WHEN fired AND NOT is_attack_ip THEN w ELSE 0 END) / SUM(CASE WHEN NOT is_attack_ip AND success THEN w ELSE 0 END) * 10000, 6) AS fa10k, round(SUM(CASE WHEN fired AND is_attack_ip THEN w ELSE 0 END) / SUM(CASE WHEN is_attack_ip THEN w ELSE 0 END), 6) AS recall FROM lx GROUP BY 1, 2, 3)"""
 
 
@@ -238,7 +273,7 @@ def ladder_table(spark, sf):
     a = read_attempts(spark, sf, PACE)
     part = F.when(F.col("t") < T0 + 1_200_000_000, "train").when(F.col("t") < T0 + 2_400_000_000, "val").otherwise("test")
     facts = a.select("row_id", part.alias("part"), "success", "is_attack_ip", F.when(F.col("is_attack_ip"), 1 / 0.15).otherwise(1.0).alias("w"))
-    return ld.ladder_metrics(ld.rule_levels(a, _TWO), facts, _TWO)
+    return ld.ladder_metrics(materialize(ld.rule_levels(a)), facts)
 
 
 @query("ladder_metrics", with_attempts("SELECT * FROM lm", PACE, STATE, LEVELS, LFACTS, LMETRICS))
@@ -251,15 +286,15 @@ def ladder_select(spark, sf):
     return ld.select_rungs(ladder_table(spark, sf), 2000.0, ["train", "val"])
 
 
-def overlap_rows(spark, sf):
+def scored_levels(spark, sf):
+    """The stand-in score of every attempt, and its levels on all ladders."""
     a = read_attempts(spark, sf, PACE)
-    lv = ld.rule_levels(a, _TWO).select("row_id", (F.col("level_brute_force") >= 3).alias("rule"))
     score = (F.col("row_id") % 37) * 0.5 + F.when(F.col("is_attack_ip"), 5.5).otherwise(0.0) + F.when(F.col("success"), 0.0).otherwise(1.5)
     facts = a.select("row_id", "ip", F.lit("all").alias("task"), F.col("is_attack_ip").alias("y"), score.alias("score"), F.when(F.col("is_attack_ip"), 1 / 0.15).otherwise(1.0).alias("w"))
-    return facts.join(lv, "row_id", "left").withColumn("rule", F.coalesce("rule", F.lit(False)))
+    return facts, ld.rule_levels(a)
 
 
-OVERLAP = f"ov AS (SELECT a.row_id, is_attack_ip AS y, {SCORE_SQL} AS score, CASE WHEN is_attack_ip THEN 1 / 0.15::DOUBLE ELSE 1.0::DOUBLE END AS w, COALESCE(bf >= 3, FALSE) AS rule FROM attempts a LEFT JOIN lv USING (row_id))"
+OVERLAP = f"ov AS (SELECT a.row_id, is_attack_ip AS y, {SCORE_SQL} AS score, CASE WHEN is_attack_ip THEN 1 / 0.15::DOUBLE ELSE 1.0::DOUBLE END AS w, {', '.join(f'{x.column} >= {AT_RUNG[x.name]} AS f{i}' for i, x in enumerate(ld.LADDERS))}, {' OR '.join(f'{x.column} >= {AT_RUNG[x.name]}' for x in ld.LADDERS)} AS rule FROM attempts a LEFT JOIN lv USING (row_id))"
 
 
 @query(
@@ -271,15 +306,14 @@ OVERLAP = f"ov AS (SELECT a.row_id, is_attack_ip AS y, {SCORE_SQL} AS score, CAS
 def rule_overlap(spark, sf):
     m, r, w = F.col("score") > 15, F.col("rule"), F.col("w")
     share = lambda c: F.round(F.sum(F.when(c, w).otherwise(0.0)) / F.sum(w), 6)
-    return overlap_rows(spark, sf).groupBy("y").agg(share(m & r).alias("both"), share(m & ~r).alias("model_only"), share(~m & r).alias("rule_only"), share(~m & ~r).alias("neither"))
+    facts, levels = scored_levels(spark, sf)
+    return flagged(facts, levels, {"all": AT_RUNG}).groupBy("y").agg(share(m & r).alias("both"), share(m & ~r).alias("model_only"), share(~m & r).alias("rule_only"), share(~m & ~r).alias("neither"))
 
 
-@query("rule_weights", with_attempts("SELECT 'brute_force' AS rule_id, COUNT(*) FILTER (WHERE rule) AS fired, round(COALESCE(SUM(CASE WHEN rule AND y THEN w END) / SUM(CASE WHEN rule THEN w END), 0.05::DOUBLE), 6) AS weight FROM ov", PACE, STATE, LEVELS, OVERLAP))
+@query("rule_weights", with_attempts(" UNION ALL ".join(f"SELECT '{x.name}' AS ladder, COUNT(*) FILTER (WHERE f{i}) AS fired, round(COALESCE(SUM(CASE WHEN f{i} AND y THEN w WHEN f{i} THEN 0 END) / SUM(CASE WHEN f{i} THEN w END), 0.05::DOUBLE), 6) AS weight FROM ov" for i, x in enumerate(ld.LADDERS)), PACE, STATE, LEVELS, OVERLAP))
 def rule_weights(spark, sf):
-    """Weighted precision of a rule; the default weight when it never fires."""
-    r, y, w = F.col("rule"), F.col("y"), F.col("w")
-    precision = F.sum(F.when(r & y, w)) / F.sum(F.when(r, w))
-    return overlap_rows(spark, sf).agg(F.count_if(r).alias("fired"), F.round(F.coalesce(precision, F.lit(0.05)), 6).alias("weight")).select(F.lit("brute_force").alias("rule_id"), "fired", "weight")
+    """Weighted precision per ladder; the default weight where it never fires."""
+    return ld.weights(*scored_levels(spark, sf), AT_RUNG).withColumn("weight", F.round("weight", 6))
 
 
 # --------------------------------------------------- features in the evaluation
@@ -303,27 +337,26 @@ def feature_rows(spark, sf, *, stored: bool = False):
 LEGIT = "success AND NOT is_attack_ip AND NOT is_ato"
 
 
+_HISTORY = "(SELECT row_id FROM hist WHERE n >= 1)"
+
+
+def _attacker_sql(prefix: str, part: str, start: int, end: int, kind: str) -> str:
+    made = f"SELECT a.row_id, TRUE AS y, 1.0::DOUBLE AS w FROM anchors a WHERE a.t >= {start} AND a.t < {end} AND EXISTS (SELECT 1 FROM donors x WHERE {_SAME[kind]} AND x.uid <> a.uid AND x.t > a.t AND x.t <= a.t + {DAY} AND x.t < {end})"
+    return f"SELECT '{prefix}/{kind}' AS task, COUNT(*) FILTER (WHERE y) AS n_pos, COUNT(*) FILTER (WHERE NOT y) AS n_neg, round(SUM(w), 6) AS weight FROM (SELECT row_id, FALSE AS y, pop_weight AS w FROM pop WHERE part = '{part}' AND {LEGIT} AND row_id IN {_HISTORY} UNION ALL {made})"
+
+
 @query(
     "eval_tasks",
     with_attempts(
         f"""SELECT 'attack_ip/' || part AS task, COUNT(*) FILTER (WHERE is_attack_ip) AS n_pos, COUNT(*) FILTER (WHERE NOT is_attack_ip) AS n_neg, round(SUM(pop_weight), 6) AS weight FROM pop WHERE part IN ('val', 'test', 'late') GROUP BY 1
         UNION ALL SELECT 'ato/future', COUNT(*) FILTER (WHERE is_ato), COUNT(*) FILTER (WHERE NOT is_ato), round(SUM(pop_weight), 6) FROM pop WHERE (part = 'test' AND {LEGIT}) OR (is_ato AND t >= {CUT.val_end} AND t < {CUT.test_end})
-        UNION ALL SELECT 'ato/all', COUNT(*) FILTER (WHERE is_ato), COUNT(*) FILTER (WHERE NOT is_ato), round(SUM(pop_weight), 6) FROM pop WHERE (part IN ('train', 'val', 'test') AND {LEGIT}) OR is_ato""", 1, PART, USTATS, POP),
+        UNION ALL SELECT 'ato/all', COUNT(*) FILTER (WHERE is_ato), COUNT(*) FILTER (WHERE NOT is_ato), round(SUM(pop_weight), 6) FROM pop WHERE (part IN ('train', 'val', 'test') AND {LEGIT}) OR is_ato
+        UNION ALL """ + " UNION ALL ".join(_attacker_sql(*x, k) for x in (("attacker", "test", CUT.val_end, CUT.test_end), ("attacker_val", "val", CUT.train_end, CUT.val_end)) for k in _SAME), 1, PART, USTATS, POP, ANCHORS),
 )
 def eval_tasks(spark, sf):
-    """Labelled task sets: one pass, each row tagged with every task it belongs to."""
-    df = weighted(spark, sf)
-    t = F.col("t")
-    legit = F.expr(LEGIT)
-    future = F.col("is_ato") & (t >= CUT.val_end) & (t < CUT.test_end)
-    part = F.col("partition")
-    tags = F.array_compact(F.array(
-        F.when(part.isin("val", "test", "late"), F.struct(F.concat(F.lit("attack_ip/"), part).alias("task"), F.col("is_attack_ip").alias("y"))),
-        F.when(((part == "test") & legit) | future, F.struct(F.lit("ato/future").alias("task"), F.col("is_ato").alias("y"))),
-        F.when((part.isin("train", "val", "test") & legit) | F.col("is_ato"), F.struct(F.lit("ato/all").alias("task"), F.col("is_ato").alias("y"))),
-    ))
-    rows = df.select("pop_weight", F.explode(tags).alias("x")).select("pop_weight", "x.task", "x.y")
-    return rows.groupBy("task").agg(F.count_if("y").alias("n_pos"), F.count_if(~F.col("y")).alias("n_neg"), F.round(F.sum("pop_weight"), 6).alias("weight"))
+    """All eleven labelled sets, from one long frame."""
+    out = tk.summary(tk.build(weighted(spark, sf), read_attempts(spark, sf), CUT))
+    return out.withColumn("weight", F.round("weight", 6))
 
 
 _FS = "CASE WHEN u_n_success < 1 THEN 'new_account' WHEN new_country = 1 OR new_asn = 1 THEN 'new_country_or_network' WHEN ip_distinct_users_24h >= 5 OR COALESCE(ip_fail_ratio_24h, 0) >= 0.5 THEN 'unusual_ip_activity' WHEN new_ua = 1 AND (new_browser = 1 OR new_os = 1 OR new_device = 1) THEN 'new_device_or_browser' WHEN new_ip = 1 AND COALESCE(u_secs_since_last_success, 1e300) > 2592000 THEN 'new_ip_after_long_gap' ELSE 'other' END"
@@ -387,12 +420,35 @@ def psi_drift(spark, sf):
     return out.select("feature", (F.round("psi", 6) + F.lit(0.0)).alias("psi"), "n_reference", "n_current", "low_confidence")
 
 
-_FLAGS = ["new_country", "new_asn", "new_ip", "new_ua", "new_device"]
-_GE = ["u_fail_streak", "ip_distinct_users_24h", "ip_prior_attempts_all"]
+_CUTS = "[0.5, 0.75, 0.9, 0.95, 0.99]"
+
+
+def _youden_sql(feature: str, cuts: str, meets: str) -> str:
+    rate = lambda side: f"SUM(CASE WHEN {side} AND COALESCE({feature} {meets} cut, FALSE) THEN pop_weight ELSE 0 END) / SUM(CASE WHEN {side} THEN pop_weight END)"
+    return f"SELECT '{feature}' AS feature, cut + 0.0::DOUBLE AS threshold, round(j, 6) AS youden FROM (SELECT cut, j, ROW_NUMBER() OVER (ORDER BY j DESC, cut) AS place FROM (SELECT cut, round({rate('is_attack_ip')} - {rate('NOT is_attack_ip')}, 9) AS j FROM trn, ({cuts}) GROUP BY cut)) WHERE place = 1"
 
 
-@query("youden_rules")
+YOUDEN_SQL = " UNION ALL ".join(
+    [_youden_sql(c, "SELECT 1.0::DOUBLE AS cut", "=") for c in CANDIDATE_FLAGS] + [_youden_sql(c, "SELECT 0.0::DOUBLE AS cut", "=") for c in CANDIDATE_ZERO]
+    + [_youden_sql(c, f"SELECT DISTINCT unnest(quantile_cont(CAST({c} AS DOUBLE), {_CUTS})) AS cut FROM trn", ">=") for c in CANDIDATE_GE]
+)
+
+
+def train_rows(spark, sf):
+    rows = materialize(rounded(feature_rows(spark, sf)).where("part = 'train'"))
+    return rows.withColumnRenamed("is_attack_ip", "y").withColumnRenamed("pop_weight", "w")
+
+
+@query("youden_rules", with_attempts(f"SELECT feature, round(threshold, 6) AS threshold, youden FROM ({YOUDEN_SQL})", 1, *EVAL_CTES, "trn AS (SELECT * FROM fr WHERE part = 'train')"))
 def youden_rules(spark, sf):
-    """Best threshold per candidate by TPR - FPR on train."""
-    df = feature_rows(spark, sf, stored=True).where("part = 'train'")
-    return youden(df.withColumnRenamed("is_attack_ip", "y").withColumnRenamed("pop_weight", "w"), flags=_FLAGS, ge=_GE)
+    """Best threshold by TPR - FPR on train for all eighteen candidates."""
+    return youden(train_rows(spark, sf)).withColumn("threshold", F.round("threshold", 6))
+
+
+@query("tuned_rules")
+def tuned_rules(spark, sf):
+    """The candidates at their best thresholds, with the logistic weight of each."""
+    rows = train_rows(spark, sf)
+    rules = sorted((r.feature, r.threshold) for r in youden(rows).collect())  # a row per candidate
+    fitted = fit_rule_weights(rows, rules)
+    return spark.createDataFrame([(c, float(t), float(w)) for (c, t), w in zip(rules, fitted.coefficients, strict=True)], "feature string, threshold double, weight double")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import splits as sp
@@ -10,7 +13,7 @@ from ..functions.geo import haversine_km
 from ..operators.quantile import exact_quantiles
 from ..plans import quality as ql
 from ..plans.features import FEATURES, compute_features
-from ..plans.simulate import counterfactual_features, donors_for, select_anchors
+from ..plans.simulate import KINDS, counterfactual_features, donors_for, select_anchors
 from ..sources import csvlog
 from ..sources.attempts import read_attempts, with_geo
 from .feature_queries import ALL_CTES, FEATURES_CTE
@@ -60,11 +63,11 @@ def labels_join(spark, sf):
     with_attempts(
         """SELECT COUNT(*) AS n_rows, MIN(row_id) AS first_id, MAX(row_id) AS last_id, CAST(COALESCE(SUM(CASE WHEN row_id - p > 1 THEN row_id - p - 1 END), 0) AS BIGINT) AS missing_ids,
         COUNT(*) FILTER (WHERE row_id - p > 1) AS gaps, COUNT(*) FILTER (WHERE pt > t) AS backward_steps, COALESCE(MAX(CASE WHEN pt > t THEN pt - t END), 0) AS max_backward_us,
-        MAX(row_id) - MIN(row_id) + 1 = COUNT(*) AS contiguous FROM (SELECT *, LAG(row_id) OVER (ORDER BY row_id) AS p, LAG(t) OVER (ORDER BY row_id) AS pt FROM attempts WHERE success)"""),
+        MAX(row_id) - MIN(row_id) + 1 = COUNT(*) AS contiguous FROM (SELECT *, LAG(row_id) OVER (ORDER BY row_id) AS p, LAG(t) OVER (ORDER BY row_id) AS pt FROM attempts)"""),
 )
 def log_integrity(spark, sf):
-    """Integrity of the stream of successes (its row ids have gaps)."""
-    return ql.log_integrity(read_attempts(spark, sf).where("success").select("row_id", "t"))
+    """Row ids and time order of the whole log, failed attempts as well."""
+    return ql.log_integrity(read_attempts(spark, sf).select("row_id", "t"))
 
 
 @query(
@@ -325,22 +328,42 @@ def sample_invariants(spark, sf):
     return ql.violations(rows, picked, stats)
 
 
-@query("anchors")
+ANCHORS = """hist AS (SELECT row_id, COALESCE(SUM(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM attempts WHERE uid IS NOT NULL),
+anchors AS (SELECT a.* FROM attempts a JOIN hist USING (row_id) WHERE n >= 1 AND success AND NOT is_attack_ip AND NOT is_ato),
+donors AS (SELECT * FROM attempts WHERE success AND uid IS NOT NULL)"""
+_SAME = {"naive": "TRUE", "vpn": "x.country = a.country", "targeted": "x.asn = a.asn"}
+_OF_ANCHOR = ("country", "ua", "browser", "os", "device_type")
+
+
+def _injected(kind: str) -> str:
+    number = list(KINDS).index(kind) + 1
+    taken = ", ".join(f"{'a' if kind == 'targeted' and c in _OF_ANCHOR else 'd'}.{c} AS {c}" for c in ("ip", "asn", *_OF_ANCHOR))
+    first = f"SELECT a.row_id AS anchor_id, arg_min(x.row_id, (x.t, x.row_id)) AS donor_id FROM anchors a JOIN donors x ON {_SAME[kind]} AND x.uid <> a.uid AND x.t > a.t AND x.t <= a.t + {DAY} GROUP BY 1"
+    return f"SELECT a.row_id + {number} * 1099511627776 AS row_id, a.t AS t, a.uid AS uid, {taken}, TRUE AS success, a.row_id AS anchor_id, '{kind}' AS attacker_type, CASE WHEN d.t <= a.t + 3600000000 THEN 1 ELSE 2 END AS tier FROM ({first}) f JOIN anchors a ON a.row_id = f.anchor_id JOIN donors d ON d.row_id = f.donor_id"
+
+
+@query("anchors", with_attempts("SELECT row_id, t, uid FROM anchors", 1, ANCHORS))
 def anchors(spark, sf):
-    """Legitimate successes with history, chosen uniformly by hash."""
-    return select_anchors(read_attempts(spark, sf), share=0.1).select("row_id", "t", "uid")
+    """Every legitimate success with history."""
+    return select_anchors(read_attempts(spark, sf), share=1.0).select("row_id", "t", "uid")
 
 
-@query("counterfactual_rows")
+@query("counterfactual_rows", with_attempts(" UNION ALL ".join(_injected(k) for k in KINDS), 1, ANCHORS))
 def counterfactual_rows(spark, sf):
-    """Anchors replaced by the attributes of the next foreign login."""
+    """Every anchor replaced by the attributes of the next foreign login, for each kind of attacker."""
     a = read_attempts(spark, sf)
-    return donors_for(select_anchors(a, share=0.1), a, kind="naive")
+    chosen = select_anchors(a, share=1.0)
+    return reduce(DataFrame.unionByName, [donors_for(chosen, a, kind=k) for k in KINDS])
 
 
 @query("counterfactual")
 def counterfactual(spark, sf):
-    """Features of the replaced logins in a history without the originals."""
+    """Features of drawn victims' replaced logins in a history without the originals; each victim meets one kind of attacker.
+
+    The draw is the feature: were every login replaced, no history would be left to compare with.
+    """
     a = read_attempts(spark, sf)
-    injected = donors_for(select_anchors(a, share=0.1), a, kind="vpn")
-    return counterfactual_features(a, injected)
+    drawn = select_anchors(a, share=0.1)
+    turn = ql.uniform(F.col("row_id"), 11) * len(KINDS)
+    injected = [donors_for(drawn.where(F.floor(turn) == i), a, kind=k) for i, k in enumerate(KINDS)]
+    return counterfactual_features(a, reduce(DataFrame.unionByName, injected))

@@ -97,4 +97,4 @@ def deletion_test(spark, sf):
 @query("separability")
 def separability(spark, sf):
     """Per feature group: how well it separates attacks, on users unseen in training."""
-    return md.separability(split_rows(spark, sf), ["novelty", "infra_ip"])
+    return md.separability(split_rows(spark, sf), list(md.GROUPS))

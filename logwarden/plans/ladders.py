@@ -126,6 +126,18 @@ def select_rungs(metrics: DataFrame, budget: float, parts: list[str]) -> DataFra
     return ok.where((F.col("worst") <= budget) & (F.col("n") == len(parts))).groupBy("ladder").agg(F.min("rung").alias("rung"))
 
 
+def weights(rows: DataFrame, levels: DataFrame, chosen: dict[str, int], *, default: float = 0.05, ladders=LADDERS) -> DataFrame:
+    """``ladder, fired, weight``: per chosen ladder the weighted precision of the rows that reach its rung; ``default`` if none does.
+
+    ``rows``: ``row_id, y, w``.  All ladders are counted in one pass.
+    """
+    column = {x.name: x.column for x in ladders}
+    hit = F.explode(F.array(*[F.struct(F.lit(k).alias("ladder"), F.coalesce(F.col(column[k]) >= rung, F.lit(False)).alias("hit")) for k, rung in chosen.items()]))
+    long = rows.join(levels, "row_id", "left").select("y", "w", hit.alias("h")).select("y", "w", "h.*")
+    precision = F.sum(F.when(F.col("hit") & F.col("y"), F.col("w")).when(F.col("hit"), 0.0)) / F.sum(F.when(F.col("hit"), F.col("w")))
+    return long.groupBy("ladder").agg(F.count_if("hit").alias("fired"), F.coalesce(precision, F.lit(default)).alias("weight"))
+
+
 def rung_table(spark: SparkSession, ladders=LADDERS) -> DataFrame:
     """``ladder, rule_id, rung, name, value``: a row per parameter of every rung; rung 0 is what turns the scope off."""
     rows = []

@@ -229,27 +229,41 @@ def fit_isotonic(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(pts, "x double, p double")
 
 
-def youden(rows: DataFrame, *, flags: list[str], ge: list[str], qs=(0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Best threshold per candidate feature by weighted TPR - FPR (``y, w`` and features)."""
-    long = ex.unpivot(rows, [*flags, *ge], "y", "w")
+# Candidate features of tuned rules, and how each is compared.
+CANDIDATE_FLAGS = ("new_country", "new_asn", "new_ip", "new_ua", "new_browser_family", "new_os_family", "new_device")
+CANDIDATE_ZERO = ("u_n_success",)
+CANDIDATE_GE = (
+    "u_fail_streak", "rare_country", "rare_asn", "rare_ip", "ip_distinct_users_24h", "ip_unknown_attempts_24h", "ip_prior_attempts_all", "ip_distinct_ua_24h",
+    "asn_fail_ratio_24h", "asn_distinct_users_24h",
+)
+
+
+def youden(rows: DataFrame, *, flags=CANDIDATE_FLAGS, ge=CANDIDATE_GE, eq0=CANDIDATE_ZERO, qs=(0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
+    """Best threshold per candidate feature by weighted TPR - FPR (``y, w`` and features); the smaller one on ties.
+
+    ``flags`` fire at 1, ``eq0`` at 0, ``ge`` from a quantile on; a missing value never fires.
+    """
+    long = ex.unpivot(rows, [*flags, *ge, *eq0], "y", "w")
     q = exact_quantiles(long.where(F.col("feature").isin(*ge)), "feature", "value", list(qs))
-    fixed = rows.sparkSession.createDataFrame([(c, [1.0]) for c in flags], "feature string, q array<double>")
+    fixed = rows.sparkSession.createDataFrame([(c, [1.0]) for c in flags] + [(c, [0.0]) for c in eq0], "feature string, q array<double>")
     cuts = q.unionByName(fixed).select(F.col("feature").alias("_f"), F.explode(F.array_distinct("q")).alias("threshold"))
     joined = long.join(F.broadcast(cuts), F.col("feature") == F.col("_f"))
-    fired = F.coalesce(F.col("value") >= F.col("threshold"), F.lit(False))
+    meets = F.when(F.col("feature").isin(*eq0), F.col("value") == F.col("threshold")).otherwise(F.col("value") >= F.col("threshold"))
+    fired = F.coalesce(meets, F.lit(False))
     y, w = F.col("y"), F.col("w")
     rate = lambda c: F.sum(F.when(c & fired, w).otherwise(0.0)) / F.sum(F.when(c, w))
     scored = joined.groupBy("feature", "threshold").agg(rate(y).alias("tpr"), rate(~y).alias("fpr"))
-    best = scored.groupBy("feature").agg(F.max(F.struct((F.col("tpr") - F.col("fpr")).alias("j"), (-F.col("threshold")).alias("o"))).alias("m"))
-    return best.select("feature", (-F.col("m.o")).alias("threshold"), F.round("m.j", 6).alias("youden"))
+    gain = F.round(F.col("tpr") - F.col("fpr"), 9).alias("j")  # sums in another order must not decide a tie
+    best = scored.groupBy("feature").agg(F.max(F.struct(gain, (-F.col("threshold")).alias("o"))).alias("m"))
+    return best.select("feature", (F.lit(0.0) - F.col("m.o")).alias("threshold"), F.round("m.j", 6).alias("youden"))
 
 
-def fit_rule_weights(rows: DataFrame, rules: list[tuple[str, float]]):
-    """Logistic weights of threshold rules."""
+def fit_rule_weights(rows: DataFrame, rules: list[tuple[str, float]], eq0=CANDIDATE_ZERO):
+    """Logistic weights of threshold rules; features in ``eq0`` fire at their threshold alone."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    cols = {f"_r{i}": F.coalesce((F.col(c) >= t).cast("double"), F.lit(0.0)) for i, (c, t) in enumerate(rules)}
+    cols = {f"_r{i}": F.coalesce(((F.col(c) == t) if c in eq0 else (F.col(c) >= t)).cast("double"), F.lit(0.0)) for i, (c, t) in enumerate(rules)}
     data = VectorAssembler(inputCols=list(cols), outputCol="vec").transform(rows.withColumns(cols)).select("vec", F.col("y").cast("double").alias("label"), "w")
     return LogisticRegression(featuresCol="vec", labelCol="label", weightCol="w", regParam=1e-4).fit(data)
 

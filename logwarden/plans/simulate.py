@@ -36,7 +36,7 @@ def donors_for(anchors: DataFrame, attempts: DataFrame, *, kind: str, end_us: in
     """Injected rows: the anchor's time and user with the donor's attributes.
 
     A targeted attacker copies the session profile and shows only a new address.
-    Anchors without a donor within a day are dropped.
+    Anchors without a donor within a day are dropped.  Every kind has row ids of its own.
     """
     same = KINDS[kind]
     pool = attempts.where("success AND uid IS NOT NULL")
@@ -52,7 +52,7 @@ def donors_for(anchors: DataFrame, attempts: DataFrame, *, kind: str, end_us: in
     copied = ("country", "ua", "browser", "os", "device_type") if kind == "targeted" else ()
     attrs = [F.col(c if c in copied else f"d_{c}").alias(c) for c in COLUMNS[3:10]]
     return both.select(
-        (F.col("anchor_id") + ROW_ID_BASE).alias("row_id"), "t", "uid", *attrs, F.lit(True).alias("success"), "anchor_id", F.lit(kind).alias("attacker_type"), "tier"
+        (F.col("anchor_id") + ROW_ID_BASE * (1 + list(KINDS).index(kind))).alias("row_id"), "t", "uid", *attrs, F.lit(True).alias("success"), "anchor_id", F.lit(kind).alias("attacker_type"), "tier"
     )
 
 
