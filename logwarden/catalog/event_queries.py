@@ -312,9 +312,15 @@ def split_overlap(spark, sf):
 # ------------------------------------------------------------------- sampling
 
 
-@query("user_sample")
+@query(
+    "user_sample",
+    with_attempts(
+        """SELECT row_id, uid, stratum, sample_rate, forced FROM attempts JOIN (SELECT uid, stratum, forced, CASE WHEN forced THEN 1.0::DOUBLE WHEN stratum = 'single' THEN 0.05::DOUBLE WHEN stratum = 'light' THEN 0.1::DOUBLE ELSE 0.25::DOUBLE END AS sample_rate
+        FROM (SELECT uid, n_ato > 0 AS forced, CASE WHEN n_events = 1 THEN 'single' WHEN n_events <= 9 THEN 'light' ELSE 'heavy' END AS stratum FROM ustats)) USING (uid)
+        WHERE forced OR ('0x' || substr(md5(concat(CAST(uid AS VARCHAR), ':20260920')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < sample_rate""", 1, USTATS),
+)
 def user_sample(spark, sf):
-    """Stratified users; the draw is a hash, so only its shape can be checked elsewhere."""
+    """Whole histories of stratified users, drawn by a digest of their id."""
     a = read_attempts(spark, sf)
     return ql.sample_rows(a.where("uid IS NOT NULL"), ql.pick_users(ql.user_stats(a))).select("row_id", "uid", "stratum", "sample_rate", "forced")
 

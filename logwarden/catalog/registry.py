@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from . import alert_queries, event_queries, evaluation_queries, feature_queries, model_queries, overlap_queries, rule_queries, window_queries  # noqa: F401
+    from . import alert_queries, error_queries, event_queries, evaluation_queries, feature_queries, model_queries, overlap_queries, rule_queries, window_queries  # noqa: F401

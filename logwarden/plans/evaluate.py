@@ -83,16 +83,32 @@ def realized(rows: DataFrame, thresholds_: DataFrame) -> DataFrame:
 
 
 def poisson_one(key: Column, rep: Column, seed: int) -> Column:
-    """A Poisson(1) count from a hash: how often a cluster is drawn in one replicate."""
-    u = F.pmod(F.xxhash64(key, rep, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    total, p, cdf = F.lit(0), 1.0 / 2.718281828459045, 0.0
-    for k in range(19):  # the rest is below the resolution of a double
-        cdf += p
+    """A Poisson(1) count from 48 bits of an MD5 digest: how often a cluster is drawn in one replicate."""
+    text = F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), rep.cast("string"), F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+    total = F.lit(0)
+    for cdf in poisson_cdf():
         total = total + F.when(u >= cdf, 1).otherwise(0)
-        p /= k + 1
     return total
 
 
+def poisson_cdf() -> list[float]:
+    """The distribution function of Poisson(1) at 0, 1, ... up to the resolution of the draw."""
+    out, p, cdf = [], 1.0 / 2.718281828459045, 0.0
+    for k in range(17):
+        cdf += p
+        out.append(cdf)
+        p /= k + 1
+    return out
+
+
+def replicates(per: DataFrame, names: list[str], *, n_boot: int, seed: int) -> DataFrame:
+    """``rep, den`` and the sums of ``names``, per replicate over the rows of one cluster each; replicates without weight are left out."""
+    reps = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("k", poisson_one(F.col("cluster"), F.col("rep"), seed))
+    drawn = reps.where("k > 0").groupBy("rep").agg(F.sum(F.col("k") * F.col("den")).alias("den"), *[F.sum(F.col("k") * F.col(n)).alias(n) for n in names])
+    return drawn.where("den > 0")
+
+
 def bootstrap_ratio(rows: DataFrame, numerator: dict[str, Column], weight: Column, *, n_boot: int = 300, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Confidence interval per metric for weighted shares, resampling clusters.
 
@@ -100,9 +116,7 @@ def bootstrap_ratio(rows: DataFrame, numerator: dict[str, Column], weight: Colum
     """
     names = list(numerator)
     per = rows.groupBy("cluster").agg(F.sum(weight).alias("den"), *[F.sum(weight * numerator[n]).alias(n) for n in names])
-    reps = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("k", poisson_one(F.col("cluster"), F.col("rep"), seed))
-    draws = reps.groupBy("rep").agg(F.sum(F.col("k") * F.col("den")).alias("den"), *[F.sum(F.col("k") * F.col(n)).alias(n) for n in names])
-    draws = draws.where("den > 0")
+    draws = replicates(per, names, n_boot=n_boot, seed=seed)
     point = per.agg(*[(F.sum(n) / F.sum("den")).alias(n) for n in names])
     lo, hi = alpha / 2, 1 - alpha / 2
     ci = draws.agg(*[x for n in names for x in (F.percentile(F.col(n) / F.col("den"), lo).alias(f"{n}_lo"), F.percentile(F.col(n) / F.col("den"), hi).alias(f"{n}_hi"))])

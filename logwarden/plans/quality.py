@@ -41,8 +41,9 @@ def user_stats(df: DataFrame) -> DataFrame:
 
 
 def uniform(key: Column, seed: int) -> Column:
-    """A reproducible uniform number in [0, 1) per key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A reproducible uniform number in [0, 1) per key: 48 bits of an MD5 digest, which other engines can repeat."""
+    text = F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
 def pick_users(stats: DataFrame, *, seed: int = 20260920, exclude_from: int | None = None) -> DataFrame:
