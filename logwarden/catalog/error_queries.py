@@ -12,7 +12,7 @@ from ..plans import evaluate as ev
 from ..plans import selection as sel
 from ..plans import tasks as tk
 from ..plans.features import FEATURES, FREEMAN_ATTRS, NOVELTY_ATTRS
-from .evaluation_queries import EVAL_CTES, LEGIT, CUT, feature_rows
+from .evaluation_queries import CUT, EVAL_CTES, LEGIT, draw_sql, feature_rows
 from .fixture import with_attempts
 from .registry import query
 
@@ -175,18 +175,12 @@ def _models(sets, task: str, models: dict[str, list[str]]):
     return sets.where(F.col("task") == task).select("row_id", "y", "w", "cluster", out.alias("m")).select("row_id", "y", "w", "cluster", "m.*")
 
 
-def _draw_sql(source: str, seed: int) -> str:
-    """Poisson(1) counts for clusters and replicates, as ``evaluate.poisson_one`` draws them."""
-    steps = " + ".join(f"CASE WHEN u >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in ev.poisson_cdf())
-    return f"(SELECT *, {steps} AS k FROM (SELECT *, ('0x' || substr(md5(concat(cluster, ':', CAST(rep AS VARCHAR), ':{seed}')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM {source}, (SELECT unnest(range(1, {N_BOOT + 1})) AS rep)))"
-
-
 def _paired_sql(task: str, models: dict[str, list[str]], control: str, seed: int, out: str) -> tuple[str, str]:
     ctes = f"""ms AS ({" UNION ALL ".join(f"SELECT '{m}' AS model, row_id, y, pop_weight AS w, cluster, {_sum_of(names)} AS score FROM tasked WHERE task = '{task}'" for m, names in models.items())}),
 mg AS (SELECT model, score, SUM(CASE WHEN y THEN 0 ELSE w END) AS neg, COUNT(*) FILTER (WHERE NOT y) AS nn FROM ms GROUP BY 1, 2),
 mt AS (SELECT model, COALESCE(MAX(CASE WHEN nn > 0 AND fp > 0.01::DOUBLE * alln THEN score END), '-inf'::DOUBLE) AS tau FROM (SELECT *, SUM(neg) OVER (PARTITION BY model ORDER BY score DESC) AS fp, SUM(neg) OVER (PARTITION BY model) AS alln FROM mg) GROUP BY 1),
 pc AS (SELECT model, cluster, SUM(w) AS den, SUM(CASE WHEN score > tau THEN w ELSE 0 END) AS num FROM ms JOIN mt USING (model) WHERE y GROUP BY 1, 2),
-rp AS (SELECT model, rep, SUM(k * den) AS den, SUM(k * num) AS num FROM {_draw_sql("pc", seed)} GROUP BY 1, 2 HAVING SUM(k * den) > 0),
+rp AS (SELECT model, rep, SUM(k * den) AS den, SUM(k * num) AS num FROM {draw_sql("pc", N_BOOT, seed)} GROUP BY 1, 2 HAVING SUM(k * den) > 0),
 pt AS (SELECT model, SUM(num) / SUM(den) AS v FROM pc GROUP BY 1),
 df AS (SELECT a.model, (a.num - b.num) / b.den AS d FROM rp a JOIN rp b USING (rep) WHERE b.model = '{control}' AND a.model <> '{control}'),
 bd AS (SELECT model, quantile_cont(d, 0.05) AS lo, quantile_cont(d, 0.95) AS hi FROM df GROUP BY 1)"""

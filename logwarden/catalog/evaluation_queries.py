@@ -57,19 +57,52 @@ query(
 )(_metric("reauth_0", "reauth"))
 
 
-@query("bootstrap_ci")
+N_BOOT = 300
+
+
+def draw_sql(source: str, n_boot: int, seed: int) -> str:
+    """``source`` (with ``cluster``) once for each replicate, with ``rep`` and ``k`` as ``evaluate.poisson_one`` draws them."""
+    steps = " + ".join(f"CASE WHEN u >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in ev.poisson_cdf())
+    return f"(SELECT *, {steps} AS k FROM (SELECT *, ('0x' || substr(md5(concat(cluster, ':', CAST(rep AS VARCHAR), ':{seed}')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM {source}, (SELECT unnest(range(1, {n_boot + 1})) AS rep)))"
+
+
+def ratio_sql(names: list[str], n_boot: int = N_BOOT, seed: int = 0) -> str:
+    """Value and interval of the weighted means of ``names`` over ``pv(cluster, w, ...)``."""
+    per = f"(SELECT cluster, SUM(w) AS den, {', '.join(f'SUM(w * {n}) AS {n}' for n in names)} FROM pv GROUP BY 1)"
+    reps = f"(SELECT rep, SUM(k * den) AS den, {', '.join(f'SUM(k * {n}) AS {n}' for n in names)} FROM {draw_sql(per, n_boot, seed)} GROUP BY 1 HAVING SUM(k * den) > 0)"
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS metric, round((SELECT SUM(w * {n}) / SUM(w) FROM pv), 6) AS value, round(quantile_cont({n} / den, 0.025), 6) AS lo, round(quantile_cont({n} / den, 0.975), 6) AS hi FROM {reps}" for n in names)
+
+
+def _values_sql(name: str, bonus: str) -> str:
+    """Positives of the whole log with their share of negatives below and whether a threshold at 1 % catches them."""
+    return f"""{name}s AS (SELECT row_id, y, w, cluster, score + CASE WHEN y THEN {bonus}::DOUBLE ELSE 0.0::DOUBLE END AS score FROM scores WHERE task = 'all'),
+{name}g AS (SELECT score, SUM(CASE WHEN y THEN 0 ELSE w END) AS neg, COUNT(*) FILTER (WHERE NOT y) AS nn FROM {name}s GROUP BY 1),
+{name}c AS (SELECT *, SUM(neg) OVER (ORDER BY score DESC) AS fp, SUM(neg) OVER () AS alln FROM {name}g),
+{name} AS (SELECT row_id, cluster, w, (alln - fp + neg * 0.5::DOUBLE) / alln AS auc, CASE WHEN score > (SELECT MAX(score) FROM {name}c WHERE nn > 0 AND fp > 0.01::DOUBLE * alln) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rec FROM {name}s JOIN {name}c USING (score) WHERE y)"""
+
+
+def _rounded_ci(out):
+    return out.select("metric", *[F.round(c, 6).alias(c) for c in ("value", "lo", "hi")])
+
+
+@query("bootstrap_ci", with_attempts(ratio_sql(["roc_auc", "recall"]), 1, SCORES, _values_sql("va", "0.0"), "pv AS (SELECT cluster, w, auc AS roc_auc, rec AS recall FROM va)"))
 def bootstrap_ci(spark, sf):
     """Intervals of AUC and recall on the whole log, resampling attack addresses."""
     pos = ev.positive_values(score_rows(spark, sf).where("task = 'all'"))
-    return ev.bootstrap_ratio(pos, {"roc_auc": F.col("auc_part"), "recall": F.col("caught_0")}, F.col("w"))
+    return _rounded_ci(ev.bootstrap_ratio(pos, {"roc_auc": F.col("auc_part"), "recall": F.col("caught_0")}, F.col("w")))
 
 
-@query("paired_bootstrap")
+@query(
+    "paired_bootstrap",
+    with_attempts(ratio_sql(["roc_auc_gain", "recall_gain"]), 1, SCORES, _values_sql("va", "0.0"), _values_sql("vb", "2.0"),
+                  "pv AS (SELECT va.cluster, va.w, vb.auc - va.auc AS roc_auc_gain, vb.rec - va.rec AS recall_gain FROM va JOIN vb USING (row_id))"),
+)
 def paired_bootstrap(spark, sf):
     """Gain of a sharper score over the stand-in score on the same attack addresses."""
     a = score_rows(spark, sf).where("task = 'all'")
     b = a.withColumn("score", F.col("score") + F.when(F.col("y"), 2.0).otherwise(0.0))
-    return ev.paired_bootstrap(a, b)
+    return _rounded_ci(ev.paired_bootstrap(a, b))
 
 
 @query(

@@ -21,6 +21,7 @@ from . import evaluate as ev
 from . import explain as ex
 from .features import FREEMAN_ATTRS, GROUPS
 from .quality import uniform
+from .selection import backward
 
 DEFAULT_FEATURES = [
     *GROUPS["cur"], *GROUPS["novelty"], *GROUPS["history"], "u_fail_streak", "u_attempts_24h", "u_fails_24h",
@@ -322,23 +323,14 @@ def ablation(rows: DataFrame, configs: dict[str, list[str]], *, max_iter: int =
     return ev.metrics(out)
 
 
-def backward_select(rows: DataFrame, groups: list[str], *, rounds: int = 2, alpha: float = 0.1, max_iter: int = 10, n_boot: int = 200) -> list[str]:
-    """Drop the group whose removal helps most, while the paired bound says it really helps."""
-    kept = list(groups)
-
-    def scored(names):
-        model = fit_gbt(rows.where("part = 'train'"), rows.where("part = 'val'"), [c for g in names for c in GROUPS[g]], max_iter=max_iter)
-        return score_gbt(model, rows.where("part = 'val'")).select("row_id", F.lit("val").alias("task"), "y", "score", "w", F.col("uid").cast("string").alias("cluster"))
-
-    for _ in range(rounds):
-        if len(kept) < 2:
-            break
-        base, best = scored(kept), None
-        for g in kept:
-            gain = ev.paired_bootstrap(base, scored([x for x in kept if x != g]), n_boot=n_boot).where("metric = 'roc_auc_gain'").first()
-            if gain["lo"] > 0 and (best is None or gain["value"] > best[1]):
-                best = (g, gain["value"])
-        if best is None:
-            break
-        kept.remove(best[0])
+def backward_select(rows: DataFrame, groups: list[str], *, rounds: int = 2, alpha: float = 0.1, max_iter: int = 10, n_boot: int = 200, veto: bool = False) -> list[str]:
+    """Drop the group of features whose removal helps most, while the paired bound says it really helps; ``veto`` asks the late part."""
+    def scored(part: str):
+        def run(names: tuple[str, ...]) -> DataFrame:
+            model = fit_gbt(rows.where("part = 'train'"), rows.where("part = 'val'"), [c for g in names for c in GROUPS[g]], max_iter=max_iter)
+            return score_gbt(model, rows.where(F.col("part") == part)).select("row_id", "y", "score", "w", F.col("uid").cast("string").alias("cluster"))
+
+        return run
+
+    kept, _ = backward(scored("val"), groups, late=scored("late") if veto else None, metric="roc_auc", rounds=rounds, alpha=alpha, n_boot=n_boot)
     return kept
