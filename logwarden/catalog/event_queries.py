@@ -325,13 +325,30 @@ def user_sample(spark, sf):
     return ql.sample_rows(a.where("uid IS NOT NULL"), ql.pick_users(ql.user_stats(a))).select("row_id", "uid", "stratum", "sample_rate", "forced")
 
 
-@query("sample_invariants", "SELECT c AS \"check\", CAST(0 AS BIGINT) AS violations FROM (VALUES ('shared_attack_ips'), ('missing_events'), ('time_order'), ('misplaced_takeovers'), ('mega_users')) v(c)")
+_PICKED = """picked AS (SELECT uid, n_events FROM (SELECT uid, n_events, n_ato > 0 AS forced, CASE WHEN n_events = 1 THEN 0.05::DOUBLE WHEN n_events <= 9 THEN 0.1::DOUBLE ELSE 0.25::DOUBLE END AS rate FROM ustats)
+  WHERE forced OR ('0x' || substr(md5(concat(CAST(uid AS VARCHAR), ':20260920')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < rate),
+smp AS (SELECT p.* FROM parts p JOIN picked USING (uid)),
+kept AS (SELECT *, CASE part WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'test' THEN 2 ELSE 3 END AS o FROM smp WHERE part IN ('train', 'val', 'test', 'late')),
+bnd AS (SELECT o, MIN(t) AS lo, MAX(t) AS hi FROM kept GROUP BY 1)"""
+#: From this many attempts on a user counts as too large in the check.
+MEGA = 60
+
+
+@query(
+    "sample_invariants",
+    with_attempts(
+        f"""SELECT 'shared_attack_ips' AS "check", COUNT(*) AS violations FROM (SELECT ip FROM kept WHERE is_attack_ip GROUP BY 1 HAVING COUNT(DISTINCT least(o, 2)) > 1)
+        UNION ALL SELECT 'missing_events', CAST(abs((SELECT COUNT(*) FROM smp) - (SELECT SUM(n_events) FROM picked)) AS BIGINT)
+        UNION ALL SELECT 'time_order', COUNT(*) FROM bnd x JOIN bnd y ON x.o < y.o WHERE x.hi >= y.lo
+        UNION ALL SELECT 'misplaced_takeovers', COUNT(*) FROM smp WHERE is_ato AND part <> 'ato'
+        UNION ALL SELECT 'mega_users', COUNT(*) FROM picked WHERE n_events >= {MEGA}""", 1, PART, USTATS, _PICKED),
+)
 def sample_invariants(spark, sf):
     a = read_attempts(spark, sf)
     stats = ql.user_stats(a)
     picked = ql.pick_users(stats)
     rows = ql.with_partition(ql.sample_rows(a.where("uid IS NOT NULL"), picked), CUT)
-    return ql.violations(rows, picked, stats)
+    return ql.violations(rows, picked, stats, MEGA)
 
 
 ANCHORS = """hist AS (SELECT row_id, COALESCE(SUM(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM attempts WHERE uid IS NOT NULL),
