@@ -8,7 +8,7 @@ from logwarden.plans import hybrid as hy
 from logwarden.plans import rules as R
 from logwarden.functions.scoring import Bands, noisy_or
 
-from helpers import D, H, S, T0, attempt, frame
+from helpers import D, H, S, T0, attempt, frame, random_log
 
 
 def fired(spark, rows, rule_id, intel=R.Intel(), params=None, **kw):
@@ -119,3 +119,18 @@ def test_profile_merges_chosen_rungs(spark):
     assert rows["ua_rotation"].mode == "shadow" and rows["dormant_account_login"].mode == "shadow" and rows["country_hop"].mode == "shadow"
     assert rows["scripted_client"].mode == "enforce"
     R.Config.from_dict(ld.as_config([*rows.values()]))
+
+
+def test_no_step_writes_whole_attempts(spark, monkeypatch):
+    """Hot keys are cut on the columns their family needs; the attempts themselves are not written again and again."""
+    from logwarden.operators import running, slicing, sweep
+
+    written, settle = [], slicing.settle
+    for module in (running, slicing, sweep):
+        monkeypatch.setattr(module, "settle", lambda df: written.append(set(df.columns)) or settle(df))
+    attempts = frame(spark, random_log(120))
+    whole = {r["row_id"]: sorted(h["rule_id"] for h in r["hits"]) for r in R.evaluate(attempts).collect()}
+    assert not written
+    cut = {r["row_id"]: sorted(h["rule_id"] for h in r["hits"]) for r in R.evaluate(attempts, slice_rows=30).collect()}
+    assert cut == whole
+    assert written and not any({"username", "ua"} <= columns or {"asn", "ua_hash"} <= columns for columns in written)
