@@ -27,6 +27,16 @@ def test_anchored_groups(spark, chunk, slice_rows):
             assert got[i] == anchor
 
 
+def test_short_keys_are_folded_like_long_ones(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(0, 3_000), rng.choice(["hot", f"k{rng.randrange(60)}"])) for i in range(600)]
+    frame = spark.createDataFrame(rows, "row_id bigint, t bigint, k string")
+    by_fold, by_chunk, mixed = (
+        {r["row_id"]: r["anchor_t"] for r in anchors(frame, ["k"], 100, chunk_us=500, fold_times=n).collect()} for n in (2_000, 0, 50)
+    )
+    assert by_fold == by_chunk == mixed and len(mixed) == 600
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(500, 500)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
