@@ -355,15 +355,15 @@ FROWS = f"fr AS (SELECT f.*, p.part, p.pop_weight, p.success, p.is_attack_ip, p.
 EVAL_CTES = (*ALL_CTES, FEATURES_CTE, PART, USTATS, POP, FROWS)
 
 
-def feature_rows(spark, sf, *, stored: bool = False):
+def feature_rows(spark, sf, *, stored: bool = False, **limits):
     """Features with partition, weights and labels of known accounts.
 
     ``stored`` writes them once to the checkpoint folder, for queries that read them
-    several times.
+    several times; ``limits`` (``only``, ``until``) are those of ``compute_features``.
     """
     a = read_attempts(spark, sf)
     facts = weighted(spark, sf).select("row_id", F.col("partition").alias("part"), "pop_weight", "success", "is_attack_ip", "is_ato", "uid", "t")
-    out = compute_features(a).join(facts, "row_id")
+    out = compute_features(a, **limits).join(facts, "row_id")
     return materialize(out) if stored else out
 
 
@@ -468,8 +468,10 @@ YOUDEN_SQL = " UNION ALL ".join(
 
 
 def train_rows(spark, sf):
-    rows = materialize(rounded(feature_rows(spark, sf)).where("part = 'train'"))
-    return rows.withColumnRenamed("is_attack_ip", "y").withColumnRenamed("pop_weight", "w")
+    """Labels, weights and candidate features of the train rows; their history is the whole log."""
+    candidates = [*CANDIDATE_FLAGS, *CANDIDATE_ZERO, *CANDIDATE_GE]
+    rows = rounded(feature_rows(spark, sf, only=candidates, until=CUT.train_end)).where("part = 'train'")
+    return materialize(rows.select(F.col("is_attack_ip").alias("y"), F.col("pop_weight").alias("w"), *candidates))
 
 
 @query("youden_rules", with_attempts(f"SELECT feature, round(threshold, 6) AS threshold, youden FROM ({YOUDEN_SQL})", 1, *EVAL_CTES, "trn AS (SELECT * FROM fr WHERE part = 'train')"))

@@ -16,7 +16,13 @@ def exact_quantiles(df: DataFrame, key: str, value: str, qs: list[float], *, dis
 
     Equal values are counted first, so ranks run over distinct values only.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("_n"))
+    return counted_quantiles(counts, key, value, "_n", qs, discrete=discrete, slice_rows=slice_rows)
+
+
+def counted_quantiles(counted: DataFrame, key: str, value: str, n: str, qs: list[float], *, discrete: bool = False, slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
+    """The same from a row per key and value with the number ``n`` of its rows; it is read several times."""
+    counts = counted.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.col(n).alias("_n"))
     ranked = running(counts, ["_k"], ["_v"], [Running("_upto", "sum", F.col("_n"), "upto")], slice_rows=slice_rows)
     totals = counts.groupBy(F.col("_k").alias("_t")).agg(F.sum("_n").alias("_total"))
     both = lookup(ranked, totals, [("_k", "_t")], how="inner")

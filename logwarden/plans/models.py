@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.quantile import exact_quantiles
+from ..operators.quantile import counted_quantiles, exact_quantiles
 from ..session import ensure_checkpoint_dir
 from . import evaluate as ev
 from . import explain as ex
@@ -244,16 +244,18 @@ def youden(rows: DataFrame, *, flags=CANDIDATE_FLAGS, ge=CANDIDATE_GE, eq0=CANDI
 
     ``flags`` fire at 1, ``eq0`` at 0, ``ge`` from a quantile on; a missing value never fires.
     """
+    y, w = F.col("y"), F.col("w")
+    # a row per feature and value: the quantiles and the rates of all thresholds are made from it
     long = ex.unpivot(rows, [*flags, *ge, *eq0], "y", "w")
-    q = exact_quantiles(long.where(F.col("feature").isin(*ge)), "feature", "value", list(qs))
+    per = materialize(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(y, w)).alias("w_y"), F.sum(F.when(~y, w)).alias("w_n")))
+    q = counted_quantiles(per.where(F.col("feature").isin(*ge)), "feature", "value", "n", list(qs))
     fixed = rows.sparkSession.createDataFrame([(c, [1.0]) for c in flags] + [(c, [0.0]) for c in eq0], "feature string, q array<double>")
     cuts = q.unionByName(fixed).select(F.col("feature").alias("_f"), F.explode(F.array_distinct("q")).alias("threshold"))
-    joined = long.join(F.broadcast(cuts), F.col("feature") == F.col("_f"))
+    joined = per.join(F.broadcast(cuts), F.col("feature") == F.col("_f"))
     meets = F.when(F.col("feature").isin(*eq0), F.col("value") == F.col("threshold")).otherwise(F.col("value") >= F.col("threshold"))
     fired = F.coalesce(meets, F.lit(False))
-    y, w = F.col("y"), F.col("w")
-    rate = lambda c: F.sum(F.when(c & fired, w).otherwise(0.0)) / F.sum(F.when(c, w))
-    scored = joined.groupBy("feature", "threshold").agg(rate(y).alias("tpr"), rate(~y).alias("fpr"))
+    rate = lambda c: F.sum(F.when(fired, F.col(c)).otherwise(0.0)) / F.sum(c)
+    scored = joined.groupBy("feature", "threshold").agg(rate("w_y").alias("tpr"), rate("w_n").alias("fpr"))
     gain = F.round(F.col("tpr") - F.col("fpr"), 9).alias("j")  # sums in another order must not decide a tie
     best = scored.groupBy("feature").agg(F.max(F.struct(gain, (-F.col("threshold")).alias("o"))).alias("m"))
     return best.select("feature", (F.lit(0.0) - F.col("m.o")).alias("threshold"), F.round("m.j", 6).alias("youden"))

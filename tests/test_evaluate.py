@@ -74,3 +74,30 @@ def test_forest_has_the_reference_size(spark, sf, monkeypatch):
     monkeypatch.setattr(model_queries.md, "score_iforest", lambda model, rows: rows.selectExpr("row_id", "0.0D AS score"))
     model_queries.iforest_score(spark, sf)
     assert (seen["trees"], seen["sample"], seen["rows"]) == (300, 2048, 400_000)
+
+
+def test_thresholds_read_the_rows_once(spark):
+    """One histogram serves the quantiles and the rates; missing values never fire but count."""
+    from logwarden.plans.models import youden
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    data = [(bool(y), float(w), None if i % 9 == 0 else float(s), float(i % 4 == 0 or y), float(i % 3)) for i, (y, w, s) in enumerate(zip(Y, W, SCORE))]
+    rows = spark.createDataFrame(data, "y boolean, w double, g double, f double, z double").mapInArrow(counted, "y boolean, w double, g double, f double, z double")
+    got = {r["feature"]: (r["threshold"], r["youden"]) for r in youden(rows, flags=("f",), ge=("g",), eq0=("z",)).collect()}
+
+    def gain(fires):
+        rate = lambda side: sum(r[1] for r in data if r[0] == side and fires(r)) / sum(r[1] for r in data if r[0] == side)
+        return round(rate(True) - rate(False), 9)
+
+    cuts = sorted({float(c) for c in np.quantile([r[2] for r in data if r[2] is not None], (0.5, 0.75, 0.9, 0.95, 0.99))})
+    best = max(cuts, key=lambda c: (gain(lambda r: r[2] is not None and r[2] >= c), -c))
+    assert got["g"] == (pytest.approx(best), pytest.approx(gain(lambda r: r[2] is not None and r[2] >= best), abs=1e-6))
+    assert got["f"] == (1.0, pytest.approx(gain(lambda r: r[3] >= 1), abs=1e-6))
+    assert got["z"] == (0.0, pytest.approx(gain(lambda r: r[4] == 0), abs=1e-6))
+    assert seen.value == len(data)

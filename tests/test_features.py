@@ -78,3 +78,27 @@ def test_value_counts_write_no_row_per_attribute(spark, monkeypatch):
     cut = sorted(map(tuple, ft.prior_value_counts(attempts, ft.Options(slice_rows=60)).collect()), key=str)
     assert cut == whole and len(cut) == n
     assert all(rows <= n for rows in written)
+
+
+def test_asked_features_equal_those_of_all(spark):
+    """Only the measures of the asked features are swept; history stays the whole log."""
+    log = frame(spark, ROWS)
+    full = table(compute_features(log))
+    cut = sorted(r[1] for r in ROWS)[len(ROWS) // 2]
+    for names, opt in (
+        (["new_os_family", "rare_ip", "u_fail_streak", "ip_distinct_ua_24h", "asn_fail_ratio_24h"], Options(slice_rows=40)),
+        (["llr_os", "asn_unknown_share_24h", "u_secs_since_last_success", "cur_success"], Options()),
+    ):
+        part = compute_features(log, opt=opt, only=names, until=cut)
+        assert part.columns == ["row_id", *names]
+        got = table(part)
+        assert set(got) == {r[0] for r in ROWS if r[1] < cut}
+        for rid, row in got.items():
+            same({**full[rid], **row}, full[rid])
+
+
+def test_train_rows_hold_what_is_read(spark, sf):
+    from logwarden.catalog.evaluation_queries import train_rows
+    from logwarden.plans import models as md
+
+    assert sorted(train_rows(spark, sf).columns) == sorted(["y", "w", *md.CANDIDATE_FLAGS, *md.CANDIDATE_ZERO, *md.CANDIDATE_GE])
