@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_key, stored
@@ -34,6 +34,7 @@ CELL = 512
 SHINGLE = 4
 SEED = 42
 _CHUNK = 1 << 14
+_DEAL = 1_000  # fingerprints of a task that makes points
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -114,7 +115,11 @@ def _forests(cells: DataFrame, bits: int) -> DataFrame:
 
 
 def _midpoints(fps: DataFrame) -> DataFrame:
-    """Edges from every fingerprint to the least one that shares a point 1 or 2 bits away (the exact test for at most 4 bits)."""
+    """Edges from every fingerprint to the least one that shares a point 1 or 2 bits away (the exact test for at most 4 bits).
+
+    A point has 2,080 fingerprints around it, so groups are small whatever the input.  There is no join: the size of
+    what Python makes is not known before it runs, and the planner would send all points through the driver.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -126,9 +131,9 @@ def _midpoints(fps: DataFrame) -> DataFrame:
                 x = v[at : at + 64]
                 yield pa.RecordBatch.from_arrays([pa.array((x[:, None] ^ masks).ravel().view(np.int64)), pa.array(np.repeat(x, len(masks)).view(np.int64))], names=["point", "fp"])
 
-    points = fps.mapInArrow(run, "point long, fp long")
-    least = points.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("_max")).where("b < _max").drop("_max")
-    return points.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    points = fps.repartition(1 + fps.count() // _DEAL).mapInArrow(run, "point long, fp long")
+    near = points.select("fp", F.min("fp").over(Window.partitionBy("point")).alias("b"))
+    return near.where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def links(fps: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame:

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logwarden.llm import decontaminate, mixing, pii, queries, simhash
+from logwarden.llm.common import stored
+from logwarden.llm.forest import components
 
 import plain
 
@@ -42,6 +44,18 @@ def test_links_lose_no_component(spark, cell):
     assert [got[f] for f in signed] == want
 
 
+def test_crowded_cells_are_linked_without_the_driver(spark):
+    """What Python makes of a few fingerprints, 2,080 points each, must not be taken for small and broadcast."""
+    rng = random.Random(7)
+    fps = sorted({(rng.getrandbits(31) << 32) | 0x55555555 for _ in range(300)} | {(k ^ (1 << b)) << 32 | 0x55555555 for k in range(9) for b in range(20)})
+    frame = stored(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    edges = simhash._midpoints(frame)
+    got = {r.node: r.component for r in components(frame.select(F.col("fp").alias("node")), edges).collect()}
+    want = plain.least_reachable(fps, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    assert [got[f] for f in fps] == want
+    assert "Broadcast" not in edges._jdf.queryExecution().toString()
+
+
 def test_simhash_edges(spark):
     long = plain.prose(30_000, 1)
     frame = plain.docs(spark, [(5, None), (3, ""), (9, "One two"), (9, "One two"), (4, "one TWO"), (None, "one two"), (7, long), (8, long + " tail"), (2, "é è")])
