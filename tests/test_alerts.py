@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from logwarden.operators.asof import first_match
 from logwarden.operators.components import connected_components
 from logwarden.operators.dedup import anchors
+from logwarden.catalog import alert_queries
+from logwarden.plans import alerts as al
 from logwarden.plans import campaigns as cp
+from logwarden.plans import hybrid as hy
 
 from helpers import D, H
 
@@ -37,6 +40,41 @@ def test_short_keys_are_folded_like_long_ones(spark):
     assert by_fold == by_chunk == mixed and len(mixed) == 600
 
 
+@pytest.mark.parametrize("slice_rows", [10_000, 15])
+def test_messages_count_the_repeats_of_their_group(spark, slice_rows):
+    rng = random.Random(9)
+    minute = 60_000_000
+    rows = [(i, rng.randrange(0, 60) * minute, rng.choice([None, 1, 2]), "10.0.0.1", rng.choice([None, "guessing", "automation"])) for i in range(80)]
+    out = al.with_occurrences(spark.createDataFrame(rows, "row_id bigint, t bigint, uid bigint, ip string, family string"), slice_rows=slice_rows)
+    facts = F.array().cast("array<struct<rank:int,attribute:string,new_value:string,usual_value:string,usual_count:bigint>>")
+    hit = "array(struct('brute_force' AS rule_id, 'ip' AS scope, map('fails', '7', 'distinct_ips', null) AS evidence))"
+    parts = "array(struct('brute_force' AS source, 'brute_force' AS label, 0.3D AS weight, 'rule' AS group), struct('ml' AS source, 'model' AS label, 0.1D AS weight, 'ml' AS group))"
+    out = out.withColumns({"novelty": facts, "score": F.lit(40), "action": F.lit("alert"), "confidence": F.lit(0.3), "hits": F.expr(hit), "contributions": F.expr(parts)})
+    got = {r["row_id"]: r["message"] for r in hy.with_hit_texts(out).select("row_id", al.message(F.col("occurrences")).alias("message")).collect()}
+    groups = {}
+    for i, t, uid, ip, family in sorted(rows, key=lambda r: (r[1], r[0])):
+        first, n = groups.get((uid or ip, family), (None, 0))
+        if family is None:
+            n = 0
+        elif first is None or t > first + 15 * minute:
+            first, n = t, 0
+        groups[(uid or ip, family)] = first, n + 1
+        want = "Risk 40/100, suggested action 'alert': Many failures on one name by ip: fails 7 (30%); model (10%)."
+        want += f" Suggested family: {family} (30%)." if family else ""
+        assert got[i] == want + (f" Repeated {n + 1} times within 15 minutes." if n else "")
+    assert len(got) == 80
+
+
+def test_alert_message_names_repeats_and_evidence(spark, sf):
+    merged = {r["alert_id"]: r["occurrences"] for r in alert_queries.alert_dedup(spark, sf).collect()}
+    found = [r["message"] for r in alert_queries.alert_message(spark, sf).collect()]
+    assert len(found) == sum(merged.values())
+    for n in range(1, max(merged.values()) + 1):
+        said = sum("Repeated" not in m for m in found) if n == 1 else sum(f" Repeated {n} times within" in m for m in found)
+        assert said == sum(o >= n for o in merged.values())
+    assert any(": fails " in m for m in found)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(500, 500)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
