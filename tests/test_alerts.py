@@ -75,6 +75,18 @@ def test_alert_message_names_repeats_and_evidence(spark, sf):
     assert any(": fails " in m for m in found)
 
 
+def test_priority_counts_novel_facets(spark, sf):
+    novel = {}
+    for r in alert_queries.novelty(spark, sf).collect():
+        novel[r["row_id"]] = novel.get(r["row_id"], 0) + 1
+    plain = {r["row_id"]: (r["uid"], r["confidence"]) for r in alert_queries.alert_rows(spark, sf).select("row_id", "uid", "confidence").collect()}
+    got = {r["row_id"]: r["priority"] for r in alert_queries.alert_priority(spark, sf).collect()}
+    assert got.keys() == plain.keys() and {novel.get(i, 0) for i in got} >= {0, 1}
+    for i, (uid, confidence) in plain.items():
+        importance = 1.0 if uid is None else 1.0 + uid % 3
+        assert got[i] == pytest.approx((1 + novel.get(i, 0)) * confidence * importance, abs=5.1e-5)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(500, 500)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
