@@ -36,8 +36,8 @@ def tier2_proxy(spark, sf):
     return compute_features(read_attempts(spark, sf)).select("row_id", md.tier2_proxy().alias("score"))
 
 
-def split_rows(spark, sf):
-    df = feature_rows(spark, sf).withColumn("y", F.col("is_attack_ip")).withColumn("w", F.col("pop_weight"))
+def split_rows(spark, sf, **limits):
+    df = feature_rows(spark, sf, **limits).withColumn("y", F.col("is_attack_ip")).withColumn("w", F.col("pop_weight"))
     return md.materialize(df)
 
 
@@ -60,7 +60,7 @@ def iforest_score(spark, sf):
 @query("knn_distance")
 def knn_distance(spark, sf):
     """Mean distance to the nearest reference logins."""
-    df = split_rows(spark, sf)
+    df = split_rows(spark, sf, only=md.DEFAULT_FEATURES)
     ref = md.fit_knn(df.where(f"part = 'train' AND {LEGIT}"), md.DEFAULT_FEATURES)
     return md.score_knn(ref, df).select("row_id", "score")
 

@@ -195,23 +195,74 @@ def fit_knn(train: DataFrame, features: list[str], *, rows: int = 30_000, k: int
     return {"features": features, "fill": fill, "mean": mean, "sd": sd, "k": k, "ref": _matrix(ref, features, fill, mean, sd)}
 
 
+# References per group, and how many more than k are kept by the short comparison.
+NEAR_GROUP = 16
+NEAR_SPARE = 6
+
+
+def _turned(ref: np.ndarray, dtype: type) -> np.ndarray:
+    """The matrix that makes |r|^2 - 2 x r of rows ``(x, 1)``; filled up to whole groups by references infinitely far away."""
+    out = np.zeros((len(ref) + -len(ref) % NEAR_GROUP, ref.shape[1] + 1), dtype)
+    out[: len(ref), :-1], out[: len(ref), -1], out[len(ref) :, -1] = -2.0 * ref, (ref**2).sum(axis=1), np.inf
+    return np.ascontiguousarray(out.T)
+
+
+def _smallest(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the ``n`` smallest values of each row, and the largest of these values.
+
+    The n smallest values lie in the n groups of smallest minimum, so only those are looked into.
+    """
+    groups = g.shape[1] // NEAR_GROUP
+    n, cut, rows = min(n, groups), g.reshape(len(g), NEAR_GROUP, groups), np.arange(len(g))[:, None]
+    low = cut.min(axis=1)
+    at = np.argpartition(low, n - 1, axis=1)[:, :n]
+    inside = cut[rows, :, at].reshape(len(g), -1)
+    pick = np.argpartition(inside, n - 1, axis=1)[:, :n]
+    return at[rows, pick // NEAR_GROUP] + pick % NEAR_GROUP * groups, np.take_along_axis(inside, pick, axis=1).max(axis=1)
+
+
+def _mean_nearest(batches: Iterator[np.ndarray], ref: np.ndarray, k: int, block: int = 128) -> Iterator[np.ndarray]:
+    """For every row of each batch its mean distance to the ``k`` nearest rows of ``ref``, by comparison with all of them.
+
+    All references are compared in single precision, in blocks that stay in the cache; those in front are measured in
+    double precision.  Where the rounding of the first could have hidden one of the k, the row is compared in double again.
+    """
+    k, n = min(k, len(ref)), min(k + NEAR_SPARE, len(ref))
+    short, long = (_turned(ref, np.float32), None) if len(ref) >= n * NEAR_GROUP else (None, None)
+    far = np.sqrt((ref**2).sum(axis=1).max()) if len(ref) else 0.0
+    slack = np.finfo(np.float32).eps * (ref.shape[1] + 8)
+
+    def measured(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        d = ref[ids] - x[:, None, :]
+        return np.sort(np.einsum("ijk,ijk->ij", d, d), axis=1)[:, :k]
+
+    for x in batches:
+        out = np.full(len(x), np.nan)
+        for i in range(0, len(x) if k else 0, block):
+            b = x[i : i + block]
+            if short is None:
+                out[i : i + block] = np.sqrt(measured(b, np.broadcast_to(np.arange(len(ref)), (len(b), len(ref))))).mean(axis=1)
+                continue
+            one, norm = np.column_stack((b, np.ones(len(b)))), (b**2).sum(axis=1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                ids, last = _smallest(one.astype(np.float32) @ short, n)
+            near = measured(b, ids)
+            unsure = ~(near[:, -1] - norm <= last.astype(float) - slack * (far + np.sqrt(norm)) ** 2)
+            if unsure.any():
+                long = _turned(ref, np.float64) if long is None else long
+                near[unsure] = measured(b[unsure], _smallest(one[unsure] @ long, n)[0])
+            out[i : i + block] = np.sqrt(near).mean(axis=1)
+        yield out
+
+
 def score_knn(model: dict, rows: DataFrame) -> DataFrame:
     names, k = model["features"], model["k"]
     ref = rows.sparkSession.sparkContext.broadcast(model["ref"])
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        r = ref.value
-        rr = (r**2).sum(axis=1)
-        for pdf in batches:
-            x = _matrix(pdf, names, model["fill"], model["mean"], model["sd"])
-            out = []
-            for i in range(0, len(x), 1024):
-                b = x[i : i + 1024]
-                d2 = np.maximum((b**2).sum(axis=1)[:, None] + rr[None, :] - 2.0 * b @ r.T, 0.0)
-                kk = min(k, r.shape[0])
-                out.append(np.sqrt(np.partition(d2, kk - 1, axis=1)[:, :kk]).mean(axis=1))
-            yield pd.Series(np.concatenate(out) if out else np.array([]))
+        rows = (_matrix(pdf, names, model["fill"], model["mean"], model["sd"]) for pdf in batches)
+        yield from map(pd.Series, _mean_nearest(rows, ref.value, k))
 
     return rows.withColumn("score", score(F.struct(*[F.col(c).cast("double").alias(c) for c in names])))
 
