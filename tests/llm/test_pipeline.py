@@ -1,7 +1,9 @@
+from functools import partial
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logwarden.llm import mixing, quality
+from logwarden.llm import mixing, quality, simhash
 from logwarden.llm.common import remainder
 
 import plain
@@ -69,3 +71,16 @@ def test_stages_accept_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_near_duplicates_in_crowded_cells_bypass_the_driver(spark, sf, monkeypatch):
+    made, midpoints = [], simhash._midpoints
+    monkeypatch.setattr(simhash, "links", partial(simhash.links, cell=1))
+    monkeypatch.setattr(simhash, "_midpoints", lambda fps: made.append(midpoints(fps)) or made[-1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).select("doc_id").collect())
+    rows = docs.collect()
+    fps = [plain.simhash(r.text) for r in rows]
+    least = plain.least_reachable([r.doc_id for r in rows], lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+    assert got == sorted({*least})
+    assert made and not any("Broadcast" in e._jdf.queryExecution().toString() for e in made)
